@@ -120,14 +120,17 @@ class Automaton:
                 at, size = ends.pop(), len(self.labels[path.pop()]) - 1
         return path
 
-    def encode_piece(self, piece: str) -> list[int]:
+    def encode_piece(self, piece: str, known: dict[str, list[int]]) -> list[int]:
+        """Ids of a text; `known` keeps the words met."""
         out: list[int] = []
         for part in self.cut.split(piece) if self.cut else [piece]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
                 for word in SPLIT.findall(part):
-                    out += self.walk(word.encode())
+                    if (ids := known.get(word)) is None:
+                        ids = known[word] = self.walk(word.encode())
+                    out += ids
         return out
 
     def decode(self, ids) -> str:
@@ -140,11 +143,14 @@ class AutomatonTable(PieceTable):
 
     def __init__(self, path: str):
         self.automaton = Automaton.from_file(path)
-        self.pieces = SPACED
+        self.pieces, self.bare = SPACED, False
         self._clear()
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        return list(map(self.automaton.encode_piece, pieces))
+    def _ids(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        known: dict[str, list[int]] = {}
+        found = [self.automaton.encode_piece(p, known) for p in pieces]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return pieces, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes
 
 
 _TABLES: dict[str, AutomatonTable] = {}

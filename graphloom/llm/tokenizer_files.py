@@ -2,13 +2,15 @@
 
 Texts are cut where the tokenizer's own splitting always has a boundary, so that the ids of a text
 are those of its pieces in order.  A worker keeps the ids of pieces it has met, up to a bound, and
-asks the library for the others in one batch.
+asks the library for the others: plain words many to a text, cut apart again by the tokens that
+begin or end a word, and everything else piece by piece.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -16,12 +18,17 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Unicode white space (fixed values of the White_Space property).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Latin letters that no normalization changes.
+LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+STOPS = ".,;:!?|"
 #: White space with what follows it up to the next: no token crosses from other characters to white space.
 SPACED = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: What lies between white space, for tokenizers that drop it.
-BARE = re.compile(f"[^{WHITE}]+")
+#: For tokenizers that drop white space: a Latin word, stops that end it, or whatever stands between white space.
+BARE = re.compile(f"[{LATIN}]++(?=[{WHITE}{STOPS}]|\\Z)|(?<=[{LATIN}])[{STOPS}]++(?=[{WHITE}]|\\Z)|[^{WHITE}]+")
 #: Pieces kept by a worker; at the bound it starts afresh.
 KEPT_PIECES = 400_000
+#: Plain words of one text for the library.
+JOINED = 1000
 
 _CACHES: dict[tuple[str, bool], "PieceTable"] = {}
 
@@ -35,7 +42,13 @@ class PieceTable:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.bare = bare
         self.pieces = BARE if bare else SPACED
+        self.plain = re.compile(f"[{LATIN}]+" if bare else f" [{LATIN}]+").fullmatch
+        vocab = self.tokenizer.get_vocab()
+        self.marked = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word, or begin one
+        for token, i in vocab.items():
+            self.marked[i] = token.endswith("</w>") if bare else token.startswith("Ġ")
         self._clear()
 
     def _clear(self) -> None:
@@ -43,8 +56,20 @@ class PieceTable:
         self.ids = np.zeros(0, np.uint32)
         self.off = np.zeros(1, np.int64)
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    def _ids(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The pieces in the order in which their ids follow, the ids end to end, and their numbers."""
+        plain = [p for p in pieces if self.plain(p)]
+        other = [p for p in pieces if not self.plain(p)]
+        joined = [(" " if self.bare else "").join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
+        found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *found])
+        at = np.flatnonzero(self.marked[flat])
+        sizes = np.diff(np.concatenate([[-1], at]) if self.bare else np.concatenate([at, [len(flat)]]))
+        if len(sizes) != len(plain):
+            raise ValueError("the vocabulary doesn't mark its words")
+        rest = [x.ids for x in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        more = np.fromiter(map(len, rest), np.int64, len(rest))
+        return plain + other, np.concatenate([flat, np.fromiter((i for x in rest for i in x), np.uint32, int(more.sum()))]), np.concatenate([sizes, more])
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, each with the end id if one is given; the texts' offsets."""
@@ -53,17 +78,17 @@ class PieceTable:
         index, find = self.index, self.pieces.findall
         codes, counts = [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
+            if self.bare and unicodedata.is_normalized("NFC", text) and "Σ" not in text and "İ" not in text:
+                text = text.lower()  # as the tokenizer does, letter by letter
             own = find(text)
             counts[k] = len(own)
             codes += own
-        new = [p for p in dict.fromkeys(codes) if p not in index]
+        new = [p for p in set(codes) if p not in index]
         if new:
-            found = self._ids(new)
+            new, flat, sizes = self._ids(new)
             first = len(index)
             index.update(zip(new, range(first, first + len(new))))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes)])
-            flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
             self.ids = np.concatenate([self.ids, flat])
         code = np.fromiter(map(index.__getitem__, codes), np.int64, len(codes))
         size = np.diff(self.off)[code]
