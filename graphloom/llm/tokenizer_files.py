@@ -18,8 +18,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Unicode white space (fixed values of the White_Space property).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Latin letters that no normalization changes.
-LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+#: Latin letters that no normalization changes and that are one letter in lower case (so not U+0130).
+LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
 STOPS = ".,;:!?|"
 #: White space with what follows it up to the next: no token crosses from other characters to white space.
 SPACED = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")

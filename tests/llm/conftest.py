@@ -14,7 +14,7 @@ def small_texts():
     return [
         None, "", " \t\n", "one", "ONE", "a b c d", "A b C d", base, base, base + " more", base.replace("thing3", "other"),
         "x " * 400, "é" * 300 + " z", "😀" * 60 + P, P + " tail", "head " + P, base + "\n" + base, "line one\nline one\n\nline two\nline one",
-        "<|endoftext|> a <|endoftext|>", "12345 !!! ### $$$ <|im_start|>", P + P, " ".join(f"w{i}" for i in range(30000)), "Straße naïve ﬁ", "the the the the the the the the the the the the",
+        "<|endoftext|> a <|endoftext|>", "12345 !!! ### $$$ <|im_start|>", P + P, " ".join(f"w{i}" for i in range(30000)), "Straße naïve ﬁ", "ABİ İ ΟΣ, it's e\u0301 x,\u3000y\x1cz \xa0 q",  "the the the the the the the the the the the the",
     ]
 
 
