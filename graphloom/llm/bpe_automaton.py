@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tuned
 from .tokenizer_files import SPACED, WHITE, PieceTable
 
 #: The splitting rule of byte-level BPE vocabularies (fixed pattern), white space spelled out.
@@ -173,7 +173,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids array<int>")
+    return tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids array<int>")
 
 
 def decode_documents(ids: DataFrame, tokenizer: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, shuffle_partitions
+from .common import buffers, shuffle_partitions, tuned
 
 START, SPLIT, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 #: Control strings of this template and of common others; none is a prefix of another.
@@ -135,7 +135,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     Null roles and texts are empty strings; a null conv_id is a conversation of its own, a null turn
     comes first; ties go by role, then text; repeated rows stay.  Empty tables give no pieces.
     """
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = tuned(turns).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = ["conv_id", "turn", "role", "text"]
     rows = rows.repartitionByRange(shuffle_partitions(turns.sparkSession), *order).sortWithinPartitions(*order)
     kind = "conv_id long, turn long, role string, n_turns long, formatted binary, loss array<struct<start:bigint,end:bigint>>"

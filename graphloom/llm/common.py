@@ -44,7 +44,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups: values may be large, and a writer holds a group
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out
@@ -58,6 +59,12 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tuned(df: DataFrame) -> DataFrame:
+    """Bounds the session's Arrow batches by bytes: texts may be long, and a worker holds a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, buffers
+from .common import U64, buffers, tuned
 
 #: N-grams of a profile and of a document that are compared.
 PROFILE = 400
@@ -120,7 +120,7 @@ def fit_profiles(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
 def predict_languages(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFrame:
     """Adds lang_pred and score (0 to 1, one for equal ranks) to doc_id and the columns in keep.
     Null texts and texts without a letter are UNKNOWN with score 0; repeated rows stay."""
-    rows = docs.select("doc_id", *keep, F.col("text").alias("_text"))
+    rows = tuned(docs).select("doc_id", *keep, F.col("text").alias("_text"))
     kind = rows.drop("_text").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, slices, shuffle_partitions, word_hashes, word_spans, written
+from .common import U64, mix, slices, shuffle_partitions, tuned, word_hashes, word_spans, written
 
 #: Words whose counts are sent to all tasks: a fixed number, 16 bytes each.
 HEAD = 1 << 18
@@ -329,7 +329,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     A null text is empty and has its end token alone; a null held_out is false; with no training row
     every token is unseen; repeated rows are scored one by one.  An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    rows = tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     training = rows.where("not held_out")
     counts = written(count_words(training), "counts")
     head = head_counts(counts)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, dropped, mix, slices, text_shingles, written
+from .common import U64, dropped, mix, slices, text_shingles, tuned, written
 from .components import connected_components
 
 SIGNATURE = 128
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     their own component.  Rows that repeat a doc_id and its text share one result.  A null doc_id
     is never linked: its component is null and it is kept.  An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, da long, db long, sig binary"), "sketch")
     sets = sketch.where("n_shingles > 0 and doc_id is not null")
     reps = written(sets.groupBy("n_shingles", "da", "db").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")

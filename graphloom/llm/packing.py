@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tuned
 from .tokenizer_files import piece_table
 
 CAPACITY = 2048
@@ -188,4 +188,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int
     makes the same sequences, from the same rows in the same order.
     """
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<bigint>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed(tokenizer, end, capacity, with_ids), kind)
+    return tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed(tokenizer, end, capacity, with_ids), kind)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, slices, word_hashes, word_spans, written
+from .common import shingle_hashes, slices, tuned, word_hashes, word_spans, written
 
 RISK, LEVEL = 0.01, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT, RUN = 10, 20, 5
@@ -65,7 +65,7 @@ def _metrics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quality_metrics(docs: DataFrame, stratum: Column | None = None) -> DataFrame:
     """(doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals) of
     docs(doc_id, text), a row for each row; a null text has no words."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(stratum if stratum is not None else F.lit(""), F.lit("")).alias("stratum"), "text")
+    rows = tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(stratum if stratum is not None else F.lit(""), F.lit("")).alias("stratum"), "text")
     return rows.mapInArrow(_metrics, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_capitals long")
 
 
@@ -73,7 +73,7 @@ def with_metrics(docs: DataFrame, stratum: Column | None = None) -> DataFrame:
     """The rows of docs with the metrics and the stratum as further columns; columns of docs that
     have such a name give way."""
     own = [c for c in docs.columns if c not in ("stratum", *METRICS)]
-    rows = docs.withColumn("stratum", F.coalesce(stratum if stratum is not None else F.lit(""), F.lit("")))
+    rows = tuned(docs).withColumn("stratum", F.coalesce(stratum if stratum is not None else F.lit(""), F.lit("")))
     rows = rows.select(*own, "stratum")
     kind = rows.withColumns({m: F.lit(0).cast("long") for m in METRICS}).schema
 

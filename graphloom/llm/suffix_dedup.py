@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, mix, powers, shuffle_partitions, slices, written
+from .common import U64, buffers, mix, powers, shuffle_partitions, slices, tuned, written
 
 GRAM = 32
 WINDOW = 200
@@ -318,7 +318,7 @@ def _cut(whole_characters: bool, keep: tuple[str, ...] = ()):
 
 
 def _applied(docs: DataFrame, window: int, texts: bool, keep: tuple[str, ...] = ()) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    docs = tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     spans = repeated_spans(docs, window)
     of = spans.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("first", "end")).alias("_spans"))
     rows = docs.repartition(shuffle_partitions(docs.sparkSession), "doc_id")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, written
+from .common import shuffle_partitions, slices, tuned, written
 from .tokenizer_files import piece_table
 
 MAGIC = b"GLBP1"
@@ -73,18 +73,18 @@ def read_planes(raw: bytes, first: int = 0, last: int | None = None) -> np.ndarr
     return np.concatenate(out)[first - from_ : last - from_]
 
 
-_KIND = "seq long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, planes binary"
+_KIND = "seq long, within long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, planes binary"
 
 
 def _segments(path: str, end: int, bits: bool):
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(path)
-        docs, lengths, ids, held, seq = [], [], [], 0, 0
+        docs, lengths, ids, held, seq, within = [], [], [], 0, 0, 0
 
         def out() -> pa.RecordBatch:
-            row = [[seq], [held], [docs], [lengths], [write_planes(np.concatenate(ids), bits=bits)]]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["seq", "n_ids", "doc_ids", "lengths", "planes"])
+            row = [[seq], [within], [held], [docs], [lengths], [write_planes(np.concatenate(ids), bits=bits)]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["seq", "within", "n_ids", "doc_ids", "lengths", "planes"])
 
         for batch in batches:
             for part, _, _ in slices(batch):
@@ -98,7 +98,7 @@ def _segments(path: str, end: int, bits: bool):
                     if held >= SEGMENT:
                         ids.append(flat[off[begin] : off[i + 1]])
                         yield out()
-                        docs, lengths, ids, held, seq, begin = [], [], [], 0, seq + 1, i + 1
+                        docs, lengths, ids, held, seq, within, begin = [], [], [], 0, seq + 1, within + held, i + 1
                 if begin < len(own):
                     ids.append(flat[off[begin] : off[-1]])
         if docs:
@@ -109,19 +109,19 @@ def _segments(path: str, end: int, bits: bool):
 
 def write_token_files(docs: DataFrame, tokenizer: str, end: int = 0, bits: bool = False, path: str | None = None) -> DataFrame:
     """docs(doc_id, text) -> the table of segments written to `path`, or to a new one in the shared
-    folder: (shard, seq, n_ids, start, doc_ids, lengths, planes), in ascending doc_id by (shard, seq).
+    folder: (shard, seq, within, n_ids, start, doc_ids, lengths, planes), in ascending doc_id by (shard, seq).
 
     Null and empty texts have the end id alone.  A null doc_id comes first; rows that repeat a doc_id
     stay, ordered by text.  Documents of any length lie in one segment each.  No rows, no segments.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     made = rows.mapInArrow(_segments(tokenizer, end, bits), _KIND).withColumn("shard", F.spark_partition_id())
     if path is None:
         table = written(made, "tokens")
     else:
-        made.write.parquet(path)
+        made.write.option("parquet.block.size", 16 << 20).parquet(path)
         table = spark.read.parquet(path)
     return _with_starts(table)
 
@@ -132,14 +132,12 @@ def read_token_files(spark, path: str) -> DataFrame:
 
 
 def _with_starts(table: DataFrame) -> DataFrame:
-    """Adds the number of ids before each segment: a sum over shards, of which there are as many as
-    partitions, then one within each shard."""
+    """Adds the number of ids before each segment.  Only the shards' sums are joined, of which there
+    are as many as partitions, whatever the data."""
     shards = table.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shards = shards.select("shard", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = table.select("shard", "seq", F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_within"))
-    places = within.join(shards, "shard").select("shard", "seq", (F.col("_before") + F.col("_within")).alias("start"))
-    return table.join(places, ["shard", "seq"])
+    return table.join(F.broadcast(shards), "shard").withColumn("start", F.col("_before") + F.col("within")).drop("_before")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,9 +21,10 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: Latin letters that no normalization changes and that are one letter in lower case (so not U+0130).
 LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
 STOPS = ".,;:!?|"
-#: White space with what follows it up to the next: no token crosses from other characters to white space.
-SPACED = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: For tokenizers that drop white space: a Latin word, stops that end it, or whatever stands between white space.
+#: A Latin word with a space before it, stops that end it, or white space with all that follows it up
+#: to the next: no token crosses from letters to stops, or from other characters to white space.
+SPACED = re.compile(f" ?[{LATIN}]++(?=[{WHITE}{STOPS}]|\\Z)|(?<=[{LATIN}])[{STOPS}]++(?=[{WHITE}]|\\Z)|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: The same for tokenizers that drop white space.
 BARE = re.compile(f"[{LATIN}]++(?=[{WHITE}{STOPS}]|\\Z)|(?<=[{LATIN}])[{STOPS}]++(?=[{WHITE}]|\\Z)|[^{WHITE}]+")
 #: Pieces kept by a worker; at the bound it starts afresh.
 KEPT_PIECES = 400_000
