@@ -27,7 +27,7 @@ SPACED = re.compile(f" ?[{LATIN}]++(?=[{WHITE}{STOPS}]|\\Z)|(?<=[{LATIN}])[{STOP
 #: The same for tokenizers that drop white space.
 BARE = re.compile(f"[{LATIN}]++(?=[{WHITE}{STOPS}]|\\Z)|(?<=[{LATIN}])[{STOPS}]++(?=[{WHITE}]|\\Z)|[^{WHITE}]+")
 #: Pieces kept by a worker; at the bound it starts afresh.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_000_000
 #: Plain words of one text for the library.
 JOINED = 1000
 
@@ -59,8 +59,8 @@ class PieceTable:
 
     def _ids(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The pieces in the order in which their ids follow, the ids end to end, and their numbers."""
-        plain = [p for p in pieces if self.plain(p)]
-        other = [p for p in pieces if not self.plain(p)]
+        plain = list(filter(self.plain, pieces))
+        other = list({*pieces}.difference(plain)) if len(plain) < len(pieces) else []
         joined = [(" " if self.bare else "").join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
         found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         flat = np.concatenate([np.zeros(0, np.uint32), *found])
