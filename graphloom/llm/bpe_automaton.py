@@ -30,7 +30,7 @@ from .tokenizer_files import SPACED, WHITE, PieceTable
 #: The splitting rule of byte-level BPE vocabularies (fixed pattern), white space spelled out.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Transitions kept by a worker; at the bound the table starts afresh.
-KEPT_ARCS = 2_000_000
+KEPT_ARCS = 400_000
 
 _NEVER = 1 << 40
 
