@@ -10,9 +10,10 @@ again, and what is still too large at MAX_DEPTH is compared block against block,
 capped.  Nothing but ids and signatures moves down the trees.
 
 Links are confirmed on the full sets.  Equal sets meet first, by a 128-bit digest, in an aggregation
-that combines before its shuffle.  Then a spanning forest of each node's likely links is confirmed,
-and only pairs that the confirmed links leave in different components are tried after it: a group
-of a thousand copies costs about a thousand checks, not all its pairs, and no component is lost.
+that combines before its shuffle.  Then a spanning forest of each node's likely links is confirmed.
+What may link components that this leaves apart is gathered by clusters of such components, each
+document once, and compared on full sets there; larger clusters go block against block.  So no pairs
+of a group are written out: a thousand copies cost about a thousand checks, and no component is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, dropped, mix, slices, text_shingles, tuned, written
+from .common import U64, dropped, mix, shuffle_partitions, slices, text_shingles, tuned, written
 from .components import connected_components
 
 SIGNATURE = 128
@@ -33,6 +34,8 @@ NODE_LIMIT, MAX_DEPTH = 4096, 4
 #: Equal signature bytes out of SIGNATURE: likely links, and the least that a link of 0.75 can show
 #: (96 expected, standard deviation 4.9).
 LIKELY, POSSIBLE = 90, 70
+#: Shingles of a cluster that one task compares; a larger cluster is compared block against block.
+CLUSTER_SHINGLES = 4_000_000
 
 _RNG = np.random.default_rng(7)
 _XOR, _MUL = (_RNG.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) for _ in range(2))
@@ -136,41 +139,40 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dic
         yield out(pa.Table.from_batches(held))
 
 
-def _equal_bytes(sig: np.ndarray, i: int, j: int) -> np.ndarray:
-    """Rows i..j of the matrix of equal signature bytes."""
-    return (sig[i:j, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16)
-
-
-def _steps(m: int) -> Iterator[tuple[int, int]]:
-    step = max(1, (1 << 24) // (m * SIGNATURE))
-    for i in range(0, m, step):
-        yield i, min(m, i + step)
+def _equal_bytes(sig: np.ndarray, row: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Equal signature bytes of one row and each of some others."""
+    return (sig[among] == row).sum(axis=1, dtype=np.int16)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each node: links (a, b) that span what is likely linked, and (a, null) for each document
-    that another one may be linked with."""
+    that another one may be linked with.  Only documents that no link has reached yet are compared,
+    and those that none reaches with all, so tight groups cost little more than their size."""
     a, b = [], []
     for group in _groups(batches, ["rep", "sig8"]):
         rep, sig = group["rep"].to_numpy(), _rows_binary(group["sig8"].combine_chunks(), np.uint8)
         m = len(rep)
         if m > 1:
-            near, maybe = np.zeros((m, m), bool), np.zeros(m, bool)
-            for i, j in _steps(m):
-                same = _equal_bytes(sig, i, j)
-                same[np.arange(j - i), np.arange(i, j)] = 0
-                near[i:j], maybe[i:j] = same >= LIKELY, (same >= POSSIBLE).any(axis=1)
-            free = np.ones(m, bool)
-            for root in range(m):  # ascending ids: nodes of other trees choose the same roots
-                if free[root]:
-                    free[root], todo = False, [root]
-                    while todo:
-                        at = todo.pop()
-                        new = np.flatnonzero(near[at] & free)
-                        free[new] = False
+            maybe, free = np.zeros(m, bool), np.arange(m)
+            while free.size:  # ascending ids: nodes of other trees choose the same roots
+                root, free = int(free[0]), free[1:]
+                todo, alone = [root], True
+                while todo and free.size:
+                    at = todo.pop()
+                    same = _equal_bytes(sig, sig[at], free)
+                    new = free[same >= LIKELY]
+                    free = free[same < LIKELY]
+                    if new.size:
+                        alone = False
+                        maybe[at] = maybe[new] = True
                         todo += new.tolist()
                         a += [np.full(len(new), rep[at])]
                         b += [rep[new]]
+                if alone:
+                    close = _equal_bytes(sig, sig[root], np.arange(m)) >= POSSIBLE
+                    close[root] = False
+                    maybe[close] = True
+                    maybe[root] |= close.any()
             a += [rep[maybe]]
             b += [np.full(int(maybe.sum()), -1 << 62)]
         if sum(map(len, a)) > 20_000:
@@ -185,26 +187,85 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each node: pairs of different components that may be linked."""
+    """Of each node: (rep, null) for documents that may be linked with one of another component, and
+    pairs of components that span these possible links: no more rows than documents."""
     a, b = [], []
     for group in _groups(batches, ["rep", "sig8", "component"]):
         rep, component = group["rep"].to_numpy(), group["component"].to_numpy()
         if len(rep) > 1 and (component != component[0]).any():
             sig = _rows_binary(group["sig8"].combine_chunks(), np.uint8)
-            values, size = np.unique(component, return_counts=True)
-            odd = np.flatnonzero(component != values[size.argmax()])  # each pair has one of these
-            for i in range(0, len(odd), step := max(1, (1 << 24) // (len(rep) * SIGNATURE))):
-                own = odd[i : i + step]
-                same = (sig[own, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.int16)
-                x, y = np.nonzero((same >= POSSIBLE) & (component[own, None] != component[None, :]))
-                a.append(np.minimum(rep[own[x]], rep[y]))
-                b.append(np.maximum(rep[own[x]], rep[y]))
+            values, part, size = np.unique(component, return_inverse=True, return_counts=True)
+            joined, flag = np.arange(len(values)), np.zeros(len(rep), bool)
+            for i in np.flatnonzero(part != size.argmax()):  # each pair of components has one of these
+                others = np.flatnonzero(part != part[i])
+                close = others[_equal_bytes(sig, sig[i], others) >= POSSIBLE]
+                if close.size:
+                    flag[i] = flag[close] = True
+                    for q in np.unique(part[close]):
+                        if joined[q] != joined[part[i]]:
+                            a.append(values[[q]])
+                            b.append(values[[part[i]]])
+                            joined[joined == joined[q]] = joined[part[i]]
+            a.append(rep[flag])
+            b.append(np.full(int(flag.sum()), -1 << 62))
         if sum(map(len, a)) > 20_000:
             yield _pairs(a, b)
             a, b = [], []
     yield _pairs(a, b)
 
 
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cluster, or pair of its blocks: links between different components, confirmed on the
+    full sets, until none is left that would join two."""
+    a, b = [], []
+    for group in _groups(batches, ["rep", "component", "sig8", "text"]):
+        rep, joined = group["rep"].to_numpy(), group["component"].to_numpy().copy()
+        sig = _rows_binary(group["sig8"].combine_chunks(), np.uint8)
+        hashes, sizes = [], []
+        for column in group["text"].chunks:
+            rows = pa.RecordBatch.from_arrays([column], ["text"])
+            for _, data, off in slices(rows):
+                own, first = text_shingles(data, off)
+                sets = [np.unique(own[s:e]) for s, e in zip(first[:-1], first[1:])]
+                hashes += sets
+                sizes += map(len, sets)
+        if not hashes:
+            continue
+        ids = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.int32)
+        sizes = np.array(sizes)
+        ends = np.cumsum(sizes)
+        mine = np.zeros(int(ids.max()) + 1, bool)
+        for i in range(len(rep) - 1):
+            others = i + 1 + np.flatnonzero(joined[i + 1 :] != joined[i])
+            if others.size:
+                others = others[_equal_bytes(sig, sig[i], others) >= POSSIBLE]
+            if others.size:
+                own = ids[ends[i] - sizes[i] : ends[i]]
+                mine[own] = True
+                n = sizes[others]
+                first = np.cumsum(n) - n
+                common = np.add.reduceat(mine[ids[np.arange(int(n.sum())) + np.repeat(ends[others] - n - first, n)]].astype(np.int64), first)
+                mine[own] = False
+                for j in others[100 * common >= 75 * (sizes[i] + n - common)]:
+                    if joined[j] != joined[i]:
+                        a.append(rep[[i]])
+                        b.append(rep[[j]])
+                        joined[joined == joined[j]] = joined[i]
+        if len(a) > 20_000:
+            yield _pairs(a, b)
+            a, b = [], []
+    yield _pairs(a, b)
+
+
+def _blocks(rows: DataFrame, sizes: DataFrame, by: str, limit: int) -> DataFrame:
+    """Gives the rows of each `by` a block: one for all, or, where `total` of sizes(by, total) is over
+    the limit, one for each pair of blocks that holds the row's own block."""
+    n = F.when(F.col("total") > limit, F.ceil(F.col("total") * 2 / limit)).otherwise(F.lit(1))
+    rows = rows.join(sizes, by).withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_n")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    return rows.withColumn("block", F.least("_own", "_other") * F.col("_n") + F.greatest("_own", "_other")).drop("total", "_n", "_own", "_other")
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose full sets have a Jaccard similarity of 0.75 or more."""
     from .common import buffers
@@ -243,11 +304,8 @@ def _nodes(reps: DataFrame) -> list[DataFrame]:
         large = shared.where(f"m > {NODE_LIMIT}")
         if large.isEmpty():
             break
-        if last:  # each row goes to the pairs of blocks that hold its own block
-            n = F.ceil(F.col("m") * 2 / NODE_LIMIT)
-            own = large.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")))
-            other = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-            out.append(other.select("key", (F.least("own", "other") * F.col("n") + F.greatest("own", "other") + 1).alias("block"), "rep"))
+        if last:
+            out.append(_blocks(large.select("key", "rep"), sizes.withColumnRenamed("m", "total"), "key", NODE_LIMIT).select("key", "block", "rep"))
         else:
             level = large.select("key", "rep").join(reps.select("rep", "sig"), "rep").mapInArrow(_grow(False), "key long, rep long").distinct()
     return out
@@ -269,19 +327,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = levels[0]
     for more in levels[1:]:
         nodes = nodes.unionByName(more)
+    n = shuffle_partitions(docs.sparkSession)
     sig8 = reps.mapInArrow(_bytes_only, "rep long, sig8 binary")
     members = nodes.join(sig8, "rep")
-    found = written(members.repartition("key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_forest, "a long, b long").distinct(), "candidates")
+    found = written(members.repartition(n, "key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_forest, "a long, b long").distinct(), "candidates")
     involved = found.select(F.col("a").alias("rep")).unionByName(found.where("b is not null").select(F.col("b").alias("rep"))).distinct()
     texts = written(docs.withColumnRenamed("doc_id", "rep").join(involved, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")), "texts")
     links = _confirmed(found.where("b is not null"), texts)
     first = written(connected_components(links), "components")
     labelled = members.join(involved, "rep", "left_semi").join(first.withColumnRenamed("id", "rep"), "rep", "left")
     labelled = labelled.select("key", "block", "rep", "sig8", F.coalesce("component", "rep").alias("component"))
-    rest = written(labelled.repartition("key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_rest, "a long, b long").distinct(), "rest")
+    rest = written(labelled.repartition(n, "key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_rest, "a long, b long").distinct(), "rest")
     last = first
     if not rest.isEmpty():
-        more = _confirmed(rest, texts)
+        clusters = connected_components(rest.where("b is not null")).withColumnRenamed("component", "key").withColumnRenamed("id", "component")
+        open_ = rest.where("b is null").select(F.col("a").alias("rep")).join(first.withColumnRenamed("id", "rep"), "rep", "left")
+        open_ = open_.select("rep", F.coalesce("component", "rep").alias("component")).join(clusters, "component")
+        open_ = written(open_.join(reps.select("rep", "n_shingles"), "rep"), "open")
+        totals = open_.groupBy("key").agg(F.sum("n_shingles").alias("total"))
+        rows = _blocks(open_.select("key", "rep", "component"), totals, "key", CLUSTER_SHINGLES).join(sig8, "rep").join(texts, "rep")
+        more = written(rows.repartition(n, "key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_exact, "a long, b long"), "more")
         if not more.isEmpty():
             last = written(connected_components(links.unionByName(more)), "components")
     dropped(found, texts, rest)
