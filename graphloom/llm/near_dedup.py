@@ -285,9 +285,10 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    # merge joins: neither side's size is bounded, and adaptive execution splits a hot partner
     rows = (
-        pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+        pairs.hint("merge").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+        .hint("merge").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
     return written(rows.mapInArrow(_confirm, "a long, b long"), "links")
