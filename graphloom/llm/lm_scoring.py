@@ -175,16 +175,26 @@ class Trainer:
         self.squares = [np.full((n, 1), 1e-2, np.float32) for n in (outer, inner)]
         self.uses = [np.zeros(n, np.int64) for n in (outer, inner)]
 
-    def _step(self, k: int, rows: np.ndarray, target: np.ndarray, limit: np.ndarray) -> None:
-        gradient = np.exp(_softmax(self.weights[k], rows, limit))
+    def _step(self, k: int, rows: np.ndarray, target: np.ndarray, limit: np.ndarray | None) -> None:
+        table, squares, uses = self.weights[k], self.squares[k], self.uses[k]
+        gradient = np.exp(_softmax(table, rows, limit))
         gradient[np.arange(len(target)), target] -= 1
+        if k == 0:  # the bias is one row for all tokens
+            self._move(table, squares, uses, np.zeros(1, np.int64), gradient.mean(axis=0)[None, :], np.array([len(target)]))
+            rows = rows[:, 1:]
         flat = rows.T.ravel()
         order = np.argsort(flat, kind="stable")
-        row, first, n = np.unique(flat[order], return_index=True, return_counts=True)
-        total = np.add.reduceat(gradient[order % len(target)], first, axis=0) / n[:, None].astype(np.float32)
-        self.squares[k][row, 0] += (total**2).mean(axis=1)
-        self.weights[k][row] -= STEP / np.sqrt(FEATURES) * total / np.sqrt(self.squares[k][row])
-        self.uses[k][row] += n
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        n = np.diff(np.concatenate([first, [len(flat)]]))
+        mean = np.add.reduceat(gradient[order % len(target)], first, axis=0) / n[:, None].astype(np.float32)
+        self._move(table, squares, uses, flat[first], mean, n)
+
+    @staticmethod
+    def _move(table: np.ndarray, squares: np.ndarray, uses: np.ndarray, row: np.ndarray, mean: np.ndarray, n: np.ndarray) -> None:
+        squares[row, 0] += np.einsum("ij,ij->i", mean, mean) / mean.shape[1]
+        table[row] -= STEP / np.sqrt(FEATURES) * mean / np.sqrt(squares[row])
+        uses[row] += n
 
     def learn(self, tokens: np.ndarray, off: np.ndarray) -> None:
         _, rank = _looked_up(self.counts, tokens)
@@ -194,7 +204,7 @@ class Trainer:
         for s in range(0, len(tokens), BATCH):
             own = slice(s, s + BATCH)
             f, c = features[own], classes[own]
-            self._step(0, _outer_rows(f), c, np.full(len(c), self.offered))
+            self._step(0, _outer_rows(f), c, None if self.offered == CLASSES else np.full(len(c), self.offered))
             if (inner := np.flatnonzero(c)).size:
                 c = c[inner]
                 self._step(1, _inner_rows(f[inner], c), rank[own][inner] % WIDTH, self.sizes[c])
@@ -242,7 +252,7 @@ class Model:
         for s in range(0, len(tokens), BATCH):
             own = slice(s, s + BATCH)
             f, c = features[own], classes[own]
-            score = _softmax(self.outer, _outer_rows(f), np.full(len(c), offered))[np.arange(len(c)), c].astype(np.float64)
+            score = _softmax(self.outer, _outer_rows(f), None if offered == CLASSES else np.full(len(c), offered))[np.arange(len(c)), c].astype(np.float64)
             if (inner := np.flatnonzero(c)).size:
                 within = _softmax(self.inner, _inner_rows(f[inner], c[inner]), sizes[c[inner]])
                 score[inner] += within[np.arange(len(inner)), rank[own][inner] % WIDTH]
