@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, tuned
+from .common import U64, buffers, slices, tuned
 
 #: N-grams of a profile and of a document that are compared.
 PROFILE = 400
@@ -89,19 +89,23 @@ class Profiles:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> n-gram counts, summed over a batch."""
     for batch in batches:
-        data, off = buffers(batch.column("text"))
-        by: dict[str, list[np.ndarray]] = {}
-        for i, lang in enumerate(batch.column("lang").to_pylist()):
-            by.setdefault(lang, []).append(_ngrams(data[off[i] : off[i + 1]].tobytes()))
-        for lang, parts in by.items():
-            value, count = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(count)], ["lang", "gram", "n"])
+        for part, data, off in slices(batch):
+            yield from _slice_counts(part, data, off)
+
+
+def _slice_counts(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
+    by: dict[str, list[np.ndarray]] = {}
+    for i, lang in enumerate(part.column("lang").to_pylist()):
+        by.setdefault(lang, []).append(_ngrams(data[off[i] : off[i + 1]].tobytes()))
+    for lang, parts in by.items():
+        value, count = np.unique(np.concatenate(parts), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(count)], ["lang", "gram", "n"])
 
 
 def fit_profiles(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
     """labelled(doc_id, text, lang) -> profiles.  Rows with null text or lang are left out; of each
     language the fit_rows of least doc_id hash are used.  The driver gets PROFILE rows a language."""
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "lang")
+    rows = tuned(labelled).where("text is not null and lang is not null").select("doc_id", "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     # ids first: texts of the chosen rows only are gathered
     chosen = rows.withColumn("_r", rank).where(F.col("_r") <= fit_rows).select("doc_id").distinct()
