@@ -141,7 +141,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, i
     return out
 
 
-def _packed(path: str, end: int, capacity: int, with_ids: bool):
+def _packed(path: str, end: int, capacity: int, with_ids: bool, forget: bool = False):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,17 +175,20 @@ def _packed(path: str, end: int, capacity: int, with_ids: bool):
                         docs, parts, rest = [], [], 0
         if docs:
             yield out()
+        if forget:
+            table.forget()
 
     return packed
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = CAPACITY, with_ids: bool = False, forget: bool = False) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and
     the pieces' ids with with_ids: one row for each piece.
 
     Null and empty texts have the end id alone; a document of any length is cut; rows that repeat a
     doc_id, or have none, are documents of their own.  No rows, no pieces.  A task that runs again
-    makes the same sequences, from the same rows in the same order.
+    makes the same sequences, from the same rows in the same order.  With `forget` a worker drops the
+    ids of the words it has met after each task: for jobs in which other stages share the workers.
     """
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<bigint>" * with_ids
-    return tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed(tokenizer, end, capacity, with_ids), kind)
+    return tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed(tokenizer, end, capacity, with_ids, forget), kind)

@@ -57,6 +57,13 @@ class PieceTable:
         self.ids = np.zeros(0, np.uint32)
         self.off = np.zeros(1, np.int64)
 
+    def forget(self) -> None:
+        """Gives the memory of the pieces back."""
+        import pyarrow as pa
+
+        self._clear()
+        pa.default_memory_pool().release_unused()
+
     def _ids(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The pieces in the order in which their ids follow, the ids end to end, and their numbers."""
         plain = list(filter(self.plain, pieces))
