@@ -250,17 +250,18 @@ def _sorted_windows(window: int):
     return windows
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, first, end): byte intervals, perhaps overlapping, that together
-    cover exactly the bytes of windows that start more than once."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cover exactly the bytes of windows that start more than once.  `carry` names columns of docs that
+    a caller sends along with its texts by doc_id: with them here, both use one exchange."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     n = shuffle_partitions(docs.sparkSession)
-    rows = docs.mapInArrow(_anchor_rows(window), "doc_id long, place long, gram long, region long")
+    rows = docs.select("doc_id", "text").mapInArrow(_anchor_rows(window), "doc_id long, place long, gram long, region long")
     judged = rows.repartition("gram").sortWithinPartitions("gram", "region").mapInArrow(_repeated, "doc_id long, place long, gram long, kind int, covered boolean")
     judged = written(judged, "repeats")
     probes = judged.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("place", "gram", "covered")).alias("probes"))
     texts = docs.repartition(n, "doc_id")
-    regions = probes.join(texts, probes.doc_id.eqNullSafe(texts.doc_id)).select(probes.doc_id, "probes", "text")
+    regions = probes.join(texts, probes.doc_id.eqNullSafe(texts.doc_id)).select(probes.doc_id, "probes", "text", *carry)
     regions = regions.mapInArrow(_regions(window), "doc_id long, place long, gram long, covered boolean, body binary")
     found = regions.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_windows(window), "doc_id long, first long, end long")
     first = F.shiftright("place", 20)
@@ -319,7 +320,7 @@ def _cut(whole_characters: bool, keep: tuple[str, ...] = ()):
 
 def _applied(docs: DataFrame, window: int, texts: bool, keep: tuple[str, ...] = ()) -> DataFrame:
     docs = tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
-    spans = repeated_spans(docs, window)
+    spans = repeated_spans(docs, window, keep)
     of = spans.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("first", "end")).alias("_spans"))
     rows = docs.repartition(shuffle_partitions(docs.sparkSession), "doc_id")
     rows = rows.join(of, rows.doc_id.eqNullSafe(F.col("_of")), "left")
