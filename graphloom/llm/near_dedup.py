@@ -333,7 +333,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = nodes.join(sig8, "rep")
     found = written(members.repartition(n, "key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(_forest, "a long, b long").distinct(), "candidates")
     involved = found.select(F.col("a").alias("rep")).unionByName(found.where("b is not null").select(F.col("b").alias("rep"))).distinct()
-    texts = written(docs.withColumnRenamed("doc_id", "rep").join(involved, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")), "texts")
+    texts = written(docs.withColumnRenamed("doc_id", "rep").hint("merge").join(involved, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")), "texts")
     links = _confirmed(found.where("b is not null"), texts)
     first = written(connected_components(links), "components")
     labelled = members.join(involved, "rep", "left_semi").join(first.withColumnRenamed("id", "rep"), "rep", "left")
