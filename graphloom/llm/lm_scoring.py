@@ -32,6 +32,7 @@ CLASSES, WIDTH = 32, 32
 ROWS, INNER_ROWS = 1 << 12, 1 << 13
 FEATURES = 4
 STEP, BATCH = 0.4, 1 << 12
+CLIP = 30.0
 #: Words kept between counts that are handed on.
 COUNTED = 1 << 20
 
@@ -49,6 +50,11 @@ class Counts:
     tokens: int
     distinct: int
 
+    def __post_init__(self) -> None:
+        self.slots = np.zeros(1 << 20, np.int64)
+        order = np.argsort(-self.ranks, kind="stable")  # of words in one slot the most frequent stays
+        self.slots[((self.words[order] >> U64(40)) & U64(len(self.slots) - 1)).astype(np.int64)] = order
+
     @property
     def tail(self) -> int:
         """Smoothed count of all that the model has no class for, unseen words included."""
@@ -111,9 +117,14 @@ def _looked_up(counts: Counts, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Count (0 where it isn't at hand) and rank (HEAD there) of each token."""
     if not len(counts.words):
         return np.zeros(len(tokens), np.int64), np.full(len(tokens), HEAD)
-    at = np.searchsorted(counts.words, tokens)
-    at[at == len(counts.words)] = 0
+    # a direct table finds most tokens; those that share a slot with a more frequent word are searched
+    at = counts.slots[(tokens >> U64(40)) & U64(len(counts.slots) - 1)]
     known = counts.words[at] == tokens
+    if (rest := np.flatnonzero(~known)).size:
+        own = np.searchsorted(counts.words, tokens[rest])
+        own[own == len(counts.words)] = 0
+        at[rest] = own
+        known[rest] = counts.words[own] == tokens[rest]
     return np.where(known, counts.n[at], 0), np.where(known, counts.ranks[at], HEAD)
 
 
@@ -139,15 +150,23 @@ def _inner_rows(features: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return rows.astype(np.int64)
 
 
-def _softmax(table: np.ndarray, rows: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
-    """log-probabilities, one row a token; outputs at `limit` and beyond don't exist."""
-    z = table[rows[:, 0]].copy()
+def _logits(table: np.ndarray, rows: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the rows' outputs, one row a token, within +-CLIP, so that no exponential overflows or
+    vanishes; outputs at `limit` and beyond don't exist."""
+    z = table[rows[:, 0]]
     for k in range(1, rows.shape[1]):
-        z += table[rows[:, k]]
+        z += np.take(table, rows[:, k], axis=0)
+    np.clip(z, -CLIP, CLIP, out=z)
     if limit is not None:
         z[np.arange(z.shape[1]) >= limit[:, None]] = -np.inf
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def _log_softmax(table: np.ndarray, rows: np.ndarray, target: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+    """The log-probability of each token's own output."""
+    z = _logits(table, rows, limit)
+    own = z[np.arange(len(target)), target]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def _shape() -> tuple[int, int]:
@@ -177,7 +196,9 @@ class Trainer:
 
     def _step(self, k: int, rows: np.ndarray, target: np.ndarray, limit: np.ndarray | None) -> None:
         table, squares, uses = self.weights[k], self.squares[k], self.uses[k]
-        gradient = np.exp(_softmax(table, rows, limit))
+        gradient = _logits(table, rows, limit)
+        np.exp(gradient, out=gradient)
+        gradient /= gradient.sum(axis=1, keepdims=True)
         gradient[np.arange(len(target)), target] -= 1
         if k == 0:  # the bias is one row for all tokens
             self._move(table, squares, uses, np.zeros(1, np.int64), gradient.mean(axis=0)[None, :], np.array([len(target)]))
@@ -187,7 +208,7 @@ class Trainer:
         flat = flat[order]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         n = np.diff(np.concatenate([first, [len(flat)]]))
-        mean = np.add.reduceat(gradient[order % len(target)], first, axis=0) / n[:, None].astype(np.float32)
+        mean = np.add.reduceat(np.take(gradient, order % len(target), axis=0), first, axis=0) / n[:, None].astype(np.float32)
         self._move(table, squares, uses, flat[first], mean, n)
 
     @staticmethod
@@ -207,7 +228,8 @@ class Trainer:
             self._step(0, _outer_rows(f), c, None if self.offered == CLASSES else np.full(len(c), self.offered))
             if (inner := np.flatnonzero(c)).size:
                 c = c[inner]
-                self._step(1, _inner_rows(f[inner], c), rank[own][inner] % WIDTH, self.sizes[c])
+                full = self.sizes[c]
+                self._step(1, _inner_rows(f[inner], c), rank[own][inner] % WIDTH, None if (full == WIDTH).all() else full)
 
 
 def _rows_out(tables: list[np.ndarray], uses: list[np.ndarray]) -> pa.RecordBatch:
@@ -252,10 +274,10 @@ class Model:
         for s in range(0, len(tokens), BATCH):
             own = slice(s, s + BATCH)
             f, c = features[own], classes[own]
-            score = _softmax(self.outer, _outer_rows(f), None if offered == CLASSES else np.full(len(c), offered))[np.arange(len(c)), c].astype(np.float64)
+            score = _log_softmax(self.outer, _outer_rows(f), c, None if offered == CLASSES else np.full(len(c), offered)).astype(np.float64)
             if (inner := np.flatnonzero(c)).size:
-                within = _softmax(self.inner, _inner_rows(f[inner], c[inner]), sizes[c[inner]])
-                score[inner] += within[np.arange(len(inner)), rank[own][inner] % WIDTH]
+                full = sizes[c[inner]]
+                score[inner] += _log_softmax(self.inner, _inner_rows(f[inner], c[inner]), rank[own][inner] % WIDTH, None if (full == WIDTH).all() else full)
             out[own] = score
         out /= np.log(10)
         return out + np.where(model, 0.0, np.log10((n + 1) / max(self.counts.tail, 1))), n, rank
