@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,10 +44,8 @@ def _valid(pattern: str) -> str | None:
     session = SparkSession.getActiveSession()
     try:
         session.sparkContext._jvm.java.util.regex.Pattern.compile(java)
-    except Exception as e:  # what py4j wraps a PatternSyntaxException in
-        if "PatternSyntaxException" in str(e):
-            return None
-        raise
+    except IllegalArgumentException:  # what a PatternSyntaxException is
+        return None
     return java
 
 
