@@ -9,7 +9,9 @@ windows meet, and a run of windows with one least gram (an anchor) travels as on
 numbers without text.  An anchor with a hash of its own ends there.  Anchors whose whole regions,
 the bytes that their windows cover, are equal (128 bits of hashes) repeat entirely and need no
 sort.  Only differing regions around a common anchor fetch their text; the passes over 8-byte
-digits run on their windows, and windows alone in their group drop out after each pass.
+digits run on their windows, and windows alone in their group drop out after each pass.  A gram of
+more than MANY_ROWS rows would bring too many together: its windows take the whole content, as 128
+bits of hashes, for one digit of the distributed pass, and neighbours in that order are compared.
 """
 
 from __future__ import annotations
@@ -19,15 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, mix, powers, shuffle_partitions, slices, tuned, written
+from .common import U64, buffers, fold, mix, powers, shuffle_partitions, slices, tuned, written
 
 GRAM = 32
 WINDOW = 200
 #: Windows sorted at once in a task; more of one anchor are sorted in parts by their distance to it.
 SORT_WINDOWS = 1 << 20
+#: A gram with more rows has its differing regions' windows dealt out by their whole content.
+MANY_ROWS = 1024
 
 _CHUNK = 1 << 20
 _TABLES: list[np.ndarray] = []
@@ -114,42 +119,30 @@ def _anchor_rows(window: int):
     return rows
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (gram, region) -> of grams that repeat: kind 1, regions that repeat; kind 2,
-    one row for each different region of a gram that has several (covered: it is of kind 1 too)."""
-    held: pa.Table | None = None
-
-    def judged(rows: pa.Table) -> pa.RecordBatch:
-        gram, region = (rows.column(c).to_numpy() for c in ("gram", "region"))
-        new_gram = np.concatenate([[True], np.diff(gram) != 0])
-        new = new_gram | np.concatenate([[True], np.diff(region) != 0])
-        begin = np.flatnonzero(new)
-        run = np.diff(np.concatenate([begin, [len(gram)]]))
-        several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1] > 1
-        again = np.repeat(run > 1, run)
-        probe = new & several
-        at = np.concatenate([np.flatnonzero(again), np.flatnonzero(probe)])
-        kind = np.concatenate([np.full(int(again.sum()), 1), np.full(int(probe.sum()), 2)]).astype(np.int32)
-        out = rows.take(pa.array(at))
-        return pa.RecordBatch.from_arrays([out.column(c).combine_chunks() for c in ("doc_id", "place", "gram")] + [pa.array(kind), pa.array(again[at])], ["doc_id", "place", "gram", "kind", "covered"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        gram = rows.column("gram").to_numpy()
-        if gram[0] == gram[-1]:
-            held = rows
-            continue
-        cut = int(np.flatnonzero(np.diff(gram))[-1]) + 1
-        yield judged(rows.slice(0, cut))
-        held = rows.slice(cut)
-    if held is not None:
-        yield judged(held)
+def _lanes(u: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the `span` bytes from each position on."""
+    one, two = np.full(len(at), span, U64), np.full(len(at), ~U64(span), U64)
+    for j in [*range(0, span - 7, 8), *([span - 8] if span % 8 else [])]:
+        word = u[at + j]
+        one, two = fold(one, word), fold(two, word * U64(0xA0761D6478BD642F))
+    return mix(one), mix(two)
+
+
+def _dealt(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys to deal windows by, and which have an equal one here.  Of equal windows the first keeps
+    its key and meets the others' firsts; the rest, judged already, go anywhere."""
+    order = np.lexsort((two, one))
+    same = (np.diff(one[order]) == 0) & (np.diff(two[order]) == 0)
+    later, known = np.zeros(len(one), bool), np.zeros(len(one), bool)
+    later[order[1:]] = same
+    known[order[1:]] |= same
+    known[order[:-1]] |= same
+    return np.where(later, mix(one + np.arange(len(one), dtype=U64)), one), known
 
 
 def _regions(window: int):
-    """Rows (places of a document, its text) -> the bytes of each region."""
+    """Rows (places of a document, its text) -> the bytes of each region; of a region around a gram
+    with many rows, two hashes of each window instead, which are dealt out by content."""
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,21 +152,49 @@ def _regions(window: int):
             lists = batch.column("probes")
             flat = lists.flatten()
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            place = flat.field("place").to_numpy()
-            begin = off[owner] + (place >> 20)
-            size = ((place >> 10) & 1023) + window
-            for s in range(0, len(place), 20_000):
-                b, n = begin[s : s + 20_000], size[s : s + 20_000]
-                first = np.cumsum(n) - n
-                out = data[np.arange(int(n.sum())) + np.repeat(b - first, n)]
-                ends = np.concatenate([first, [n.sum()]]).astype(np.int32)
-                body = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(out))])
-                part = flat.slice(s, len(n))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner[s : s + 20_000])), part.field("place"), part.field("gram"), part.field("covered"), body], ["doc_id", "place", "gram", "covered", "body"])
+            ids, owner_of = batch.column("doc_id"), owner
+            wide = flat.field("many").to_numpy(zero_copy_only=False)
+            for many, step in ((False, 20_000), (True, 4_000)):
+                at = np.flatnonzero(wide == many)
+                for s in range(0, len(at), step):
+                    part, owner = flat.take(pa.array(at[s : s + step])), owner_of[at[s : s + step]]
+                    place = part.field("place").to_numpy()
+                    count = ((place >> 10) & 1023) + 1
+                    n = count - 1 + window
+                    first = np.cumsum(n) - n
+                    out = data[np.arange(int(n.sum())) + np.repeat(off[owner] + (place >> 20) - first, n)]
+                    if many:
+                        own = np.repeat(np.arange(len(place)), count)
+                        far = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+                        one, two = _lanes(_words(out), first[own] + far, window)
+                        key, known = _dealt(one, two)
+                        columns = [ids.take(pa.array(owner[own])), pa.array(((place >> 20)[own] + far) << 20), pa.array(key.view(np.int64)), pa.array(two.view(np.int64)), pa.array(known), part.field("covered").take(pa.array(own)), pa.nulls(len(own), pa.binary())]
+                    else:
+                        ends = np.concatenate([first, [n.sum()]]).astype(np.int32)
+                        body = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(out))])
+                        columns = [ids.take(pa.array(owner)), part.field("place"), part.field("gram"), pa.array(np.zeros(len(n), np.int64)), pa.array(np.zeros(len(n), bool)), part.field("covered"), body]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "key", "check", "known", "covered", "body"])
 
     return regions
 
 
+def _judged(rows: pa.Table, window: int, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+    """Windows sorted by (key, check) -> intervals of those that repeat, and the last one, which the
+    next rows may equal."""
+    rows = rows.combine_chunks()
+    key, check = rows.column("key").to_numpy(), rows.column("check").to_numpy()
+    known = rows.column("known").to_numpy().copy()
+    same = (np.diff(key) == 0) & (np.diff(check) == 0)
+    known[1:] |= same
+    known[:-1] |= same
+    n = len(key) if last else len(key) - 1
+    hit = np.flatnonzero(known[:n] & ~rows.column("covered").to_numpy()[:n])
+    first = rows.column("place").to_numpy()[hit] >> 20
+    ids = rows.column("doc_id").combine_chunks().take(pa.array(hit))
+    rest = None if last else rows.slice(n).set_column(rows.schema.get_field_index("known"), "known", pa.array(known[n:]))
+    return pa.RecordBatch.from_arrays([ids, pa.array(first), pa.array(first + window)], ["doc_id", "first", "end"]), rest
+
+
 def radix_groups(data: np.ndarray, at: np.ndarray, bucket: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Whether the window at each position has an equal one in its bucket: passes over digits of
     eight bytes, most significant first, and a last one of what is left."""
@@ -198,12 +219,13 @@ def radix_groups(data: np.ndarray, at: np.ndarray, bucket: np.ndarray, window: i
 
 
 def _sorted_windows(window: int):
-    """Regions sorted by gram -> intervals of windows that repeat, of regions not covered already."""
+    """Regions sorted by gram, and single windows sorted by their hashes -> intervals of windows that
+    repeat, of regions not covered already."""
 
     def flush(rows: pa.Table) -> pa.RecordBatch:
         data, off = buffers(rows.column("body"))
         place = rows.column("place").to_numpy()
-        gram = rows.column("gram").to_numpy()
+        gram = rows.column("key").to_numpy()
         group = np.cumsum(np.concatenate([[True], np.diff(gram) != 0]))
         count, back = ((place >> 10) & 1023) + 1, place & 1023
         hits = []
@@ -227,8 +249,14 @@ def _sorted_windows(window: int):
         return pa.RecordBatch.from_arrays([ids, pa.array(base + far[lo]), pa.array(base + far[hi] + window)], ["doc_id", "first", "end"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows_held = [], 0
+        held, rows_held, window_held = [], 0, None
         for batch in batches:
+            alone = pc.is_null(batch.column("body"))
+            singles, batch = batch.filter(alone), batch.filter(pc.invert(alone))
+            if singles.num_rows:
+                rows = pa.Table.from_batches([singles])
+                found, window_held = _judged(rows if window_held is None else pa.concat_tables([window_held, rows]), window, False)
+                yield found
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -236,7 +264,7 @@ def _sorted_windows(window: int):
             if rows_held * 80 < SORT_WINDOWS:
                 continue
             rows = pa.Table.from_batches(held)
-            gram = rows.column("gram").to_numpy()
+            gram = rows.column("key").to_numpy()
             cuts = np.flatnonzero(np.diff(gram))
             if not cuts.size:
                 continue
@@ -246,6 +274,8 @@ def _sorted_windows(window: int):
             rows_held = len(gram) - cut
         if held:
             yield flush(pa.Table.from_batches(held))
+        if window_held is not None:
+            yield _judged(window_held, window, True)[0]
 
     return windows
 
@@ -257,15 +287,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select("doc_id", "text").mapInArrow(_anchor_rows(window), "doc_id long, place long, gram long, region long")
-    judged = rows.repartition("gram").sortWithinPartitions("gram", "region").mapInArrow(_repeated, "doc_id long, place long, gram long, kind int, covered boolean")
-    judged = written(judged, "repeats")
-    probes = judged.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("place", "gram", "covered")).alias("probes"))
+    # counts combine before they are dealt out, and merge joins let a hot gram or region be split
+    grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"), (F.min("region") != F.max("region")).alias("several")).where("_n > 1")
+    marked = rows.join(grams.select("gram", "several", (F.col("_n") > MANY_ROWS).alias("many")).hint("merge"), "gram")
+    marked = written(marked, "repeats")
+    mixed = marked.where("several")
+    by_region = mixed.groupBy("gram", "region", "many").agg(F.first("doc_id").alias("doc_id"), F.first("place").alias("place"), F.count(F.lit(1)).alias("_n"))
+    probes = by_region.groupBy("doc_id").agg(F.collect_list(F.struct("place", "gram", (F.col("_n") > 1).alias("covered"), "many")).alias("probes"))
     texts = docs.repartition(n, "doc_id")
     regions = probes.join(texts, probes.doc_id.eqNullSafe(texts.doc_id)).select(probes.doc_id, "probes", "text", *carry)
-    regions = regions.mapInArrow(_regions(window), "doc_id long, place long, gram long, covered boolean, body binary")
-    found = regions.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_windows(window), "doc_id long, first long, end long")
+    regions = regions.mapInArrow(_regions(window), "doc_id long, place long, key long, check long, known boolean, covered boolean, body binary")
+    found = regions.repartition("key").sortWithinPartitions("key", "check").mapInArrow(_sorted_windows(window), "doc_id long, first long, end long")
+    again = by_region.where("_n > 1").select("gram", "region")
+    whole = marked.where("not several").select("doc_id", "place").unionByName(mixed.join(again.hint("merge"), ["gram", "region"]).select("doc_id", "place"))
     first = F.shiftright("place", 20)
-    whole = judged.where("kind = 1").select("doc_id", first.alias("first"), (first + F.shiftright("place", 10).bitwiseAND(1023) + window).alias("end"))
+    whole = whole.select("doc_id", first.alias("first"), (first + F.shiftright("place", 10).bitwiseAND(1023) + window).alias("end"))
     return whole.unionByName(found)
 
 
