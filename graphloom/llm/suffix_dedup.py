@@ -10,7 +10,7 @@ numbers without text.  An anchor with a hash of its own ends there.  Anchors who
 the bytes that their windows cover, are equal (128 bits of hashes) repeat entirely and need no
 sort.  Only differing regions around a common anchor fetch their text; the passes over 8-byte
 digits run on their windows, and windows alone in their group drop out after each pass.  A gram of
-more than MANY_ROWS rows would bring too many together: its windows take the whole content, as 128
+more than SORT_WINDOWS windows would bring too many together: its windows take the whole content, as 128
 bits of hashes, for one digit of the distributed pass, and neighbours in that order are compared.
 """
 
@@ -29,10 +29,9 @@ from .common import U64, buffers, fold, mix, powers, shuffle_partitions, slices,
 
 GRAM = 32
 WINDOW = 200
-#: Windows sorted at once in a task; more of one anchor are sorted in parts by their distance to it.
+#: Windows sorted at once in a task, by their distance to the anchor in parts where a batch has more.
+#: A gram whose differing regions have more has its windows dealt out by their whole content.
 SORT_WINDOWS = 1 << 20
-#: A gram with more rows has its differing regions' windows dealt out by their whole content.
-MANY_ROWS = 1024
 
 _CHUNK = 1 << 20
 _TABLES: list[np.ndarray] = []
@@ -142,7 +141,7 @@ def _dealt(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _regions(window: int):
     """Rows (places of a document, its text) -> the bytes of each region; of a region around a gram
-    with many rows, two hashes of each window instead, which are dealt out by content."""
+    with many windows, two hashes of each window instead, which are dealt out by content."""
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,13 +286,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select("doc_id", "text").mapInArrow(_anchor_rows(window), "doc_id long, place long, gram long, region long")
-    # counts combine before they are dealt out, and merge joins let a hot gram or region be split
+    # counts combine before they are dealt out; written, they meet the rows in merge joins of plain
+    # exchanges, in which a hot gram or region is split over tasks
     grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"), (F.min("region") != F.max("region")).alias("several")).where("_n > 1")
-    marked = rows.join(grams.select("gram", "several", (F.col("_n") > MANY_ROWS).alias("many")).hint("merge"), "gram")
-    marked = written(marked, "repeats")
+    grams = written(grams.select("gram", "several"), "grams")
+    marked = written(rows.join(grams.hint("merge"), "gram"), "repeats")
     mixed = marked.where("several")
-    by_region = mixed.groupBy("gram", "region", "many").agg(F.first("doc_id").alias("doc_id"), F.first("place").alias("place"), F.count(F.lit(1)).alias("_n"))
-    probes = by_region.groupBy("doc_id").agg(F.collect_list(F.struct("place", "gram", (F.col("_n") > 1).alias("covered"), "many")).alias("probes"))
+    by_region = mixed.groupBy("gram", "region").agg(F.first("doc_id").alias("doc_id"), F.first("place").alias("place"), F.count(F.lit(1)).alias("_n"))
+    by_region = written(by_region, "regions")
+    wide = by_region.groupBy("gram").agg(F.sum(F.shiftright("place", 10).bitwiseAND(1023) + 1).alias("_windows")).where(F.col("_windows") > SORT_WINDOWS)
+    wide = written(wide.select("gram", F.lit(True).alias("_many")), "wide")
+    probes = by_region.join(wide.hint("merge"), "gram", "left").select("doc_id", F.struct("place", "gram", (F.col("_n") > 1).alias("covered"), F.coalesce("_many", F.lit(False)).alias("many")).alias("probe"))
+    probes = probes.groupBy("doc_id").agg(F.collect_list("probe").alias("probes"))
     texts = docs.repartition(n, "doc_id")
     regions = probes.join(texts, probes.doc_id.eqNullSafe(texts.doc_id)).select(probes.doc_id, "probes", "text", *carry)
     regions = regions.mapInArrow(_regions(window), "doc_id long, place long, key long, check long, known boolean, covered boolean, body binary")

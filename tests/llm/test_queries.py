@@ -69,8 +69,8 @@ def test_op4(spark, folder):
 
 
 def test_op4_hot_grams(spark, folder, monkeypatch):
-    """Every gram treated as one with many rows: windows dealt out by content give the same result."""
-    monkeypatch.setattr(suffix_dedup, "MANY_ROWS", 1)
+    """Every gram treated as one with many windows: windows dealt out by content give the same result."""
+    monkeypatch.setattr(suffix_dedup, "SORT_WINDOWS", 1)
     got = rows(Q.op4_suffix_dedup(spark, folder))
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.suffix_dedup(texts_of(folder))
 
