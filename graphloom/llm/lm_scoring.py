@@ -1,10 +1,13 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 The vocabulary is what the training texts hold.  Its most frequent words are divided into classes;
-all others and unseen words are the tail class.  The model is a softmax over classes given hashed
-features of the words before (the last one, the last two, the one before the last, a bias), then a
-softmax over the words of the class given the same features hashed with the class; within the tail
-words follow their smoothed counts.  So all words' probabilities sum to one.
+all others and unseen words are the tail class, the root of a tree whose depth grows with the
+vocabulary.  Its leaves are the other words at hand, by frequency, then buckets of the rarer and
+unseen words, by hash.  The model is a softmax over classes given hashed features of the words before
+(the last one, the last two, the one before the last, a bias), then a softmax over the words of the
+class, or over the branches of each tree node on the way to the word's leaf, given the same features
+hashed with the class or node; only within a bucket do words follow their smoothed counts.  So all
+words' probabilities sum to one.  Buckets and hash rows grow with the root of the vocabulary.
 
 Training: each task takes gradient steps over its share of all training texts; the tasks' weights
 are averaged row by row, by how often each task has used the row.  Scoring looks the rows up in
@@ -26,10 +29,14 @@ from .common import U64, mix, slices, shuffle_partitions, tuned, word_hashes, wo
 
 #: Words whose counts are sent to all tasks: a fixed number, 16 bytes each.
 HEAD = 1 << 18
-#: Classes, the tail included, and words of a class.
+#: Classes, the tail included, and words of a class or branches of a tree node.
 CLASSES, WIDTH = 32, 32
-#: Hash rows of each feature, and of a feature with a class.
+#: Words that have a class.
+CLASSED = (CLASSES - 1) * WIDTH
+#: Least hash rows of each feature, and of a feature with a class or node.
 ROWS, INNER_ROWS = 1 << 12, 1 << 13
+#: For each root of the vocabulary: hash rows, hash rows with a node, and buckets of rare words.
+ROOT_ROWS, ROOT_INNER, ROOT_BUCKETS = 4, 32, 64
 FEATURES = 4
 STEP, BATCH = 0.4, 1 << 12
 CLIP = 30.0
@@ -40,26 +47,84 @@ END = U64(1)
 _BEFORE = U64(2)
 
 
+def _power(x: float) -> int:
+    """The least power of two that is x or more."""
+    return 1 << max(0, int(np.ceil(x)) - 1).bit_length()
+
+
+def _bucket_count(beyond: int) -> int:
+    """Buckets for so many words that aren't at hand."""
+    return _power(ROOT_BUCKETS * beyond**0.5)
+
+
+def _buckets(words: np.ndarray, n: int) -> np.ndarray:
+    return ((words >> U64(20)) & U64(n - 1)).astype(np.int64)
+
+
 @dataclass
 class Counts:
-    """words: hashes of the HEAD most frequent training tokens, ascending; ranks: by frequency."""
+    """words: hashes of the HEAD most frequent training tokens, ascending; ranks: by frequency;
+    rest: of each bucket of other words the smoothed count, one for the unseen included."""
 
     words: np.ndarray
     n: np.ndarray
     ranks: np.ndarray
     tokens: int
     distinct: int
+    rest: np.ndarray
 
     def __post_init__(self) -> None:
         self.slots = np.zeros(1 << 20, np.int64)
         order = np.argsort(-self.ranks, kind="stable")  # of words in one slot the most frequent stays
         self.slots[((self.words[order] >> U64(40)) & U64(len(self.slots) - 1)).astype(np.int64)] = order
-
-    @property
-    def tail(self) -> int:
-        """Smoothed count of all that the model has no class for, unseen words included."""
-        own = self.ranks < (CLASSES - 1) * WIDTH
-        return self.tokens + self.distinct + 1 - int((self.n[own] + 1).sum())
+        self.rows = max(ROWS, _power(ROOT_ROWS * self.distinct**0.5))
+        self.inner_rows = max(INNER_ROWS, _power(ROOT_INNER * self.distinct**0.5))
+        self.treed = max(len(self.words) - CLASSED, 0)
+        # nodes and leaves of each level below the tail, the leaves first
+        levels = [self.treed + len(self.rest)]
+        while levels[-1] > 1:
+            levels.append(-(-levels[-1] // WIDTH))
+        self.levels = levels[::-1]
+        # the root is class 0; nodes of further levels follow the classes
+        self.first = [0, *(CLASSES + np.cumsum([0, *self.levels[1:-1]])).tolist()]
+        self.nodes = CLASSES + sum(self.levels[1:-1])
+
+    def path(self, tokens: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The choices after the class: index of the token, class or node, output, outputs there are."""
+        own, deep = np.flatnonzero(rank < CLASSED), np.flatnonzero(rank >= CLASSED)
+        classes = 1 + rank[own] // WIDTH
+        out = [(own, classes, rank[own] % WIDTH, _sizes(self)[classes])]
+        leaf = np.where(rank[deep] < HEAD, rank[deep] - CLASSED, self.treed + _buckets(tokens[deep], len(self.rest)))
+        for level in range(len(self.levels) - 1, 0, -1):
+            node = leaf // WIDTH
+            out.append((deep, self.first[level - 1] + node, leaf % WIDTH, np.minimum(self.levels[level] - node * WIDTH, WIDTH)))
+            leaf = node
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def weights(self) -> list[np.ndarray]:
+        """Weights to begin with: the biases follow the smoothed counts, all else is zero."""
+        by_rank = np.zeros(max(len(self.words), CLASSED), np.float64)
+        by_rank[self.ranks] = self.n + 1
+        outer, inner = (np.zeros((n, CLASSES), np.float32) for n in _shape(self))
+        words = by_rank[:CLASSED].reshape(-1, WIDTH)
+        below = np.concatenate([by_rank[CLASSED : CLASSED + self.treed], self.rest])
+        outer[0] = _biases(np.concatenate([[below.sum()], words.sum(axis=1)])[None, :])[0]
+        inner[1:CLASSES] = _biases(words)
+        for level in range(len(self.levels) - 1, 0, -1):
+            count = self.levels[level - 1]
+            below = np.concatenate([below, np.zeros(count * WIDTH - len(below))]).reshape(-1, WIDTH)
+            inner[self.first[level - 1] :][:count] = _biases(below)
+            below = below.sum(axis=1)
+        return [outer, inner]
+
+    def rest_of(self, tokens: np.ndarray) -> np.ndarray:
+        return self.rest[_buckets(tokens, len(self.rest))]
+
+
+def _biases(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of counts, relative to the greatest of each row."""
+    log = np.log(np.maximum(counts, 1))
+    return log - log.max(axis=1, keepdims=True)
 
 
 def _documents_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +175,16 @@ def head_counts(counts: DataFrame) -> Counts:
     rank = np.empty(len(word), np.int64)
     rank[np.lexsort((word.view(np.int64), -n))] = np.arange(len(word))
     order = np.argsort(word)
-    return Counts(word[order], n[order], rank[order], int(total[0] or 0), int(total[1]))
+    tokens, distinct = int(total[0] or 0), int(total[1])
+    rest = np.ones(_bucket_count(distinct - len(word)), np.int64)
+    if len(rest) > 1:
+        bucket = F.shiftrightunsigned("word", 20).bitwiseAND(F.lit(len(rest) - 1))
+        sums = counts.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("n") + 1).alias("n")).toArrow()
+        rest[sums.column("bucket").to_numpy()] += sums.column("n").to_numpy()
+    else:
+        rest += tokens + distinct
+    np.subtract.at(rest, _buckets(word, len(rest)), n + 1)
+    return Counts(word[order], n[order], rank[order], tokens, distinct, rest)
 
 
 def _looked_up(counts: Counts, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,16 +211,16 @@ def _features(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.stack([np.zeros(len(tokens), U64), mix(one + U64(11)), mix(one * U64(3) ^ mix(two + U64(12))), mix(two + U64(13))], axis=1)
 
 
-def _outer_rows(features: np.ndarray) -> np.ndarray:
-    rows = (features >> U64(20)) % U64(ROWS) + (np.arange(FEATURES, dtype=U64) * U64(ROWS))
+def _outer_rows(features: np.ndarray, n: int) -> np.ndarray:
+    rows = ((features >> U64(20)) & U64(n - 1)) + (np.arange(FEATURES, dtype=U64) * U64(n))
     rows[:, 0] = 0
     return rows.astype(np.int64)
 
 
-def _inner_rows(features: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    own = mix(features + (classes.astype(U64) * U64(0x9E3779B97F4A7C15))[:, None])
-    rows = U64(CLASSES) + (own >> U64(20)) % U64(INNER_ROWS)
-    rows[:, 0] = classes
+def _inner_rows(features: np.ndarray, nodes: np.ndarray, counts: Counts) -> np.ndarray:
+    own = mix(features + (nodes.astype(U64) * U64(0x9E3779B97F4A7C15))[:, None])
+    rows = U64(counts.nodes) + ((own >> U64(20)) & U64(counts.inner_rows - 1))
+    rows[:, 0] = nodes
     return rows.astype(np.int64)
 
 
@@ -158,7 +232,8 @@ def _logits(table: np.ndarray, rows: np.ndarray, limit: np.ndarray | None = None
         z += np.take(table, rows[:, k], axis=0)
     np.clip(z, -CLIP, CLIP, out=z)
     if limit is not None:
-        z[np.arange(z.shape[1]) >= limit[:, None]] = -np.inf
+        few = np.flatnonzero(limit < z.shape[1])
+        z[few] = np.where(np.arange(z.shape[1]) < limit[few, None], z[few], -np.inf)
     return z
 
 
@@ -169,13 +244,13 @@ def _log_softmax(table: np.ndarray, rows: np.ndarray, target: np.ndarray, limit:
     return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
-def _shape() -> tuple[int, int]:
-    return ROWS * FEATURES, CLASSES + INNER_ROWS
+def _shape(counts: Counts) -> tuple[int, int]:
+    return counts.rows * FEATURES, counts.nodes + counts.inner_rows
 
 
 def _sizes(counts: Counts) -> np.ndarray:
     """Words of each class that exist; class 0 is the tail."""
-    have = min(len(counts.words), (CLASSES - 1) * WIDTH)
+    have = min(len(counts.words), CLASSED)
     return np.clip(have - np.arange(-1, CLASSES - 1) * WIDTH, 0, WIDTH)
 
 
@@ -188,9 +263,9 @@ class Trainer:
     """Weights of one task; AdaGrad steps over batches of tokens."""
 
     def __init__(self, counts: Counts):
-        outer, inner = _shape()
-        self.counts, self.sizes, self.offered = counts, _sizes(counts), _offered(counts)
-        self.weights = [np.zeros((outer, CLASSES), np.float32), np.zeros((inner, WIDTH), np.float32)]
+        outer, inner = _shape(counts)
+        self.counts, self.offered = counts, _offered(counts)
+        self.weights = counts.weights()
         self.squares = [np.full((n, 1), 1e-2, np.float32) for n in (outer, inner)]
         self.uses = [np.zeros(n, np.int64) for n in (outer, inner)]
 
@@ -204,32 +279,32 @@ class Trainer:
             self._move(table, squares, uses, np.zeros(1, np.int64), gradient.mean(axis=0)[None, :], np.array([len(target)]))
             rows = rows[:, 1:]
         flat = rows.T.ravel()
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
+        # one sort of row and place together, which is faster than a stable argsort
+        flat = np.sort((flat << 32) | np.arange(len(flat)))
+        order, flat = flat & 0xFFFFFFFF, flat >> 32
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         n = np.diff(np.concatenate([first, [len(flat)]]))
-        mean = np.add.reduceat(np.take(gradient, order % len(target), axis=0), first, axis=0) / n[:, None].astype(np.float32)
+        mean = np.add.reduceat(np.take(gradient, order % len(target), axis=0), first, axis=0)
+        mean /= n[:, None].astype(np.float32)
         self._move(table, squares, uses, flat[first], mean, n)
 
     @staticmethod
     def _move(table: np.ndarray, squares: np.ndarray, uses: np.ndarray, row: np.ndarray, mean: np.ndarray, n: np.ndarray) -> None:
         squares[row, 0] += np.einsum("ij,ij->i", mean, mean) / mean.shape[1]
-        table[row] -= STEP / np.sqrt(FEATURES) * mean / np.sqrt(squares[row])
+        table[row] -= mean * (np.float32(STEP / np.sqrt(FEATURES)) / np.sqrt(squares[row]))
         uses[row] += n
 
     def learn(self, tokens: np.ndarray, off: np.ndarray) -> None:
         _, rank = _looked_up(self.counts, tokens)
-        model = rank < (CLASSES - 1) * WIDTH
-        classes = np.where(model, 1 + rank // WIDTH, 0)
+        classes = np.where(rank < CLASSED, 1 + rank // WIDTH, 0)
         features = _features(tokens, off)
         for s in range(0, len(tokens), BATCH):
             own = slice(s, s + BATCH)
             f, c = features[own], classes[own]
-            self._step(0, _outer_rows(f), c, None if self.offered == CLASSES else np.full(len(c), self.offered))
-            if (inner := np.flatnonzero(c)).size:
-                c = c[inner]
-                full = self.sizes[c]
-                self._step(1, _inner_rows(f[inner], c), rank[own][inner] % WIDTH, None if (full == WIDTH).all() else full)
+            self._step(0, _outer_rows(f, self.counts.rows), c, None if self.offered == CLASSES else np.full(len(c), self.offered))
+            at, node, target, full = self.counts.path(tokens[own], rank[own])
+            if at.size:
+                self._step(1, _inner_rows(f[at], node, self.counts), target, None if (full == WIDTH).all() else full)
 
 
 def _rows_out(tables: list[np.ndarray], uses: list[np.ndarray]) -> pa.RecordBatch:
@@ -241,8 +316,7 @@ def _rows_out(tables: list[np.ndarray], uses: list[np.ndarray]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate([u[u > 0] for u in uses])), values], ["row", "uses", "weights"])
 
 
-def _row_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    outer, inner = _shape()
+def _row_means(batches: Iterator[pa.RecordBatch], outer: int, inner: int) -> Iterator[pa.RecordBatch]:
     total, uses = np.zeros((outer + inner, CLASSES)), np.zeros(outer + inner, np.int64)
     for batch in batches:
         if batch.num_rows:
@@ -266,21 +340,20 @@ class Model:
         """log10 probability of each token, without the count of a word that isn't at hand; the
         token's count and rank."""
         n, rank = _looked_up(self.counts, tokens)
-        model = rank < (CLASSES - 1) * WIDTH
-        classes = np.where(model, 1 + rank // WIDTH, 0)
-        sizes, offered = _sizes(self.counts), _offered(self.counts)
+        classes = np.where(rank < CLASSED, 1 + rank // WIDTH, 0)
+        offered = _offered(self.counts)
         features = _features(tokens, off)
         out = np.empty(len(tokens))
         for s in range(0, len(tokens), BATCH):
             own = slice(s, s + BATCH)
             f, c = features[own], classes[own]
-            score = _log_softmax(self.outer, _outer_rows(f), c, None if offered == CLASSES else np.full(len(c), offered)).astype(np.float64)
-            if (inner := np.flatnonzero(c)).size:
-                full = sizes[c[inner]]
-                score[inner] += _log_softmax(self.inner, _inner_rows(f[inner], c[inner]), rank[own][inner] % WIDTH, None if (full == WIDTH).all() else full)
+            score = _log_softmax(self.outer, _outer_rows(f, self.counts.rows), c, None if offered == CLASSES else np.full(len(c), offered)).astype(np.float64)
+            at, node, target, full = self.counts.path(tokens[own], rank[own])
+            if at.size:
+                score += np.bincount(at, _log_softmax(self.inner, _inner_rows(f[at], node, self.counts), target, None if (full == WIDTH).all() else full), len(c))
             out[own] = score
         out /= np.log(10)
-        return out + np.where(model, 0.0, np.log10((n + 1) / max(self.counts.tail, 1))), n, rank
+        return out - np.where(rank < HEAD, 0.0, np.log10(self.counts.rest_of(tokens))), n, rank
 
 
 def train(training: DataFrame, counts: Counts) -> Model:
@@ -296,9 +369,9 @@ def train(training: DataFrame, counts: Counts) -> Model:
         yield _rows_out(trainer.weights, trainer.uses)
 
     kind = "row long, uses long, weights binary"
-    rows = training.select("text").mapInArrow(learn, kind).repartition(shuffle_partitions(spark), "row").mapInArrow(_row_means, kind).toArrow()
-    outer, inner = _shape()
-    table = np.zeros((outer + inner, CLASSES), np.float32)
+    outer, inner = _shape(counts)
+    rows = training.select("text").mapInArrow(learn, kind).repartition(shuffle_partitions(spark), "row").mapInArrow(lambda x: _row_means(x, outer, inner), kind).toArrow()
+    table = np.concatenate(counts.weights())
     if rows.num_rows:
         table[rows.column("row").to_numpy()] = np.frombuffer(b"".join(rows.column("weights").to_pylist()), np.float32).reshape(-1, CLASSES)
     return Model(counts, table[:outer], table[outer:])

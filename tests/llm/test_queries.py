@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from graphloom.llm import queries as Q
-from graphloom.llm import suffix_dedup
+from graphloom.llm import lm_scoring, suffix_dedup
 
 from . import brute
 from .conftest import SF, texts_of
@@ -103,6 +103,41 @@ def test_op6(spark, folder):
         assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
+def test_op6_rare_words_have_context(spark):
+    """Words beyond the classes are told apart by the words before them, at hand or not, and all
+    words' probabilities sum to one."""
+    n = 1500
+    text = " ".join(f"left{i} right{i}" for i in range(n))
+    tables = []
+    for head in (lm_scoring.HEAD, 1200):  # all words at hand; most of them in buckets
+        counts = lm_scoring.count_words(spark.createDataFrame([(text,)], "text string"))
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(lm_scoring, "HEAD", head)
+            own = lm_scoring.head_counts(counts)
+            trainer = lm_scoring.Trainer(own)
+            data = np.frombuffer(text.encode(), np.uint8)
+            tokens, off = lm_scoring._documents_tokens(data, np.array([0, len(data)]))
+            for _ in range(8):
+                trainer.learn(tokens, off)
+            model = lm_scoring.Model(own, *trainer.weights)
+            n_of = dict(zip(*np.unique(tokens, return_counts=True)))
+            words = np.array(list(n_of), lm_scoring.U64)
+            pairs = np.stack([np.full(len(words), tokens[2000]), words], axis=1).ravel()
+            got, at_hand, rank = model.token_scores(pairs, np.arange(0, len(pairs) + 1, 2))
+            p = 10 ** got[1::2] * np.where(rank[1::2] < head, 1, [n_of[w] + 1 for w in words])
+            unseen = 0.0
+            for b in range(len(own.rest)) if len(own.rest) > 1 or head > n else ():
+                w = lm_scoring.U64((b << 20) + 3)  # an unseen word of the bucket
+                unseen += 10 ** model.token_scores(np.array([tokens[2000], w]), np.array([0, 2]))[0][1]
+            assert abs(p.sum() + unseen - 1) < 1e-3
+            right = p[words == tokens[2001]][0]
+            assert right > 3 * np.median(p[rank[1::2] >= lm_scoring.CLASSED])
+            tables.append(own)
+    assert len(tables[1].rest) > len(tables[0].rest) == 1 and len(tables[0].levels) > 1
+    wide = lm_scoring.Counts(tables[0].words, tables[0].n, tables[0].ranks, 10**8, 10**7, np.ones(1 << 18, np.int64))
+    assert wide.rows > tables[0].rows and wide.inner_rows > tables[0].inner_rows and wide.nodes > tables[0].nodes
+
+
 def test_op7(spark, folder):
     docs = sorted(texts_of(folder))
     ids, _ = encoded(Q.BYTE_BPE, [t for _, t in docs])
