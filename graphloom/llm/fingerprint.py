@@ -1,8 +1,8 @@
-"""Document fingerprints: threshold-scaled sketches, by DataFrame functions only.
+"""Document fingerprints: sets of shingle hashes, by DataFrame functions only.
 
-A sketch keeps every hash of a five-word shingle below a fixed fraction of the hash range.  Sketches
-of one fraction merge by union, and the shares of their hashes estimate the containment and the
-likeness of the documents, however unequal these are in length.
+A sketch keeps the hash of every five-word shingle (or, with a greater scale, those below a fixed
+fraction of the hash range).  Sketches of one scale merge by union, and the shares of their hashes
+give the containment and the likeness of the documents, however unequal these are in length.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions
 
 SHINGLE = 5
-#: One hash in SCALE is kept.
-SCALE = 8
+#: One hash in SCALE is kept: all of them, so that short texts are told apart.
+SCALE = 1
 
 _WORDS = "[\\x20\\x09-\\x0D]+"
 
@@ -23,7 +23,7 @@ def sketch(text: Column, scale: int = SCALE) -> Column:
     """array<bigint>, ascending: hashes of the text's shingles below the threshold.  A-Z and other
     letters are lower-cased; fewer words than a shingle has are one shingle; null is as empty.  A
     lambda binds the word hashes once, so that they are not computed again for each shingle."""
-    limit = -(1 << 63) + (1 << 64) // scale
+    limit = -(1 << 63) + (1 << 64) // scale - 1  # the greatest hash that is kept
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _WORDS), lambda w: w != "")
 
     def shingles(h: Column) -> Column:
@@ -31,23 +31,23 @@ def sketch(text: Column, scale: int = SCALE) -> Column:
         short = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
         return F.when(F.size(h) >= SHINGLE, runs).otherwise(short)
 
-    bound = F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.array_sort(F.array_distinct(F.filter(shingles(h), lambda x: x < limit))))
+    bound = F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), lambda h: F.sort_array(F.array_distinct(F.filter(shingles(h), lambda x: x <= limit) if scale > 1 else shingles(h))))
     return bound[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches; two without a hash are alike."""
+    """Jaccard similarity of two sketches; two without a hash, of texts without a word at SCALE 1, are alike."""
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; of a sketch without a hash, 1."""
+    """Share of a's shingles that b has; of a sketch without a hash, 1."""
     return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def merged(a: Column, b: Column) -> Column:
     """The sketch of two documents together."""
-    return F.array_sort(F.array_union(a, b))
+    return F.sort_array(F.array_union(a, b))
 
 
 def as_string(s: Column) -> Column:

@@ -28,12 +28,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("sketch", fingerprint.sketch(F.col("text")))
     n = F.char_length("text")
     half = F.floor(n / 2)
     edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring("next_text", F.lit(1), half.cast("int")))
-    rows = fingerprint.with_next(docs, "text", "sketch").withColumn("edited", edited)
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch", fingerprint.sketch(F.col("edited")).alias("edited_sketch"))
+    sketches = {"text": "sketch", "next_text": "next_sketch", "edited": "edited_sketch"}  # after the exchange: they are larger than the texts
+    rows = fingerprint.with_next(docs, "text").withColumn("edited", edited)
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[fingerprint.sketch(F.col(c)).alias(s) for c, s in sketches.items()])
     return rows.select(
         "doc_id",
         "n_chars",

@@ -58,6 +58,24 @@ def test_op2(spark, folder):
     assert len(got) == len(docs) and np.mean(off_by) < 0.06
 
 
+def test_op2_short_texts(spark, small):
+    """Likeness is that of the whole sets of shingles, and texts of other shingles have another fingerprint."""
+    docs = sorted(((i, t or "") for i, t in texts_of(small) if (t or "").isascii()), reverse=True)
+    got = {r.doc_id: r for r in rows(Q.op2_fingerprint(spark, small))}
+    every = {i: t or "" for i, t in texts_of(small)}
+    prints = {}
+    for i, t in docs:
+        prints.setdefault(got[i].fingerprint, set()).add(brute.shingles(t))
+        if i - 1 not in every or not every[i - 1].isascii():
+            continue
+        nxt = every[i - 1]
+        a = brute.shingles(t)
+        for b, near in ((nxt, got[i].near_next), (t[: len(t) - len(t) // 2] + nxt[: len(t) // 2], got[i].near_edited)):
+            b = brute.shingles(b)
+            assert abs(near - (len(a & b) / len(a | b) if a | b else 1)) < 1e-9
+    assert all(len(x) == 1 for x in prints.values())
+
+
 def test_op3(spark, folder):
     got = rows(Q.op3_near_dedup(spark, folder))
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute.near_duplicates(texts_of(folder))
