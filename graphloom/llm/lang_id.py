@@ -102,15 +102,19 @@ def _slice_counts(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> It
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(count)], ["lang", "gram", "n"])
 
 
-def fit_profiles(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
-    """labelled(doc_id, text, lang) -> profiles.  Rows with null text or lang are left out; of each
-    language the fit_rows of least doc_id hash are used.  The driver gets PROFILE rows a language."""
+def _fit_texts(labelled: DataFrame, fit_rows: int) -> DataFrame:
+    """(doc_id, lang, text) of the fit_rows of least doc_id hash of each language."""
     rows = tuned(labelled).where("text is not null and lang is not null").select("doc_id", "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     # ids first: texts of the chosen rows only are gathered
     chosen = rows.withColumn("_r", rank).where(F.col("_r") <= fit_rows).select("doc_id").distinct()
-    texts = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-    counts = texts.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+
+
+def fit_profiles(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
+    """labelled(doc_id, text, lang) -> profiles.  Rows with null text or lang are left out; of each
+    language the fit_rows of least doc_id hash are used.  The driver gets PROFILE rows a language."""
+    counts = _fit_texts(labelled, fit_rows).select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_r") <= PROFILE)
     found = top.select("lang", "gram", "_r").collect()
     langs = sorted({r.lang for r in found})
@@ -135,3 +139,12 @@ def predict_languages(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFr
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*own.schema.names, "lang_pred", "score"])
 
     return rows.mapInArrow(predict, kind)
+
+
+def fit_cutoffs(labelled: DataFrame, profiles: Profiles, quantile: float, margin: float, least_rows: int, fit_rows: int = FIT_ROWS) -> dict[str, float]:
+    """Language -> score below which a text isn't in it: a quantile of the scores of the rows that the
+    profiles are fitted on, less a margin.  Rows that are nearer to another language than their label's
+    are left out; a language with fewer than least_rows others has no cutoff."""
+    judged = predict_languages(_fit_texts(labelled, fit_rows), profiles, "lang").where("lang_pred = lang")
+    found = judged.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("score", quantile, 10000).alias("low")).collect()
+    return {r.lang: r.low - margin for r in found if r.n >= least_rows}
