@@ -141,3 +141,31 @@ def test_enrich_and_reports(spark):
     e.add("h", g3)
     assert e.execute("h", "MATCH (i:Item) WHERE i.git_last_author = null RETURN count(*) AS n").rows() == [{"n": 4}]
     assert e.execute("h", "MATCH (i:Item) WHERE i.git_last_author = 'b' RETURN i.git_commit_count AS n").rows() == [{"n": 2}]
+
+
+def test_bans_and_bypasses(spark):
+    """The programs on callers: one that each finds, and one that each leaves out."""
+    e = Engine(spark)
+    items = [("dom", "domain-market", None), ("dom_test", "domain-market", None), ("ad", "adapters-x", None), ("infra", "infra-utils", None), ("svc::pay", "svc", True), ("svc::old", "svc", False)]
+    calls = [("dom", "Decimal::from_f64", "crates/domain/a.rs"), ("dom_test", "Decimal::from_f64", "crates/domain/a.rs"), ("ad", "reqwest::Client::new", "crates/adapters/b.rs"), ("infra", "reqwest::Client::new", "crates/adapters/infra-utils/c.rs"), ("ad", "x::to_f64", "crates/adapters/b.rs"),
+             ("svc::pay", "ledger::post", "p.rs"), ("svc::pay", "raw::append", "p.rs"), ("svc::old", "raw::append", "o.rs")]
+    nodes = [N(q, "Item", qname=q, crate=c, is_test=q.endswith("_test"), **({} if r is None else {"reachable_from_entry": r})) for q, c, r in items]
+    nodes += [N(f"cs{k}", "CallSite", callee_path=p, callee_last_segment=p.split("::")[-1], file=f, is_test=False) for k, (_, p, f) in enumerate(calls)]
+    e.ingest("k", nodes, [E(q, f"cs{k}", "INVOKES_AT") for k, (q, _, _) in enumerate(calls)])
+    of = lambda rule, **params: ([set(r.values()) for r in e.violations("k", rule, params)[0]], e.violations("k", rule, params)[1])
+    assert of("arch-ban-f64-in-domain") == ([{"dom", "domain-market", "crates/domain/a.rs", "Decimal::from_f64"}], 30)
+    assert of("arch-ban-reqwest-client-new") == ([{"ad", "adapters-x", "crates/adapters/b.rs", "reqwest::Client::new"}], 30)
+    own = {"concept": "posting", "caller_regex": "svc::.*"}
+    assert of("canonical-bypass-caller", canonical_callee_name="post", **own) == ([{"posting", "ledger::post", "svc::pay", "CANONICAL_CALLER", "p.rs"}], 30)
+    assert of("canonical-bypass-reachable", bypass_callee_name="append", **own) == ([{"posting", "raw::append", "svc::pay", "BYPASS_REACHABLE", "p.rs"}], 30)
+    assert of("canonical-bypass-dead", bypass_callee_name="append", **own) == ([{"posting", "raw::append", "svc::old", "BYPASS_DEAD", "o.rs"}], 30)
+    assert of("canonical-bypass-dead", bypass_callee_name="post", **own) == ([], 0)
+
+
+def test_vertical_split_brain_drop(spark):
+    e = Engine(spark)
+    nodes = [N("ep", "EntryPoint", name="GET /x", handler_qname="h"), N("w", "Param", name="limit"), N("ok", "Param", name="limit"), N("bad", "Param", name="max")]
+    nodes += [N(q, "Item", qname=q, is_test=q == "t") for q in ("h", "a", "b", "t")]
+    e.ingest("k", nodes, [E("ep", "w", "REGISTERS_PARAM"), E("ep", "h", "EXPOSES"), E("h", "a", "CALLS"), E("a", "b", "CALLS"), E("h", "t", "CALLS"), E("a", "ok", "HAS_PARAM"), E("b", "bad", "HAS_PARAM"), E("t", "bad", "HAS_PARAM")])
+    rows, code = e.violations("k", "vertical-split-brain-drop")
+    assert (rows, code) == ([{"entry_point": "GET /x", "entry_qname": "h", "wire_param": "limit", "matching_resolver": "a", "divergent_resolver": "b", "divergent_key": "max", "divergence_kind": "drop"}], 30)
