@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
-from importlib import resources
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from .plans import ast as A
 from .plans.compiler import Compiler, Warning_, row_key
 from .plans.lint import lint_shape
 from .plans.parser import parse
+from .rules import PROGRAMS
 from .sources.graph import SCHEMA_VERSION, Graph, graph_of, load_json, merged, save_json
 
 
@@ -120,10 +119,10 @@ class Engine:
 
 def programs() -> list[str]:
     """Names of the rule programs."""
-    return sorted(p.name[:-7] for p in resources.files("graphloom.rules").iterdir() if p.name.endswith(".cypher"))
+    return sorted(PROGRAMS)
 
 
 def program(name: str) -> str:
-    if not re.fullmatch(r"[a-z0-9-]+", name):
+    if name not in PROGRAMS:
         raise ValueError(f"no rule program {name!r}")
-    return (resources.files("graphloom.rules") / f"{name}.cypher").read_text(encoding="utf-8")
+    return PROGRAMS[name]

@@ -32,7 +32,8 @@ def _with_items(graph: Graph, items: DataFrame) -> Graph:
 
 def _with_edges(graph: Graph, label: str, edges: DataFrame) -> Graph:
     old = graph.edges[label] if label in graph.edges else None
-    return replace(graph, edges={**{k: graph.edges[k] for k in graph.edges if k != label}, label: edges if old is None else old.unionByName(edges, allowMissingColumns=True)})
+    edges = {**{k: graph.edges[k] for k in graph.edges if k != label}, label: edges if old is None else old.unionByName(edges, allowMissingColumns=True)}
+    return replace(graph, edges=edges, ends={k: v for k, v in graph.ends.items() if k != label})
 
 
 def _put(table: DataFrame, **columns: Column) -> DataFrame:

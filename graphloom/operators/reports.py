@@ -6,10 +6,13 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..engine import program, run_query
+from ..engine import QueryResult, program, run_query
+from ..functions.values import Val, as_string, kind_of
+from ..plans.compiler import Warning_
+from ..rules import FINDING
 from ..sources.graph import Graph
 from ..sources.toml_specs import Contexts
 from .dump import Diff
@@ -25,9 +28,20 @@ CLASSES = {
 }
 
 
+#: Why a class may be empty (what its program needs).
+NEEDS = {
+    "duplicated_feature": "no two crates of this context have a type of one name",
+    "context_homonym": "no function here differs in signature from one of its name in another context; without signatures there are none",
+    "unfinished_refactor": "no deprecated item here",
+    "random_scattering": "no reachable functions here fork one concept; this needs entry points, CALLS and the reachability pass",
+    "canonical_bypass": "no canonical item here is unreachable; this needs the concepts and the reachability passes",
+    "unwired": "no function here is unreachable; this needs the reachability pass",
+}
+
+
 @dataclass
 class Scope:
-    """findings(class, qname, ...), items of each crate, candidates for one home, warnings."""
+    """findings(class and the columns of a finding), items of each crate, candidates for one home, warnings."""
 
     context: str
     findings: DataFrame
@@ -36,70 +50,95 @@ class Scope:
     warnings: list[str] = field(default_factory=list)
 
 
+def _text(table: DataFrame, prop: str) -> Column:
+    """A property's strings; other values are null."""
+    kind = kind_of(table.schema[f"p_{prop}"].dataType)
+    return as_string(Val(kind, F.col(f"p_{prop}")))
+
+
+def _texts(graph: Graph, label: str, *props: str) -> DataFrame:
+    table = graph.table("node", label, list(props))
+    return table.select("id", *[_text(table, p).alias(p) for p in props])
+
+
+def findings_of(graph: Graph, cls: str, context: str) -> DataFrame:
+    """The distinct findings of one class in a context; rows that lack a text other than the line are no findings."""
+    rows = run_query(graph, program(CLASSES[cls]), {"context": context}).df
+    texts = [c for c in FINDING if c != "line"]
+    have = rows.select(F.lit(cls).alias("class"), *[(F.coalesce(F.col(c).cast("long"), F.lit(0)) if c == "line" else F.col(c)).alias(c) for c in FINDING])
+    return have.dropna(subset=texts).distinct()
+
+
 def scope(graph: Graph, context: str) -> Scope:
-    """The six classifier programs for one context, the crates' item counts and the names that live
-    in several crates, one of the context's among them."""
-    known = graph.table("node", "Item", ["bounded_context"]).select(F.col("p_bounded_context").alias("c")).union(graph.table("node", "Context", ["name"]).select(F.col("p_name").alias("c")))
-    if known.where(F.col("c") == context).isEmpty():
-        raise ValueError(f"no context {context!r}")
+    """The findings of all classes in one declared context, its crates' item counts, the names that
+    several crates share, one of the context's among them, and a warning for each empty class."""
+    known = _texts(graph, "Context", "name")
+    if known.where(F.col("name") == context).isEmpty():
+        raise ValueError(f"no context {context!r}; known: {sorted(r.name for r in known.distinct().collect() if r.name)}")
     parts = None
-    for cls, rule in CLASSES.items():
-        df = run_query(graph, program(rule), {"context": context}).df
-        own = df.select(F.lit(cls).alias("class"), F.col("qname"), F.col("name"), F.col("crate"), F.col("file"), F.col("line").cast("long").alias("line"))
+    for cls in CLASSES:
+        own = findings_of(graph, cls, context)
         parts = own if parts is None else parts.unionByName(own)
-    findings = parts.dropDuplicates().orderBy("class", "qname", "file", "line")
-    inventory = run_query(graph, "MATCH (i:Item) WHERE i.bounded_context = $context RETURN i.crate AS crate, count(*) AS n", {"context": context}).df
-    mine = inventory.select(F.collect_set("crate").alias("_mine"))
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(CLASSES) for x in (c, i)])
+    findings = parts.orderBy(place[F.col("class")], *FINDING)
+    whole = _all_texts(graph, "Item", *[c for c in FINDING if c != "line"]).where(F.col("bounded_context") == context)
+    inventory = whole.groupBy("crate").agg(F.count(F.lit(1)).alias("n")).orderBy("crate")
+    mine = _texts(graph, "Item", "crate", "bounded_context").where((F.col("bounded_context") == context) & F.col("crate").isNotNull()).select(F.collect_set("crate").alias("_mine"))  # one row
     named = run_query(graph, program("hsb-by-name")).df
-    candidates = named.crossJoin(F.broadcast(mine)).where(F.arrays_overlap("crates", "_mine")).drop("_mine")
-    found = {r["class"] for r in findings.select("class").distinct().collect()}
-    return Scope(context, findings, inventory.orderBy("crate"), candidates, [f"{c}: no finding" for c in CLASSES if c not in found])
+    candidates = named.crossJoin(F.broadcast(mine)).where(F.arrays_overlap("crates", "_mine")).select("name", "kind", "crates", "qnames", "files").orderBy("name", "kind")
+    found = {r["class"] for r in parts.select("class").distinct().collect()}
+    return Scope(context, findings, inventory, candidates, [f"{c} is empty: {why}" for c, why in NEEDS.items() if c not in found])
+
+
+def _all_texts(graph: Graph, label: str, *props: str) -> DataFrame:
+    return _texts(graph, label, *props).dropna(subset=list(props))
 
 
 def classify(s: Scope, d: Diff) -> DataFrame:
-    """The findings of a scope whose qualified names a diff adds or changes."""
+    """The findings of a scope whose qualified names a diff adds or changes, on either side: a node's
+    qualified name or else its id, an edge's both ends."""
     lines = d.added.select("line").unionByName(d.changed.select(F.col("a").alias("line"))).unionByName(d.changed.select(F.col("b").alias("line")))
-    paths = ("$.props.qname", "$.id", "$.src_qname", "$.dst_qname")
-    touched = lines.select(F.explode(F.array(*[F.get_json_object("line", p) for p in paths])).alias("qname")).where("qname is not null").distinct()
+    get = lambda p: F.get_json_object("line", p)
+    names = F.when(get("$.kind") == "node", F.array(F.coalesce(get("$.props.qname"), get("$.id")))).otherwise(F.array(get("$.src_qname"), get("$.dst_qname")))
+    touched = lines.select(F.explode(names).alias("qname")).where("qname is not null").distinct()
     return s.findings.join(touched, "qname", "left_semi")
 
 
 def classify_jsonl(s: Scope, findings: DataFrame) -> str:
     """A header, the findings in class order, the warnings: one JSON object a line."""
     place = {c: i for i, c in enumerate(CLASSES)}
-    rows = sorted((r.asDict() for r in findings.collect()), key=lambda r: (place[r["class"]], r["qname"] or "", r["file"] or "", r["line"] or 0))
-    out = [{"kind": "header", "context": s.context, "findings": len(rows)}, *({"kind": "finding", **r} for r in rows), *({"kind": "warning", "message": w} for w in s.warnings)]
+    rows = sorted((r.asDict() for r in findings.collect()), key=lambda r: (place[r["class"]], *(r[c] for c in FINDING)))
+    out = [{"op": "header", "schema_version": "v1", "inventory_context": s.context, "findings": len(rows)}, *({"op": "finding", **r} for r in rows), *({"op": "warning", "message": w} for w in s.warnings)]
     return "\n".join(json.dumps(x, sort_keys=True) for x in out)
 
 
 def check_t1(graph: Graph) -> DataFrame:
-    """(name, verdict): contexts without a concept's items, without a canonical crate in the graph, or
-    with a governing document that no document node mentions."""
-    contexts = graph.table("node", "Context", ["name", "canonical_crate", "owning_rfc"])
-    text = lambda p: F.col(f"p_{p}") if dict(contexts.dtypes)[f"p_{p}"] == "string" else F.col(f"p_{p}.s")
-    contexts = contexts.select(text("name").alias("name"), text("canonical_crate").alias("crate"), text("owning_rfc").alias("rfc"))
-    concepts = graph.table("node", "Concept", ["name"]).select("id", F.col("p_name").alias("name"))
-    wired = graph.table("edge", "LABELED_AS", []).select("dst").distinct()
-    used = concepts.join(wired, concepts.id == wired.dst, "left_semi").select("name")
-    crates = graph.table("node", "Crate", ["name"]).select(F.col("p_name").alias("crate"))
-    docs = graph.table("node", "RfcDoc", ["path", "title"])
-    title = F.col("p_title") if dict(docs.dtypes)["p_title"] == "string" else F.col("p_title.s")
-    docs = docs.select(F.concat_ws("\n", "p_path", title).alias("words"))
-    unwired = contexts.join(used, "name", "left_anti").select("name", F.lit("CONCEPT_UNWIRED").alias("verdict"))
-    homeless = contexts.where("crate is not null").join(crates, "crate", "left_anti").select("name", F.lit("MISSING_CANONICAL_CRATE").alias("verdict"))
-    stale = contexts.where("rfc is not null").join(docs, F.contains("words", "rfc"), "left_anti").select("name", F.lit("STALE_RFC_REFERENCE").alias("verdict"))
-    return unwired.unionByName(homeless).unionByName(stale).distinct().orderBy("name", "verdict")
+    """(verdict, context_name, canonical_crate, owning_rfc, evidence), by name and verdict: contexts
+    that no item has, whose canonical crate isn't in the graph, or whose governing document no document
+    node has in its path or title.  Empty and missing texts are no declaration."""
+    contexts = _texts(graph, "Context", "name", "canonical_crate", "owning_rfc").where("name is not null")
+    contexts = contexts.withColumnRenamed("name", "context_name")
+    used = _texts(graph, "Item", "bounded_context").select(F.col("bounded_context").alias("context_name")).distinct()
+    crates = _texts(graph, "Crate", "name").select(F.col("name").alias("canonical_crate")).distinct()
+    titles = _texts(graph, "RfcDoc", "path", "title")
+    words = titles.select(F.explode(F.array("path", "title")).alias("words")).where("words is not null")
+    # each document text meets the few declared names, not the other way round; what is found is distinct
+    wanted = contexts.where("owning_rfc <> ''").select("owning_rfc").distinct()
+    cited = words.join(wanted, F.contains("words", "owning_rfc")).select("owning_rfc").distinct()
+    verdict = lambda rows, name, evidence: rows.select(F.lit(name).alias("verdict"), "context_name", "canonical_crate", "owning_rfc", F.col(evidence).alias("evidence"))
+    unwired = verdict(contexts.join(used, "context_name", "left_anti"), "CONCEPT_UNWIRED", "context_name")
+    homeless = verdict(contexts.where("canonical_crate <> ''").join(crates, "canonical_crate", "left_anti"), "MISSING_CANONICAL_CRATE", "canonical_crate")
+    stale = verdict(contexts.where("owning_rfc <> ''").join(cited, "owning_rfc", "left_anti"), "STALE_RFC_REFERENCE", "owning_rfc")
+    return unwired.unionByName(homeless).unionByName(stale).orderBy("context_name", "verdict")
 
 
 def check_t3(graph: Graph) -> DataFrame:
-    """Names in several crates, whether they cross contexts, and the first of their crates that some
-    context declares canonical."""
+    """Types whose name several crates share, whether they cross contexts, and the first of their
+    crates that some context declares canonical; most frequent first."""
     rows = run_query(graph, program("t3-concept-multi-crate")).df
-    contexts = graph.table("node", "Context", ["canonical_crate"])
-    home = F.col("p_canonical_crate") if dict(contexts.dtypes)["p_canonical_crate"] == "string" else F.col("p_canonical_crate.s")
-    canon = contexts.select(F.coalesce(F.collect_set(home), F.array().cast("array<string>")).alias("_canon"))  # one row
-    rows = rows.crossJoin(F.broadcast(canon))
-    return rows.withColumns({"is_cross_context": F.col("n_contexts") > 1, "canonical_crate": F.try_element_at(F.array_intersect("crates", "_canon"), F.lit(1))}).drop("_canon")
+    canon = _texts(graph, "Context", "canonical_crate").select(F.coalesce(F.collect_set("canonical_crate"), F.array().cast("array<string>")).alias("_canon"))  # one row
+    rows = rows.crossJoin(F.broadcast(canon)).where("name is not null and kind is not null")
+    return rows.withColumns({"is_cross_context": F.col("n_contexts") > 1, "canonical_candidate": F.try_element_at(F.array_intersect("crates", "_canon"), F.lit(1))}).drop("_canon").orderBy(F.desc("n"), "name", "kind")
 
 
 _FORMS = ("context", "regex", "literal", "list")
@@ -129,11 +168,20 @@ def check_predicate(graph: Graph, text: str, params: list[str], contexts: Contex
     return df.select("qname", "line", "reason").orderBy("qname", "line", "reason")
 
 
-def list_items_matching(graph: Graph, pattern: str, kinds: list[str] | None = None, group_by_context: bool = False) -> DataFrame:
-    """Items whose name the pattern finds, flat or collected by bounded context."""
-    where = "WHERE i.name =~ $pattern" + (" AND i.kind IN $kinds" if kinds else "")
+#: Kinds of items by the names that callers give (fixed values: "Fn" -> "fn").
+KINDS = {"Struct": "struct", "Enum": "enum", "Fn": "fn", "Const": "const", "TypeAlias": "type_alias", "ImplBlock": "impl_block", "Trait": "trait"}
+
+
+def list_items_matching(graph: Graph, pattern: str, kinds: list[str] | None = None, group_by_context: bool = False) -> QueryResult:
+    """Items whose name the pattern finds, flat or collected by bounded context.  kinds: names of KINDS
+    or their values; of impl blocks there are no items, which a warning says."""
+    where = "WHERE item.name =~ $pattern" + (" AND item.kind IN $kinds" if kinds is not None else "")
     if group_by_context:
-        text = f"MATCH (i:Item) {where} RETURN i.bounded_context AS bounded_context, collect(i.qname) AS items ORDER BY bounded_context"
+        text = f"MATCH (item:Item) {where} WITH item.bounded_context AS bounded_context, collect(item) AS items RETURN bounded_context, items ORDER BY bounded_context"
     else:
-        text = f"MATCH (i:Item) {where} RETURN i.qname AS qname, i.name AS name, i.kind AS kind, i.crate AS crate, i.bounded_context AS bounded_context, i.file AS file, i.line AS line ORDER BY qname"
-    return run_query(graph, text, {"pattern": pattern, "kinds": kinds or []}).df
+        text = f"MATCH (item:Item) {where} RETURN {', '.join(f'item.{c} AS {c}' for c in FINDING)} ORDER BY qname"
+    own = [KINDS.get(k, k) for k in kinds or []]
+    result = run_query(graph, text, {"pattern": pattern, "kinds": own})
+    if KINDS["ImplBlock"] in own:
+        result.warnings.append(Warning_("EmptyResult", "impl blocks are no items of their own: the kind ImplBlock matches none", "leave ImplBlock out"))
+    return result

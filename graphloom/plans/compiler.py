@@ -192,7 +192,17 @@ class Compiler:
             if is_written_source:
                 self._known("node", end.label)
             var = self._name(end.var)
-            table, binding = self._entity("node", end.label, var, self.props.get(end.var, set()) | {k for k, _ in end.props})
+            wanted = self.props.get(end.var, set()) | {k for k, _ in end.props}
+            sure = self._sure(p.edge_label, end is source, end.label) if p.direction != "both" else None
+            if sure and not wanted & set(self.graph.properties("node", sure)):
+                # the edges' schema says what stands at this end, and nothing of it is read
+                edges = edges.withColumn(f"{var}__id", self._col(column)).withColumn(f"{var}__label", F.lit(sure))
+                if (inline := self._inline(var, Binding("node", {}), end.props)) is not None:
+                    edges = edges.where(inline)
+                if end.var:
+                    new[end.var] = Binding("node", {k: "missing" for k in wanted}, optional)
+                continue
+            table, binding = self._entity("node", end.label, var, wanted)
             if (inline := self._inline(var, binding, end.props)) is not None:
                 table = table.where(inline)
             if not end.var:
@@ -216,6 +226,12 @@ class Compiler:
         self.frame = self.frame.drop(*[c for c in self.frame.columns if c.startswith(f"{name}__")])
         self.env.update(new)
 
+    def _sure(self, edge_label: str | None, at_source: bool, label: str | None) -> str | None:
+        """The one label that the nodes at an end of these edges have, where the graph vouches for it
+        and the pattern asks for no other."""
+        own = (self.graph.ends.get(edge_label) or (None, None))[0 if at_source else 1]
+        return own if own is not None and label in (None, own) else None
+
     def _path_of_nullable(self, p: A.PathPattern, var: str, bound: Binding) -> None:
         """Rows in which the source is null enumerate it anew; the others are pinned."""
         frame, env = self.frame, dict(self.env)
@@ -251,7 +267,8 @@ class Compiler:
 
     def _reach(self, p: A.PathPattern, name: str) -> DataFrame:
         """(src, dst) with the least number of hops between them in range; never src itself.  Each
-        round joins the last distinct frontier, so walks aren't enumerated."""
+        round joins the newest nodes alone and keeps the others, one aggregate a round, so walks aren't
+        enumerated and no round is derived twice."""
         least, most = p.hops
         most = min(max(most, least), max(MOST_HOPS, least))
         edges = self.graph.table("edge", p.edge_label, []).select("src", "dst")
@@ -264,18 +281,21 @@ class Compiler:
         start = None
         if var in self.env and self.env[var].kind == "node" and self.frame is not None:
             start = self.frame.select(self._col(f"{var}__id").alias("start")).distinct()
-        elif end.label is not None:
+        elif end.label is not None and (p.direction == "both" or not self._sure(p.edge_label, p.direction == "out", end.label)):
             start = self.graph.table("node", end.label, []).select(F.col("id").alias("start"))
         a, b = ("src", "dst") if p.direction != "in" else ("dst", "src")
         hop = edges.select(F.col(a).alias("at"), F.col(b).alias("to"))
-        frontier = hop.select(F.col("at").alias("start"), F.col("to").alias("node")).where("start <> node")
+        rows = hop.select(F.col("at").alias("start"), F.col("to").alias("node")).where("start <> node")
         if start is not None:
-            frontier = frontier.join(start, "start", "left_semi")
-        found = frontier.withColumn("d", F.lit(1))
-        for d in range(2, most + 1):
-            frontier = frontier.join(hop, frontier.node == hop.at).select("start", F.col("to").alias("node")).where("start <> node").distinct()
-            found = found.unionByName(frontier.withColumn("d", F.lit(d)))
-        pairs = found.groupBy("start", "node").agg(F.min("d").alias("d")).where(F.col("d") >= max(least, 1))
+            rows = rows.join(start, "start", "left_semi")
+        rows = rows.withColumn("d", F.lit(1))
+        for d in range(1, most):
+            # nodes found earlier stay by a key that no edge has, spread by their start
+            key = F.when(F.col("d") == d, F.col("node")).otherwise(F.concat(F.lit("\0"), "start"))
+            ends = F.array(F.struct("node", "d"), F.struct(F.col("to").alias("node"), F.lit(d + 1).alias("d")))
+            rows = rows.withColumn("_key", key).join(hop, F.col("_key") == F.col("at"), "left").select("start", F.explode(ends).alias("_e")).select("start", "_e.*")
+            rows = rows.where("start <> node").groupBy("start", "node").agg(F.min("d").alias("d"))
+        pairs = rows.where(F.col("d") >= max(least, 1))
         src, dst = ("start", "node") if p.direction != "in" else ("node", "start")
         return pairs.select(F.col(src).alias(f"{name}__src"), F.col(dst).alias(f"{name}__dst"))
 

@@ -22,7 +22,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for top, _, names in os.walk(os.path.join(_ROOT, "graphloom")):
             for name in names:
-                if name.endswith((".py", ".cypher")):
+                if name.endswith(".py"):
                     full = os.path.join(top, name)
                     z.write(full, os.path.relpath(full, _ROOT))
     context.addPyFile(path)

@@ -24,12 +24,15 @@ SCHEMA_VERSION = (0, 3, 2)
 
 @dataclass
 class Graph:
-    """nodes[label], edges[label]: tables.  warnings: what ingestion had to say."""
+    """nodes[label], edges[label]: tables.  warnings: what ingestion had to say.  ends[edge label]: the
+    one node label of all sources and that of all targets (None where there are several), for edges
+    whose ends are known to be nodes: a query that reads nothing of such an end needs no join."""
 
     spark: SparkSession
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     edges: dict[str, DataFrame] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
+    ends: dict[str, tuple[str | None, str | None]] = field(default_factory=dict)
 
     def properties(self, of: str, label: str | None) -> dict[str, str]:
         """Kinds of the properties of a label (None: of all, tagged where they differ)."""
@@ -139,7 +142,12 @@ def graph_of(spark: SparkSession, nodes: list[dict], edges: list[dict]) -> Graph
             warnings.append(f"edge {e['src']} -[{e['label']}]-> {e['dst']}: unknown {gone} id, edge skipped")
         else:
             kept.append(e)
-    return Graph(spark, _tables(spark, list(last.values()), ["id"]), _tables(spark, kept, ["src", "dst"]), warnings)
+    seen: dict[str, tuple[set, set]] = {}
+    for e in kept:
+        for side, end in zip(seen.setdefault(e["label"], (set(), set())), ("src", "dst")):
+            side.add(last[e[end]]["label"])
+    ends = {label: tuple(next(iter(s)) if len(s) == 1 else None for s in sides) for label, sides in seen.items()}
+    return Graph(spark, _tables(spark, list(last.values()), ["id"]), _tables(spark, kept, ["src", "dst"]), warnings, ends)
 
 
 def can_read(version: tuple[int, int, int]) -> bool:

@@ -47,6 +47,19 @@ _NODES = {
 }
 
 
+#: What the star schema's foreign keys vouch for: the labels of the ends of edges.
+ENDS = {
+    "IN_REGION": ("Nation", "Region"),
+    "IN_NATION": (None, "Nation"),
+    "PLACED": ("Customer", "SalesOrder"),
+    "CONTAINS": ("SalesOrder", "Part"),
+    "SHIPPED_BY": ("SalesOrder", "Supplier"),
+    "EMITTED": ("User", "Event"),
+    "NEXT": ("Event", "Event"),
+    "REPLIES_TO": ("Turn", "Turn"),
+}
+
+
 def _id(label: str, key: str):
     return F.concat(F.lit(f"{label.lower()}:"), F.col(key).cast("string"))
 
@@ -90,4 +103,4 @@ def overlay(spark: SparkSession, sf_dir: str) -> Graph:
         "NEXT": next_event,
         "REPLIES_TO": replies,
     }
-    return Graph(spark, Opened(nodes), Opened(edges))
+    return Graph(spark, Opened(nodes), Opened(edges), ends=ENDS)

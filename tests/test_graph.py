@@ -114,7 +114,8 @@ def test_storage_and_dump(eng, tmp_path):
 
 def code_graph(spark):
     item = lambda q, **p: N(f"item:{q}", "Item", qname=q, name=q.split("::")[-1], **{"kind": "fn", "crate": q.split("::")[0], "bounded_context": q.split("::")[0], "file": f"{q}.rs", "line": 1, "is_test": False, "is_deprecated": False, "signature": "fn()"} | p)
-    nodes = [item("x::run"), item("x::price_from_a"), item("x::price_from_b"), item("y::run", signature="fn(u8)"), item("x::old", is_deprecated=True), N("entrypoint:cli", "EntryPoint", name="cli", kind="cli_command")]
+    nodes = [item("x::run"), item("x::price_from_a"), item("x::price_from_b"), item("y::run", signature="fn(u8)"), item("x::old", is_deprecated=True), N("entrypoint:cli", "EntryPoint", name="cli", kind="cli_command", handler_qname="x::run"),
+             item("x::Shared", kind="struct", bounded_context="w"), item("y::Shared", kind="struct"), N("context:x", "Context", name="x", canonical_crate="", owning_rfc=None), N("context:z", "Context", name="gone", canonical_crate="nope", owning_rfc="RFC-9"), N("crate:x", "Crate", name="x"), N("rfc:a", "RfcDoc", path="docs/a.md", title=None)]
     edges = [E("entrypoint:cli", "item:x::run", "EXPOSES"), E("item:x::run", "item:x::price_from_a", "CALLS"), E("item:x::run", "item:x::price_from_b", "CALLS")]
     from graphloom.sources.graph import graph_of
 
@@ -123,23 +124,27 @@ def code_graph(spark):
 
 def test_enrich_and_reports(spark):
     g, report = enrich.reachability(code_graph(spark))
-    assert report.ran and {r.qname: r.reachable_entry_count for r in g.nodes["Item"].collect()} == {"x::run": 1, "x::price_from_a": 1, "x::price_from_b": 1, "y::run": 0, "x::old": 0}
+    assert report.ran and {r.qname: r.reachable_entry_count for r in g.nodes["Item"].collect()} == {"x::run": 1, "x::price_from_a": 1, "x::price_from_b": 1, "y::run": 0, "x::old": 0, "x::Shared": 0, "y::Shared": 0}
     s = reports.scope(g, "x")
-    assert {(r["class"], r["qname"]) for r in s.findings.collect()} == {("context_homonym", "x::run"), ("unfinished_refactor", "x::old"), ("unwired", "x::old"), ("random_scattering", "x::price_from_a"), ("random_scattering", "x::price_from_b")}
+    assert [(r["class"], r["qname"]) for r in s.findings.collect()] == [("context_homonym", "x::run"), ("unfinished_refactor", "x::old"), ("random_scattering", "x::price_from_a"), ("unwired", "x::old")]
+    assert [(r.crate, r.n) for r in s.items_by_crate.collect()] == [("x", 4)] and [(r.name, r.crates) for r in s.candidates.collect()] == [("Shared", ["x", "y"])]
+    assert [w.split(" ")[0] for w in s.warnings] == ["duplicated_feature", "canonical_bypass"]
+    with pytest.raises(ValueError):
+        reports.scope(g, "z")
     d = dump.diff(code_graph(spark), g)
-    assert d.added.count() == d.removed.count() == 0 and d.changed.count() == 5
-    assert reports.classify(s, d).count() == 5 and reports.classify_jsonl(s, reports.classify(s, d)).count("\n") == 5 + len(s.warnings)
+    assert d.added.count() == d.removed.count() == 0 and d.changed.count() == 7
+    assert reports.classify(s, d).count() == 4 and reports.classify_jsonl(s, reports.classify(s, d)).count("\n") == 4 + len(s.warnings)
     e = Engine(spark)
     e.add("k", g)
     rows, code = e.violations("k", "vertical-split-brain")
-    assert code == 30 and [(r["a"], r["b"]) for r in rows] == [("x::price_from_a", "x::price_from_b")]
+    assert code == 30 and rows == [{"entry_point": "cli", "entry_qname": "x::run", "concept_prefix": "price_from_", "resolver_a_qname": "x::price_from_a", "resolver_b_qname": "x::price_from_b", "divergence_kind": "fork"}]
     docs = spark.createDataFrame([("d.md", "# T\nsee x::run and price_from_a, running")], "path string, text string")
     g2, _ = enrich.rfc_docs(g, docs)
     assert {r.src for r in g2.edges["REFERENCED_BY"].collect()} == {"item:x::run", "item:y::run", "item:x::price_from_a"}
     commits = spark.createDataFrame([("x::run.rs", 5, "a"), ("x::run.rs", 9, "b")], "path string, commit_ts long, author_email string")
     g3, _ = enrich.git_history(g, commits)
     e.add("h", g3)
-    assert e.execute("h", "MATCH (i:Item) WHERE i.git_last_author = null RETURN count(*) AS n").rows() == [{"n": 4}]
+    assert e.execute("h", "MATCH (i:Item) WHERE i.git_last_author = null RETURN count(*) AS n").rows() == [{"n": 6}]
     assert e.execute("h", "MATCH (i:Item) WHERE i.git_last_author = 'b' RETURN i.git_commit_count AS n").rows() == [{"n": 2}]
 
 
@@ -169,3 +174,23 @@ def test_vertical_split_brain_drop(spark):
     e.ingest("k", nodes, [E("ep", "w", "REGISTERS_PARAM"), E("ep", "h", "EXPOSES"), E("h", "a", "CALLS"), E("a", "b", "CALLS"), E("h", "t", "CALLS"), E("a", "ok", "HAS_PARAM"), E("b", "bad", "HAS_PARAM"), E("t", "bad", "HAS_PARAM")])
     rows, code = e.violations("k", "vertical-split-brain-drop")
     assert (rows, code) == ([{"entry_point": "GET /x", "entry_qname": "h", "wire_param": "limit", "matching_resolver": "a", "divergent_resolver": "b", "divergent_key": "max", "divergence_kind": "drop"}], 30)
+
+
+def test_checks(spark):
+    """Empty and missing declarations don't fire; a context is unwired if no item has it."""
+    g = code_graph(spark)
+    rows = [(r.verdict, r.context_name, r.evidence) for r in reports.check_t1(g).collect()]
+    assert rows == [("CONCEPT_UNWIRED", "gone", "gone"), ("MISSING_CANONICAL_CRATE", "gone", "nope"), ("STALE_RFC_REFERENCE", "gone", "RFC-9")]
+    (t3,) = reports.check_t3(g).collect()
+    assert (t3.name, t3.kind, t3.n, t3.n_crates, t3.n_contexts, t3.is_cross_context, t3.canonical_candidate) == ("Shared", "struct", 2, 2, 2, True, None)
+    r = reports.list_items_matching(g, "^run$", ["Fn", "ImplBlock"])
+    assert [x["qname"] for x in r.rows()] == ["x::run", "y::run"] and r.warnings[0].kind == "EmptyResult"
+
+
+def test_source_bound_to_null(eng):
+    """A source that an optional pattern left null is enumerated anew, in each of its forms."""
+    found = lambda text: sorted(tuple(r.values()) for r in eng.execute("k", text).rows())
+    assert found("MATCH (n:N) OPTIONAL MATCH (n)-[:S]-(m:M) MATCH (m)-[:S]->(t) RETURN m AS m, n AS n") == [("d", "a"), ("d", "b"), ("d", "c")]
+    assert found("MATCH (n:N) OPTIONAL MATCH (n)-[:S]-(m:M) MATCH (t)-[:S]->(m) RETURN n AS n") == []
+    assert len(found("MATCH (n:N) OPTIONAL MATCH (n)-[:NONE]->(m:N) MATCH (m)-[:R]->(t) RETURN n AS n, m AS m, t AS t")) == 3 * 5
+    assert found("UNWIND $l AS m MATCH (m)-[:S]->(t) RETURN m AS m") == []
