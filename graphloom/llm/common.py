@@ -39,13 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, group_bytes: int = 16 << 20) -> DataFrame:
     """Writes df to a new table in the shared folder and reads it back: this cuts the lineage, and
-    a lost executor costs no recomputation."""
+    a lost executor costs no recomputation.  The table goes when the driver ends, unless dropped()
+    before.  Small row groups: values may be large, and a writer holds a group; where one task may
+    write a hot key's rows, smaller ones let many tasks read them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    # small row groups: values may be large, and a writer holds a group
-    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", group_bytes).parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out

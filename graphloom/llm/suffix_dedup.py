@@ -7,8 +7,8 @@ group after the last pass are equal, and no others are.
 The first pass is distributed: a window's bucket is the least of its hashed 32-byte grams, so equal
 windows meet, and a run of windows with one least gram (an anchor) travels as one row of three
 numbers without text.  An anchor with a hash of its own ends there.  Anchors whose whole regions,
-the bytes that their windows cover, are equal (128 bits of hashes) repeat entirely and need no
-sort.  Only differing regions around a common anchor fetch their text; the passes over 8-byte
+the bytes that their windows cover, are equal repeat entirely and need no sort: two sums of 64 bits
+each, over different hashes of all 32-byte grams of the region at their places, stand for its bytes.  Only differing regions around a common anchor fetch their text; the passes over 8-byte
 digits run on their windows, and windows alone in their group drop out after each pass.  A gram of
 more than SORT_WINDOWS windows would bring too many together: its windows take the whole content, as 128
 bits of hashes, for one digit of the distributed pass, and neighbours in that order are compared.
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, fold, mix, powers, shuffle_partitions, slices, tuned, written
+from .common import U64, buffers, dropped, fold, mix, powers, shuffle_partitions, slices, tuned, written
 
 GRAM = 32
 WINDOW = 200
@@ -61,10 +61,10 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, off: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """Of rows of at most _CHUNK bytes in all: row, first and last window start (in the row), anchor
-    position (in the row), anchor hash, region hash; one entry for each run of windows."""
+    position (in the row), anchor hash, two region hashes; one entry for each run of windows."""
     n = len(data) - window + 1
     size = np.diff(off)
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, U64),) * 2
+    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, U64),) * 3
     if n <= 0 or not (size >= window).any():
         return none
     u = _words(data)
@@ -88,9 +88,12 @@ def anchors(data: np.ndarray, off: np.ndarray, window: int = WINDOW) -> tuple[np
     hi = np.concatenate([lo[1:], [len(starts)]]) - 1
     first, last, own, anchor = starts[lo], starts[hi], own[lo], anchor[lo]
     pow_, inverse = _tables()
-    total = np.concatenate([np.zeros(1, U64), np.cumsum((data.astype(U64) + U64(1)) * pow_[: len(data)])])
-    region = mix((total[last + window] - total[first]) * inverse[first] ^ ((last - first).astype(U64) << U64(48)) ^ ((anchor - first).astype(U64) << U64(32)))
-    return own, first - off[own], last - off[own], anchor - off[own], h[anchor], region
+    shape = ((last - first).astype(U64) << U64(48)) ^ ((anchor - first).astype(U64) << U64(32))
+    lanes = []
+    for grams in (h, mix(h + U64(0x632BE59BD9B4E019))):  # the grams' hashes are no plain bytes: no pattern of a text cancels out
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(grams * pow_[:m])])
+        lanes.append(mix((total[last + window - GRAM + 1] - total[first]) * inverse[first] ^ shape))
+    return own, first - off[own], last - off[own], anchor - off[own], h[anchor], *lanes
 
 
 def _chunks(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray, window: int):
@@ -110,10 +113,11 @@ def _anchor_rows(window: int):
         for batch in batches:
             for part, data, off in slices(batch):
                 for index, start, piece, ends in _chunks(part, data, off, window):
-                    own, first, last, anchor, gram, region = anchors(piece, ends, window)
+                    own, first, last, anchor, *hashes = anchors(piece, ends, window)
                     first, last, anchor = (x + start[own] for x in (first, last, anchor))
                     place = (first << 20) | ((last - first) << 10) | (anchor - first)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(index[own])), pa.array(place), pa.array(gram.view(np.int64)), pa.array(region.view(np.int64))], ["doc_id", "place", "gram", "region"])
+                    row = pa.array(index[own])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("version").take(row), pa.array(place), *(pa.array(x.view(np.int64)) for x in hashes)], ["doc_id", "version", "place", "gram", "region", "check"])
 
     return rows
 
@@ -151,7 +155,7 @@ def _regions(window: int):
             lists = batch.column("probes")
             flat = lists.flatten()
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            ids, owner_of = batch.column("doc_id"), owner
+            ids, versions, owner_of = batch.column("doc_id"), batch.column("version"), owner
             wide = flat.field("many").to_numpy(zero_copy_only=False)
             for many, step in ((False, 20_000), (True, 4_000)):
                 at = np.flatnonzero(wide == many)
@@ -167,12 +171,12 @@ def _regions(window: int):
                         far = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
                         one, two = _lanes(_words(out), first[own] + far, window)
                         key, known = _dealt(one, two)
-                        columns = [ids.take(pa.array(owner[own])), pa.array(((place >> 20)[own] + far) << 20), pa.array(key.view(np.int64)), pa.array(two.view(np.int64)), pa.array(known), part.field("covered").take(pa.array(own)), pa.nulls(len(own), pa.binary())]
+                        columns = [ids.take(pa.array(owner[own])), versions.take(pa.array(owner[own])), pa.array(((place >> 20)[own] + far) << 20), pa.array(key.view(np.int64)), pa.array(two.view(np.int64)), pa.array(known), part.field("covered").take(pa.array(own)), pa.nulls(len(own), pa.binary())]
                     else:
                         ends = np.concatenate([first, [n.sum()]]).astype(np.int32)
                         body = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(out))])
-                        columns = [ids.take(pa.array(owner)), part.field("place"), part.field("gram"), pa.array(np.zeros(len(n), np.int64)), pa.array(np.zeros(len(n), bool)), part.field("covered"), body]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "key", "check", "known", "covered", "body"])
+                        columns = [ids.take(pa.array(owner)), versions.take(pa.array(owner)), part.field("place"), part.field("gram"), pa.array(np.zeros(len(n), np.int64)), pa.array(np.zeros(len(n), bool)), part.field("covered"), body]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "place", "key", "check", "known", "covered", "body"])
 
     return regions
 
@@ -189,9 +193,9 @@ def _judged(rows: pa.Table, window: int, last: bool) -> tuple[pa.RecordBatch, pa
     n = len(key) if last else len(key) - 1
     hit = np.flatnonzero(known[:n] & ~rows.column("covered").to_numpy()[:n])
     first = rows.column("place").to_numpy()[hit] >> 20
-    ids = rows.column("doc_id").combine_chunks().take(pa.array(hit))
+    ids = [rows.column(c).combine_chunks().take(pa.array(hit)) for c in ("doc_id", "version")]
     rest = None if last else rows.slice(n).set_column(rows.schema.get_field_index("known"), "known", pa.array(known[n:]))
-    return pa.RecordBatch.from_arrays([ids, pa.array(first), pa.array(first + window)], ["doc_id", "first", "end"]), rest
+    return pa.RecordBatch.from_arrays([*ids, pa.array(first), pa.array(first + window)], ["doc_id", "version", "first", "end"]), rest
 
 
 def radix_groups(data: np.ndarray, at: np.ndarray, bucket: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -239,13 +243,13 @@ def _sorted_windows(window: int):
         hit &= ~rows.column("covered").to_numpy()[owner]
         hits = np.flatnonzero(hit)
         if not hits.size:
-            return pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks().slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.int64())], ["doc_id", "first", "end"])
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, ["doc_id", "version", "first", "end"])
         new = np.concatenate([[True], (np.diff(hits) != 1) | (np.diff(owner[hits]) != 0)])
         lo = hits[new]
         hi = hits[np.concatenate([new[1:], [True]])]
         base = place[owner[lo]] >> 20
-        ids = rows.column("doc_id").combine_chunks().take(pa.array(owner[lo]))
-        return pa.RecordBatch.from_arrays([ids, pa.array(base + far[lo]), pa.array(base + far[hi] + window)], ["doc_id", "first", "end"])
+        ids = [rows.column(c).combine_chunks().take(pa.array(owner[lo])) for c in ("doc_id", "version")]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(base + far[lo]), pa.array(base + far[hi] + window)], ["doc_id", "version", "first", "end"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows_held, window_held = [], 0, None
@@ -279,33 +283,52 @@ def _sorted_windows(window: int):
     return windows
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, first, end): byte intervals, perhaps overlapping, that together
-    cover exactly the bytes of windows that start more than once.  `carry` names columns of docs that
-    a caller sends along with its texts by doc_id: with them here, both use one exchange."""
+#: What names a row of a table of documents.
+KEY = ["doc_id", "version"]
+
+
+def _versioned(docs: DataFrame, *carry: str) -> DataFrame:
+    """docs with a bigint doc_id and a version that tells texts of one doc_id apart, nulls among them.
+    Where no doc_id repeats, which one pass over the ids says, the version is a constant."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    version = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", version.alias("version"), "text", *carry)
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return a.doc_id.eqNullSafe(b.doc_id) & (a.version == b.version)
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, version, text) -> (doc_id, version, first, end): byte intervals, perhaps overlapping,
+    that together cover exactly the bytes of windows that start more than once.  doc_id and version
+    name a text; rows with the same two are copies, and count as such.  `carry` names columns of docs
+    that a caller sends along with its texts by that key: with them here, both use one exchange."""
     n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select("doc_id", "text").mapInArrow(_anchor_rows(window), "doc_id long, place long, gram long, region long")
+    rows = docs.select(*KEY, "text").mapInArrow(_anchor_rows(window), "doc_id long, version long, place long, gram long, region long, check long")
     # counts combine before they are dealt out; written, they meet the rows in merge joins of plain
     # exchanges, in which a hot gram or region is split over tasks
-    grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"), (F.min("region") != F.max("region")).alias("several")).where("_n > 1")
-    grams = written(grams.select("gram", "several"), "grams")
-    marked = written(rows.join(grams.hint("merge"), "gram"), "repeats")
+    differ = (F.min("region") != F.max("region")) | (F.min("check") != F.max("check"))
+    grams = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"), differ.alias("several")).where("_n > 1").select("gram", "several"), "grams")
+    marked = written(rows.join(grams.hint("merge"), "gram"), "repeats", 2 << 20)
+    dropped(grams)
     mixed = marked.where("several")
-    by_region = mixed.groupBy("gram", "region").agg(F.first("doc_id").alias("doc_id"), F.first("place").alias("place"), F.count(F.lit(1)).alias("_n"))
-    by_region = written(by_region, "regions")
+    of = ["gram", "region", "check"]
+    one = [F.first(c).alias(c) for c in (*KEY, "place")]
+    by_region = written(mixed.groupBy(*of).agg(*one, F.count(F.lit(1)).alias("_n")), "regions")
     wide = by_region.groupBy("gram").agg(F.sum(F.shiftright("place", 10).bitwiseAND(1023) + 1).alias("_windows")).where(F.col("_windows") > SORT_WINDOWS)
     wide = written(wide.select("gram", F.lit(True).alias("_many")), "wide")
-    probes = by_region.join(wide.hint("merge"), "gram", "left").select("doc_id", F.struct("place", "gram", (F.col("_n") > 1).alias("covered"), F.coalesce("_many", F.lit(False)).alias("many")).alias("probe"))
-    probes = probes.groupBy("doc_id").agg(F.collect_list("probe").alias("probes"))
-    texts = docs.repartition(n, "doc_id")
-    regions = probes.join(texts, probes.doc_id.eqNullSafe(texts.doc_id)).select(probes.doc_id, "probes", "text", *carry)
-    regions = regions.mapInArrow(_regions(window), "doc_id long, place long, key long, check long, known boolean, covered boolean, body binary")
-    found = regions.repartition("key").sortWithinPartitions("key", "check").mapInArrow(_sorted_windows(window), "doc_id long, first long, end long")
-    again = by_region.where("_n > 1").select("gram", "region")
-    whole = marked.where("not several").select("doc_id", "place").unionByName(mixed.join(again.hint("merge"), ["gram", "region"]).select("doc_id", "place"))
+    probes = by_region.join(wide.hint("merge"), "gram", "left").select(*KEY, F.struct("place", "gram", (F.col("_n") > 1).alias("covered"), F.coalesce("_many", F.lit(False)).alias("many")).alias("probe"))
+    probes = probes.groupBy(*KEY).agg(F.collect_list("probe").alias("probes"))  # regions of one text, each once
+    texts = docs.repartition(n, *KEY)
+    regions = probes.join(texts, _same(probes, texts)).select(probes.doc_id, probes.version, "probes", "text", *carry)
+    regions = regions.mapInArrow(_regions(window), "doc_id long, version long, place long, key long, check long, known boolean, covered boolean, body binary")
+    found = regions.repartition("key").sortWithinPartitions("key", "check").mapInArrow(_sorted_windows(window), "doc_id long, version long, first long, end long")
+    again = by_region.where("_n > 1").select(*of)
+    whole = marked.where("not several").select(*KEY, "place").unionByName(mixed.join(again.hint("merge"), of).select(*KEY, "place"))
     first = F.shiftright("place", 20)
-    whole = whole.select("doc_id", first.alias("first"), (first + F.shiftright("place", 10).bitwiseAND(1023) + window).alias("end"))
+    whole = whole.select(*KEY, first.alias("first"), (first + F.shiftright("place", 10).bitwiseAND(1023) + window).alias("end"))
     return whole.unionByName(found)
 
 
@@ -359,11 +382,12 @@ def _cut(whole_characters: bool, keep: tuple[str, ...] = ()):
 
 
 def _applied(docs: DataFrame, window: int, texts: bool, keep: tuple[str, ...] = ()) -> DataFrame:
-    docs = tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    docs = _versioned(tuned(docs), *keep)
     spans = repeated_spans(docs, window, keep)
-    of = spans.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("first", "end")).alias("_spans"))
-    rows = docs.repartition(shuffle_partitions(docs.sparkSession), "doc_id")
-    rows = rows.join(of, rows.doc_id.eqNullSafe(F.col("_of")), "left")
+    # a set: rows that are copies bring the same spans, and a text has no more than it has bytes
+    of = spans.groupBy(*KEY).agg(F.collect_set(F.struct("first", "end")).alias("_spans"))
+    rows = docs.repartition(shuffle_partitions(docs.sparkSession), *KEY)
+    rows = rows.join(of, _same(rows, of), "left").select(rows.doc_id, "text", "_spans", *keep)
     none = F.expr("array()").cast("array<struct<first:bigint,end:bigint>>")
     rows = rows.select("doc_id", "text", F.coalesce("_spans", none).alias("spans"), *keep)
     last = "kept_text string" if texts else "kept_sha256 string"
@@ -376,8 +400,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Texts are UTF-8 bytes; a null text is empty; texts shorter than the window keep all.  Windows are
     judged on the input, matches stay within a document, and every copy goes, the first included.
-    doc_id, null included, names a document: rows that repeat one are copies of each other, and what
-    repeats in one of them is removed from each.  An empty table gives an empty result.
+    Each row is a document of its own, whether or not its doc_id, null or not, occurs again.  An empty
+    table gives an empty result.
     """
     return _applied(docs, window, False)
 

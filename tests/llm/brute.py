@@ -43,7 +43,7 @@ def near_duplicates(docs):
 
 
 def suffix_dedup(docs, window=200):
-    """{doc_id: (n_bytes, n_removed, n_spans, kept_sha256)}"""
+    """{doc_id: (n_bytes, n_removed, n_spans, kept_sha256)}; number rows that share an id first"""
     raw = [(i, (t or "").encode()) for i, t in docs]
     seen = Counter(b[k : k + window] for _, b in raw for k in range(len(b) - window + 1))
     out = {}

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -33,6 +34,20 @@ def small(tmp_path_factory):
     return str(d)
 
 
+@pytest.fixture(scope="session")
+def odd(tmp_path_factory):
+    """Tables in which doc_ids repeat, with the same text and with others, and are null."""
+    d = tmp_path_factory.mktemp("odd")
+    rand = random.Random(5)
+    word = lambda: "".join(rand.choices("abcdefghij", k=rand.randint(2, 7)))
+    prose = [" ".join(word() for _ in range(rand.randint(5, 300))) for _ in range(12)]
+    rows = [(7, prose[0]), (7, prose[1]), (7, prose[1]), (None, prose[2]), (None, prose[3] + " " + prose[0]), (None, prose[3]), (None, None), (None, ""), (7, None), (8, prose[4] + " " + prose[1]), (9, prose[4]), (9, prose[5]), (9, prose[5] + " x"), (10, prose[6]), (11, prose[6]), (12, prose[7] + "!" + prose[8]), (12, prose[9] + "?" + prose[8]), (13, "y " * 9), (13, "y " * 9), (14, None)]
+    t = [x for _, x in rows]
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array(t, pa.string()), "lang": pa.array([["en", None, "fr"][k % 3] for k in range(len(t))]), "source": pa.array(["s"] * len(t)), "n_chars": pa.array([len(x or "") for x in t], pa.int64())}), d / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([7, 7, None, 9, 9], pa.int64()), "quality": pa.array([1, 0, 1, None, 1], pa.int32()), "toxic": pa.array([0] * 5, pa.int32())}), d / "labels.parquet")
+    return str(d)
+
+
 @pytest.fixture(scope="session")
 def empty(tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")

@@ -86,6 +86,16 @@ def test_op4(spark, folder):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.suffix_dedup(texts_of(folder))
 
 
+def test_op4_odd_ids(spark, odd):
+    """Rows are documents of their own, whatever their ids."""
+    docs = texts_of(odd)
+    want = brute.suffix_dedup(enumerate(t for _, t in docs))
+    got = rows(Q.op4_suffix_dedup(spark, odd))
+    key = lambda x: repr(x)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=key) == sorted(((docs[k][0], *w) for k, w in want.items()), key=key)
+    assert sum(w[1] > 0 for w in want.values()) > 8
+
+
 def test_op4_hot_grams(spark, folder, monkeypatch):
     """Every gram treated as one with many windows: windows dealt out by content give the same result."""
     monkeypatch.setattr(suffix_dedup, "SORT_WINDOWS", 1)
