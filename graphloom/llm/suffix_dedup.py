@@ -29,11 +29,11 @@ from .common import U64, buffers, dropped, fold, mix, powers, shuffle_partitions
 
 GRAM = 32
 WINDOW = 200
-#: Windows sorted at once in a task, by their distance to the anchor in parts where a batch has more.
-#: A gram whose differing regions have more has its windows dealt out by their whole content.
+#: A gram whose differing regions have more windows has them dealt out by their whole content.
 SORT_WINDOWS = 1 << 20
 
-_CHUNK = 1 << 20
+#: Windows that one radix sort in a task takes at once, and bytes of text hashed at once.
+SORTED_AT_ONCE, _CHUNK = 1 << 18, 1 << 18
 _TABLES: list[np.ndarray] = []
 
 
@@ -60,7 +60,7 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Of rows of at most _CHUNK bytes in all: row, first and last window start (in the row), anchor
+    """Of rows of less than _CHUNK bytes in all: row, first and last window start (in the row), anchor
     position (in the row), anchor hash, two region hashes; one entry for each run of windows."""
     n = len(data) - window + 1
     size = np.diff(off)
@@ -74,7 +74,7 @@ def anchors(data: np.ndarray, off: np.ndarray, window: int = WINDOW) -> tuple[np
         w = u[8 * j : 8 * j + m] * U64(c)
         h += (w ^ (w >> U64(29))) * U64(2 * j + 0xFF51AFD7ED558CCD)
     h = mix(h)
-    low = U64((1 << 20) - 1)
+    low = U64(_CHUNK - 1)
     key = (h & ~low) | np.arange(m, dtype=U64)
     at = (_least(key, window - GRAM + 1)[:n] & low).astype(np.int64)
     row = np.repeat(np.arange(len(size)), size)[:n]
@@ -98,7 +98,7 @@ def anchors(data: np.ndarray, off: np.ndarray, window: int = WINDOW) -> tuple[np
 
 def _chunks(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray, window: int):
     """Rows together, or a long row in pieces that overlap by all but one byte of a window."""
-    if len(data) <= _CHUNK:
+    if len(data) < _CHUNK:
         yield np.arange(part.num_rows), np.zeros(part.num_rows, np.int64), data, off
         return
     for i in range(part.num_rows):
@@ -111,7 +111,7 @@ def _chunks(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray, window: int
 def _anchor_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, off in slices(batch):
+            for part, data, off in slices(batch, limit=_CHUNK - 1):
                 for index, start, piece, ends in _chunks(part, data, off, window):
                     own, first, last, anchor, *hashes = anchors(piece, ends, window)
                     first, last, anchor = (x + start[own] for x in (first, last, anchor))
@@ -235,7 +235,7 @@ def _sorted_windows(window: int):
         far = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)  # window number in its region
         owner = np.repeat(np.arange(len(place)), count)
         distance = back[owner] - far + 1024  # from window start to anchor: equal windows agree on it
-        parts = max(1, -(-len(owner) // SORT_WINDOWS))
+        parts = max(1, -(-len(owner) // SORTED_AT_ONCE))
         hit = np.zeros(len(owner), bool)
         for part in range(parts):
             own = np.flatnonzero(distance % parts == part) if parts > 1 else np.arange(len(owner))
@@ -264,7 +264,7 @@ def _sorted_windows(window: int):
                 continue
             held.append(batch)
             rows_held += batch.num_rows
-            if rows_held * 80 < SORT_WINDOWS:
+            if rows_held * 80 < SORTED_AT_ONCE:
                 continue
             rows = pa.Table.from_batches(held)
             gram = rows.column("key").to_numpy()
