@@ -1,5 +1,6 @@
 """The registered queries against plain Python, on small odd tables and on the generated ones."""
 
+import random
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from graphloom.llm import queries as Q
-from graphloom.llm import lm_scoring, suffix_dedup
+from graphloom.llm import lm_scoring, near_dedup, suffix_dedup
 
 from . import brute
 from .conftest import SF, texts_of
@@ -81,6 +82,84 @@ def test_op3(spark, folder):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute.near_duplicates(texts_of(folder))
 
 
+def linked_rows(docs):
+    """(doc_id, n_shingles, component_id, kept) of rows, which their texts alone link."""
+    numbered = [(k, t) for k, (i, t) in enumerate(docs) if i is not None]
+    groups = brute.near_duplicates(numbered)
+    least = {}
+    for k, (n, c, _) in groups.items():
+        least[c] = min(least.get(c, docs[k][0]), docs[k][0])
+    out = []
+    for k, (i, t) in enumerate(docs):
+        n = len(brute.shingles(t))
+        c = None if i is None else least[groups[k][1]]
+        out.append((i, n, c, c is None or i == c))
+    return out
+
+
+def test_op3_odd_ids(spark, odd):
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows(Q.op3_near_dedup(spark, odd))]
+    assert sorted(got, key=repr) == sorted(linked_rows(texts_of(odd)), key=repr)
+    from graphloom.llm.common import documents
+
+    kept = [(r.doc_id, r.text) for r in near_dedup.near_dedup(documents(spark, odd)).collect()]
+    docs = texts_of(odd)
+    assert sum(i is None for i, _ in kept) == sum(i is None for i, _ in docs)
+    assert len([x for x in kept if x[0] == 7]) == 3 and len([x for x in kept if x[0] == 13]) == 1 and len([x for x in kept if x[0] == 9]) == 2
+
+
+def near_copies_table(spark, n, apart=0, seed=3):
+    """n near copies of one text, each with words of its own, and as many as `apart` texts half like it."""
+    rand = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    def text(k, cut):
+        own = list(base)
+        for j in range(cut):
+            own[(k * 7 + j * 31) % 120] = f"x{k}_{j}"
+        return " ".join(own)
+    docs = [(k, text(k, 1)) for k in range(n)] + [(n + k, text(k, 6)) for k in range(apart)]
+    rand.shuffle(docs)
+    return docs
+
+
+def test_op3_large_groups(spark, monkeypatch):
+    """Where a node is far too large, rows grow with documents, and every link is still found."""
+    monkeypatch.setattr(near_dedup, "NODE_LIMIT", 64)
+    monkeypatch.setattr(near_dedup, "CLUSTER_SHINGLES", 5000)
+    made = {}
+    real = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, *a: made.setdefault(name, []).append(real(df, name, *a)) or made[name][-1])
+    dealt = []
+    together = near_dedup._together
+    monkeypatch.setattr(near_dedup, "_together", lambda rows, *a: dealt.append(rows.count()) or together(rows, *a))
+    sums = {}
+    for n in (512, 2048):
+        docs = near_copies_table(spark, n, apart=12)
+        dealt.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        if n == 512:
+            assert got == brute.near_duplicates(docs)
+        assert {got[k][1] for k in range(n)} == {0}
+        sums[n] = sum(dealt)
+    assert sums[2048] < 4.6 * sums[512], sums
+
+
+def test_op3_recall(spark):
+    """Links of pairs just above the threshold: all are found, by brute force."""
+    rand = random.Random(11)
+    docs = []
+    for k in range(300):
+        base = [f"{k}_{i}" for i in range(100)]
+        docs.append((2 * k, " ".join(base)))
+        for j in rand.sample(range(100), 3 if k % 2 else 2):
+            base[j] = f"new{j}"
+        docs.append((2 * k + 1, " ".join(base)))
+    want = brute.near_duplicates(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    pairs = sum(not kept for _, _, kept in want.values())
+    assert got == want and 100 < pairs < 300
+
+
 def test_op4(spark, folder):
     got = rows(Q.op4_suffix_dedup(spark, folder))
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.suffix_dedup(texts_of(folder))
