@@ -1,12 +1,11 @@
 """Packing into sequences by Karmarkar-Karp multiway differencing.
 
-Documents stream through each partition in groups.  Full windows of a long document are cut off
-first; the remainders of a group are dealt to k windows by multiway differencing: of all partial
-partitions the two with the largest spread are merged, the fullest window of one with the emptiest
-of the other.  k starts at what the tokens need, less a margin; it rises while a window exceeds the
-capacity by more than the cuts below may move.  What is still over the capacity is cut off and
-fills the emptier windows, so that all windows but a group's last are full; the last one is divided
-into windows of powers of two, which need no padding.  Nothing is shuffled.
+Documents stream through each partition.  The full windows of a long document go out at once; what
+is left of each document, less than a window, is gathered into groups.  A group is dealt to k windows by
+multiway differencing: of all partial partitions the two with the largest spread are merged, the
+fullest window of one with the emptiest of the other, which gives near-equal windows.  k starts at what
+the tokens need and rises whenever a window exceeds the capacity.  So only documents longer than a
+window are cut, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -27,8 +26,8 @@ from .tokenizer_files import piece_table
 CAPACITY = 2048
 #: Tokens of the remainders that are packed together.
 GROUP_TOKENS = 1 << 18
-#: Share of the tokens that may move between windows after differencing before k rises.
-MOVED = 0.25
+#: Full windows of one document that are handed on together.
+FULL_AT_ONCE = 256
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -64,81 +63,16 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return parts + [[] for _ in range(k - len(parts))]
 
 
-def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start, length) pieces; every token of every item lies in exactly one, and
-    every window but powers of two at the end is full."""
-    full, rest = [], []
-    for i, n in enumerate(lengths):
-        cut = n // capacity * capacity
-        full += [[(i, s, capacity)] for s in range(0, cut, capacity)]
-        if n > cut:
-            rest.append((i, cut, n - cut))
-    total = sum(n for _, _, n in rest)
-    k = total // capacity
-    sizes = [n for _, _, n in rest]
-    windows: list[list[tuple[int, int, int]]] = []
+def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Windows of whole items, none larger than the capacity, as lists of item numbers."""
+    if not sizes:
+        return []
+    k = -(-sum(sizes) // capacity)
     while True:
-        windows = [[rest[j] for j in part] for part in differencing(sizes, max(1, k))] if rest else []
-        over = sum(max(0, sum(n for _, _, n in w) - capacity) for w in windows)
-        # beyond this the count rises, as windows too full would be cut to shreds; the last ones stay open
-        if over <= MOVED * total + capacity or k * capacity > 2 * total:
-            break
-        k += max(1, k // 16)
-    spare: list[tuple[int, int, int]] = []
-    for w in windows:
-        w.sort(key=lambda p: -p[2])
-        have = sum(p[2] for p in w)
-        while have > capacity:  # the smallest pieces go, the last of them in part
-            i, s, n = w.pop()
-            move = min(n, have - capacity)
-            if move < n:
-                w.append((i, s, n - move))
-            spare.append((i, s + n - move, move))
-            have -= move
-    windows.sort(key=lambda w: -sum(p[2] for p in w))
-    while windows and sum(p[2] for p in windows[-1]) < capacity and len([w for w in windows if sum(p[2] for p in w) < capacity]) > 1 and not spare:
-        spare += windows.pop()  # the emptiest window fills the others
-    for w in windows:
-        have = sum(p[2] for p in w)
-        while have < capacity and (spare or len(windows) > 1):
-            if not spare:
-                if windows[-1] is w:
-                    break
-                spare += windows.pop()
-            i, s, n = spare.pop()
-            take = min(n, capacity - have)
-            w.append((i, s, take))
-            have += take
-            if take < n:
-                spare.append((i, s + take, n - take))
-    while spare:
-        w, have = [], 0
-        while spare and have < capacity:
-            i, s, n = spare.pop()
-            take = min(n, capacity - have)
-            w.append((i, s, take))
-            have += take
-            if take < n:
-                spare.append((i, s + take, n - take))
-        windows.append(w)
-    out = full
-    for w in windows:
-        have = sum(p[2] for p in w)
-        if have == capacity:
-            out.append(w)
-            continue
-        for bit in reversed(range(have.bit_length())):  # the binary digits of what is left
-            if have >> bit & 1:
-                own, need = [], 1 << bit
-                while need:
-                    i, s, n = w.pop()
-                    take = min(n, need)
-                    own.append((i, s, take))
-                    need -= take
-                    if take < n:
-                        w.append((i, s + take, n - take))
-                out.append(own)
-    return out
+        windows = differencing(sizes, k)
+        if max(sum(sizes[i] for i in w) for w in windows) <= capacity:
+            return [w for w in windows if w]
+        k += max(1, k // 64)
 
 
 def _packed(path: str, end: int, capacity: int, with_ids: bool, forget: bool = False):
@@ -147,34 +81,41 @@ def _packed(path: str, end: int, capacity: int, with_ids: bool, forget: bool = F
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(path, bare=True)
         sequence = TaskContext.get().partitionId() << 36
-        docs, parts, rest = [], [], 0
+        kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())] * with_ids
+        held: list[tuple] = []  # what is left of documents: doc_id, start, ids, length of the whole
+        rest = 0
 
-        def out() -> pa.RecordBatch:
+        def out(windows: list[list[tuple]]) -> pa.RecordBatch:
             nonlocal sequence
             cols: list[list] = [[] for _ in names]
-            for window in pack([len(p) for p in parts], capacity):
+            for window in windows:
                 offset = 0
-                for i, s, n in window:
-                    own = parts[i][s : s + n]
-                    for c, x in zip(cols, (docs[i], s, n, zlib.crc32(own.tobytes()), len(parts[i]), sequence, offset, own)):
+                for doc, start, own, whole in window:
+                    for c, x in zip(cols, (doc, start, len(own), zlib.crc32(own.tobytes()), whole, sequence, offset, own)):
                         c.append(x)
-                    offset += n
+                    offset += len(own)
                 sequence += 1
-            kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())] * with_ids
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
+        def dealt() -> pa.RecordBatch:
+            return out([[held[i] for i in w] for w in pack([len(x[2]) for x in held], capacity)])
+
         for batch in batches:
             for part, _, _ in slices(batch):
                 flat, off = table.encode([t or "" for t in part.column("text").to_pylist()], end)
                 for i, doc in enumerate(part.column("doc_id").to_pylist()):
-                    docs.append(doc)
-                    parts.append(flat[off[i] : off[i + 1]])
-                    rest += (off[i + 1] - off[i]) % capacity
+                    own, whole = flat[off[i] : off[i + 1]], int(off[i + 1] - off[i])
+                    cut = whole // capacity * capacity
+                    for s in range(0, cut, FULL_AT_ONCE * capacity):
+                        yield out([[(doc, w, own[w : w + capacity], whole)] for w in range(s, min(cut, s + FULL_AT_ONCE * capacity), capacity)])
+                    if cut < whole:
+                        held.append((doc, cut, own[cut:].copy(), whole))  # a copy: the others' ids needn't stay
+                        rest += whole - cut
                     if rest >= GROUP_TOKENS:
-                        yield out()
-                        docs, parts, rest = [], [], 0
-        if docs:
-            yield out()
+                        yield dealt()
+                        held, rest = [], 0
+        if held:
+            yield dealt()
         if forget:
             table.forget()
 
@@ -185,7 +126,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int
     """docs(doc_id, text) -> (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), and
     the pieces' ids with with_ids: one row for each piece.
 
-    Null and empty texts have the end id alone; a document of any length is cut; rows that repeat a
+    Null and empty texts have the end id alone; a document of any length is cut into full windows and a
+    rest, and a shorter one stays whole; rows that repeat a
     doc_id, or have none, are documents of their own.  No rows, no pieces.  A task that runs again
     makes the same sequences, from the same rows in the same order.  With `forget` a worker drops the
     ids of the words it has met after each task: for jobs in which other stages share the workers.

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from graphloom.llm import queries as Q
-from graphloom.llm import lm_scoring, near_dedup, suffix_dedup
+from graphloom.llm import lm_scoring, near_dedup, packing, suffix_dedup
 
 from . import brute
 from .conftest import SF, texts_of
@@ -285,7 +286,50 @@ def test_op9(spark, folder):
             end += length
         assert end <= 2048
         padding += 0 if end & (end - 1) == 0 else 2048 - end
-    assert padding == 0
+    # every document of at most a window is one piece, and little is padded
+    pieces = Counter(r.doc_id for r in got)
+    assert all(pieces[i] == -(-len(x) // 2048) for i, x in whole.items())
+    assert folder != SF or padding < 0.05 * sum(map(len, whole.values()))
+
+
+def test_op9_count_rises_and_nothing_is_cut():
+    """Whatever the sizes, items stay whole, no window is too full, and windows are near-equal."""
+    rand = random.Random(2)
+    for sizes, most in (([1500] * 200, 200), ([1024] * 300, 150), ([rand.randint(1, 2047) for _ in range(500)], 320), ([rand.randint(1, 50) for _ in range(3000)], 40), ([2047, 1], 1), ([7], 1)):
+        windows = packing.pack(sizes)
+        assert sorted(i for w in windows for i in w) == list(range(len(sizes)))
+        loads = [sum(sizes[i] for i in w) for w in windows]
+        assert max(loads) <= 2048 and len(windows) <= most
+        # one window fewer would have been too few for this differencing, or the step was larger than one
+        k = len(windows) - 1 - len(windows) // 64
+        assert k < -(-sum(sizes) // 2048) or max(sum(sizes[i] for i in p) for p in packing.differencing(sizes, k)) > 2048
+    assert [sorted(p) for p in packing.differencing([8, 7, 6, 5, 4], 2)] in ([[0, 2], [1, 3, 4]], [[1, 3, 4], [0, 2]], [[0, 3, 4], [1, 2]], [[1, 2], [0, 3, 4]], [[0, 1], [2, 3, 4]], [[2, 3, 4], [0, 1]])
+
+
+def test_op9_long_texts_do_not_gather():
+    """Documents of many windows leave at once, those of exact multiples too: a task holds remainders alone."""
+    import pyarrow as pa
+
+    class Table:
+        def encode(self, texts, end):
+            return np.arange(1_024_000, dtype=np.uint32), np.array([0, 1_024_000])
+
+    run = packing._packed("none", 1, 2048, False)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "piece_table", lambda *a, **k: Table())
+        m.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)})())}))
+        fed = []
+
+        def feed():
+            for k in range(300):
+                fed.append(k)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array(["t"])], ["doc_id", "text"])
+
+        n = 0
+        for batch in run(feed()):
+            n += batch.num_rows
+            assert n >= 500 * (len(fed) - 1)  # all of the documents before are out
+        assert n == 300 * 500
 
 
 def test_op10(spark, folder):
