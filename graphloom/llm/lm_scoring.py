@@ -1,24 +1,24 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The vocabulary is what the training texts hold.  Its most frequent words are divided into classes;
-all others and unseen words are the tail class, the root of a tree whose depth grows with the
-vocabulary.  Its leaves are the other words at hand, by frequency, then buckets of the rarer and
-unseen words, by hash.  The model is a softmax over classes given hashed features of the words before
-(the last one, the last two, the one before the last, a bias), then a softmax over the words of the
-class, or over the branches of each tree node on the way to the word's leaf, given the same features
-hashed with the class or node; only within a bucket do words follow their smoothed counts.  So all
-words' probabilities sum to one.  Buckets and hash rows grow with the root of the vocabulary.
-
-Training: each task takes gradient steps over its share of all training texts; the tasks' weights
-are averaged row by row, by how often each task has used the row.  Scoring looks the rows up in
-sparse numpy batches.  Counts of frequent words, of which a fixed number is sent out, are at hand
-there; the counts of rarer words are joined by their hash, after a sum for each document and word.
+The vocabulary is what the training texts hold: its most frequent words one by one, all others and
+unseen words in buckets by hash, a number that grows with the vocabulary.  Words and buckets, by
+frequency, are divided into WIDTH classes of near-equal weight, those again, down to single words: so
+frequent words have short paths and each token costs a few softmaxes of WIDTH outputs.  The softmax of
+each class is given hashed features of the words before (the last one, the last two, the one before
+the last) and a bias; only within a bucket do words follow their smoothed counts.  So all words'
+probabilities sum to one.  Buckets and hash rows grow with the root of the vocabulary.
+
+Training: in each of ROUNDS rounds the tasks take gradient steps over their shares of a part of the
+training texts, from the weights of the round before; the tasks' weights are averaged row by row, by
+how often each task has used the row.  All training texts are used once.  Scoring looks the rows up
+in sparse numpy batches.  Counts of frequent words, about HEAD of them, are at hand there; the counts
+of rarer words are joined by their hash, after a sum for each document and word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +27,22 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix, slices, shuffle_partitions, tuned, word_hashes, word_spans, written
 
-#: Words whose counts are sent to all tasks: a fixed number, 16 bytes each.
+#: Words whose counts are sent to all tasks: about this number, 16 bytes each.
 HEAD = 1 << 18
-#: Classes, the tail included, and words of a class or branches of a tree node.
-CLASSES, WIDTH = 32, 32
-#: Words that have a class.
-CLASSED = (CLASSES - 1) * WIDTH
-#: Least hash rows of each feature, and of a feature with a class or node.
-ROWS, INNER_ROWS = 1 << 12, 1 << 13
-#: For each root of the vocabulary: hash rows, hash rows with a node, and buckets of rare words.
-ROOT_ROWS, ROOT_INNER, ROOT_BUCKETS = 4, 32, 64
-FEATURES = 4
-STEP, BATCH = 0.4, 1 << 12
+#: Classes of a class.
+WIDTH = 8
+#: Least hash rows; for each root of the vocabulary: hash rows, and buckets of rare words.
+LEAST_ROWS, ROOT_ROWS, ROOT_BUCKETS = 1 << 14, 128, 16
+#: Features with hash rows; the bias comes on top.
+FEATURES = 3
+ROUNDS = 2
+#: Step of the gradients, the squares that a row begins with, tokens of a step.
+STEP, SQUARES, BATCH = 0.12, 0.1, 1 << 12
 CLIP = 30.0
+#: The bias of an output that doesn't exist.
+_CLOSED = np.float32(-1e4)
+#: Weight rows of a record on the way between tasks.
+BLOCK = 1 << 12
 #: Words kept between counts that are handed on.
 COUNTED = 1 << 20
 
@@ -61,70 +64,118 @@ def _buckets(words: np.ndarray, n: int) -> np.ndarray:
     return ((words >> U64(20)) & U64(n - 1)).astype(np.int64)
 
 
+class Tree:
+    """Paths from the root to the leaves, whose weights are given in descending order: of leaf i the
+    nodes node[off[i] : off[i + 1]] and in each the output pick[...]; biases[node]: logarithms of the
+    outputs' weights."""
+
+    def __init__(self, weight: np.ndarray):
+        before = np.concatenate([[0.0], np.cumsum(weight, dtype=np.float64)])
+        leaf = np.arange(len(weight))
+        low, high = np.zeros(len(weight), np.int64), np.full(len(weight), len(weight))
+        number = np.zeros(len(weight), np.int64)  # of the node that a leaf is in
+        leaves, nodes, picks, biases, made = [], [], [], [], 1
+        while leaf.size and len(weight) > 1:
+            few = high - low <= WIDTH
+            share = (before[leaf] - before[low]) / (before[high] - before[low])
+            part = np.where(few, leaf - low, np.minimum((share * WIDTH).astype(np.int64), WIDTH - 1))
+            new_node = np.concatenate([[True], number[1:] != number[:-1]])
+            new = new_node | np.concatenate([[True], part[1:] != part[:-1]])
+            run = np.cumsum(new) - 1  # of children, over all nodes of the level
+            pick = run - run[new_node][np.cumsum(new_node) - 1]
+            leaves.append(leaf)
+            nodes.append(number)
+            picks.append(pick.astype(np.int8))
+            starts = np.flatnonzero(new)
+            ends = np.concatenate([starts[1:], [len(leaf)]])
+            child_low, child_high = leaf[starts], leaf[ends - 1] + 1
+            own = np.full((int(new_node.sum()), WIDTH), _CLOSED, np.float32)
+            own[np.cumsum(new_node)[starts] - 1, pick[starts]] = np.log(before[child_high] - before[child_low])
+            biases.append(own - own.max(axis=1, keepdims=True))
+            inner = child_high - child_low > 1
+            numbers = made + np.cumsum(inner) - 1
+            made += int(inner.sum())
+            stay = inner[run]
+            leaf, low, high, number = leaf[stay], child_low[run][stay], child_high[run][stay], numbers[run][stay]
+        self.biases = np.concatenate(biases) if biases else np.zeros((1, WIDTH), np.float32)
+        self.biases[self.biases < _CLOSED / 2] = _CLOSED
+        every = np.concatenate(leaves) if leaves else np.zeros(0, np.int64)
+        order = np.argsort(every, kind="stable")
+        self.off = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=len(weight)))])
+        self.node = np.concatenate(nodes)[order].astype(np.int32) if nodes else np.zeros(0, np.int32)
+        self.pick = np.concatenate(picks)[order] if picks else np.zeros(0, np.int8)
+
+    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index into leaf, node and output of each step, leaf by leaf."""
+        n = self.off[leaf + 1] - self.off[leaf]
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(self.off[leaf] - first, n)
+        return np.repeat(np.arange(len(leaf)), n), self.node[at], self.pick[at]
+
+
 @dataclass
 class Counts:
-    """words: hashes of the HEAD most frequent training tokens, ascending; ranks: by frequency;
-    rest: of each bucket of other words the smoothed count, one for the unseen included."""
+    """words: hashes of the most frequent training tokens, ascending; rest: of each bucket of other
+    words the smoothed count, one for the unseen included.  Tables that follow from these are made
+    where they are used, not sent."""
 
     words: np.ndarray
     n: np.ndarray
-    ranks: np.ndarray
     tokens: int
     distinct: int
     rest: np.ndarray
-
-    def __post_init__(self) -> None:
-        self.slots = np.zeros(1 << 20, np.int64)
-        order = np.argsort(-self.ranks, kind="stable")  # of words in one slot the most frequent stays
-        self.slots[((self.words[order] >> U64(40)) & U64(len(self.slots) - 1)).astype(np.int64)] = order
-        self.rows = max(ROWS, _power(ROOT_ROWS * self.distinct**0.5))
-        self.inner_rows = max(INNER_ROWS, _power(ROOT_INNER * self.distinct**0.5))
-        self.treed = max(len(self.words) - CLASSED, 0)
-        # nodes and leaves of each level below the tail, the leaves first
-        levels = [self.treed + len(self.rest)]
-        while levels[-1] > 1:
-            levels.append(-(-levels[-1] // WIDTH))
-        self.levels = levels[::-1]
-        # the root is class 0; nodes of further levels follow the classes
-        self.first = [0, *(CLASSES + np.cumsum([0, *self.levels[1:-1]])).tolist()]
-        self.nodes = CLASSES + sum(self.levels[1:-1])
-
-    def path(self, tokens: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The choices after the class: index of the token, class or node, output, outputs there are."""
-        own, deep = np.flatnonzero(rank < CLASSED), np.flatnonzero(rank >= CLASSED)
-        classes = 1 + rank[own] // WIDTH
-        out = [(own, classes, rank[own] % WIDTH, _sizes(self)[classes])]
-        leaf = np.where(rank[deep] < HEAD, rank[deep] - CLASSED, self.treed + _buckets(tokens[deep], len(self.rest)))
-        for level in range(len(self.levels) - 1, 0, -1):
-            node = leaf // WIDTH
-            out.append((deep, self.first[level - 1] + node, leaf % WIDTH, np.minimum(self.levels[level] - node * WIDTH, WIDTH)))
-            leaf = node
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-    def weights(self) -> list[np.ndarray]:
-        """Weights to begin with: the biases follow the smoothed counts, all else is zero."""
-        by_rank = np.zeros(max(len(self.words), CLASSED), np.float64)
-        by_rank[self.ranks] = self.n + 1
-        outer, inner = (np.zeros((n, CLASSES), np.float32) for n in _shape(self))
-        words = by_rank[:CLASSED].reshape(-1, WIDTH)
-        below = np.concatenate([by_rank[CLASSED : CLASSED + self.treed], self.rest])
-        outer[0] = _biases(np.concatenate([[below.sum()], words.sum(axis=1)])[None, :])[0]
-        inner[1:CLASSES] = _biases(words)
-        for level in range(len(self.levels) - 1, 0, -1):
-            count = self.levels[level - 1]
-            below = np.concatenate([below, np.zeros(count * WIDTH - len(below))]).reshape(-1, WIDTH)
-            inner[self.first[level - 1] :][:count] = _biases(below)
-            below = below.sum(axis=1)
-        return [outer, inner]
+    _made: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_made": {}}
+
+    @property
+    def rows(self) -> int:
+        """Hash rows."""
+        return max(LEAST_ROWS, _power(ROOT_ROWS * self.distinct**0.5))
+
+    def _tables(self) -> dict:
+        if not self._made:
+            weight = np.concatenate([self.n + 1, self.rest])
+            order = np.argsort(-weight, kind="stable")
+            leaf = np.empty(len(weight), np.int64)
+            leaf[order] = np.arange(len(weight))
+            slots = np.zeros(1 << 20, np.int64)
+            often = np.argsort(self.n, kind="stable")  # of words in one slot the most frequent stays
+            slots[((self.words[often] >> U64(40)) & U64(len(slots) - 1)).astype(np.int64)] = often
+            self._made.update(tree=Tree(weight[order]), leaf=leaf, slots=slots)
+        return self._made
+
+    @property
+    def tree(self) -> Tree:
+        return self._tables()["tree"]
+
+    def place(self, tokens: np.ndarray) -> np.ndarray:
+        """The number of each token's word; len(words) where it isn't at hand."""
+        m = len(self.words)
+        if not m:
+            return np.zeros(len(tokens), np.int64)
+        # a direct table finds most tokens; those that share a slot with a more frequent word are searched
+        slots = self._tables()["slots"]
+        at = slots[(tokens >> U64(40)) & U64(len(slots) - 1)]
+        if (rest := np.flatnonzero(self.words[at] != tokens)).size:
+            own = np.searchsorted(self.words, tokens[rest])
+            own[own == m] = 0
+            own[self.words[own] != tokens[rest]] = m
+            at[rest] = own
+        return at
+
+    def leaves(self, tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The leaf of each token: its word's or its bucket's."""
+        m = len(self.words)
+        return self._tables()["leaf"][np.where(place < m, place, m + _buckets(tokens, len(self.rest)))]
 
     def rest_of(self, tokens: np.ndarray) -> np.ndarray:
         return self.rest[_buckets(tokens, len(self.rest))]
 
-
-def _biases(counts: np.ndarray) -> np.ndarray:
-    """Logarithms of counts, relative to the greatest of each row."""
-    log = np.log(np.maximum(counts, 1))
-    return log - log.max(axis=1, keepdims=True)
+    def weights(self) -> np.ndarray:
+        """Weights to begin with: the biases follow the smoothed counts, all else is zero."""
+        return np.concatenate([self.tree.biases, np.zeros((self.rows, WIDTH), np.float32)])
 
 
 def _documents_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,13 +220,25 @@ def count_words(training: DataFrame) -> DataFrame:
 
 
 def head_counts(counts: DataFrame) -> Counts:
+    """The counts for all tasks.  A histogram of counts, of bounded size, says from which count on words
+    are among the HEAD most frequent; of those at the boundary a share is taken by hash."""
     total = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    tokens, distinct = int(total[0] or 0), int(total[1])
+    # ten leading bits of a count: steps of a thousandth
+    low = F.greatest(F.floor(F.log2(F.col("n"))) - 9, F.lit(0)).cast("int")
+    level = F.expr("shiftright(n, _low)") + F.col("_low") * 1024
+    levelled = counts.withColumn("_low", low).withColumn("_level", level)
+    have, least, share = 0, 0, 1.0
+    for r in levelled.groupBy("_level").count().orderBy(F.desc("_level")).collect():
+        if have + r["count"] > HEAD:
+            least, share = r["_level"], (HEAD - have) / r["count"]
+            break
+        have += r["count"]
+    taken = (F.col("_level") > least) | ((F.col("_level") == least) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    top = levelled.where(taken).select("word", "n").toArrow()
     word, n = top.column("word").to_numpy().view(U64), top.column("n").to_numpy()
-    rank = np.empty(len(word), np.int64)
-    rank[np.lexsort((word.view(np.int64), -n))] = np.arange(len(word))
     order = np.argsort(word)
-    tokens, distinct = int(total[0] or 0), int(total[1])
+    word, n = word[order], n[order]
     rest = np.ones(_bucket_count(distinct - len(word)), np.int64)
     if len(rest) > 1:
         bucket = F.shiftrightunsigned("word", 20).bitwiseAND(F.lit(len(rest) - 1))
@@ -184,197 +247,167 @@ def head_counts(counts: DataFrame) -> Counts:
     else:
         rest += tokens + distinct
     np.subtract.at(rest, _buckets(word, len(rest)), n + 1)
-    return Counts(word[order], n[order], rank[order], tokens, distinct, rest)
-
-
-def _looked_up(counts: Counts, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Count (0 where it isn't at hand) and rank (HEAD there) of each token."""
-    if not len(counts.words):
-        return np.zeros(len(tokens), np.int64), np.full(len(tokens), HEAD)
-    # a direct table finds most tokens; those that share a slot with a more frequent word are searched
-    at = counts.slots[(tokens >> U64(40)) & U64(len(counts.slots) - 1)]
-    known = counts.words[at] == tokens
-    if (rest := np.flatnonzero(~known)).size:
-        own = np.searchsorted(counts.words, tokens[rest])
-        own[own == len(counts.words)] = 0
-        at[rest] = own
-        known[rest] = counts.words[own] == tokens[rest]
-    return np.where(known, counts.n[at], 0), np.where(known, counts.ranks[at], HEAD)
+    return Counts(word, n, tokens, distinct, rest)
 
 
 def _features(tokens: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of feature hashes for each token; the words before a text's first are a fixed one."""
+    """FEATURES rows of hashes, a column for each token; the words before a text's first are a fixed one."""
     place = np.arange(len(tokens)) - np.repeat(off[:-1], np.diff(off))
     one = np.concatenate([[_BEFORE], tokens[:-1]])
     two = np.concatenate([[_BEFORE], one[:-1]])
     one, two = np.where(place >= 1, one, _BEFORE), np.where(place >= 2, two, _BEFORE)
-    return np.stack([np.zeros(len(tokens), U64), mix(one + U64(11)), mix(one * U64(3) ^ mix(two + U64(12))), mix(two + U64(13))], axis=1)
+    return np.stack([mix(one + U64(11)), mix(one * U64(3) ^ mix(two + U64(12))), mix(two + U64(13))])
 
 
-def _outer_rows(features: np.ndarray, n: int) -> np.ndarray:
-    rows = ((features >> U64(20)) & U64(n - 1)) + (np.arange(FEATURES, dtype=U64) * U64(n))
-    rows[:, 0] = 0
-    return rows.astype(np.int64)
+def _hash_rows(features: np.ndarray, at: np.ndarray, node: np.ndarray, counts: Counts) -> np.ndarray:
+    """The weight rows of each step's features."""
+    own = node.astype(U64) * U64(0x9E3779B97F4A7C15)
+    shift = U64(64 - (counts.rows.bit_length() - 1))
+    rows = ((np.take(features, at, axis=1) + own) * U64(0xD6E8FEB86659FD93)) >> shift
+    return rows.astype(np.int64) + len(counts.tree.biases)
 
 
-def _inner_rows(features: np.ndarray, nodes: np.ndarray, counts: Counts) -> np.ndarray:
-    own = mix(features + (nodes.astype(U64) * U64(0x9E3779B97F4A7C15))[:, None])
-    rows = U64(counts.nodes) + ((own >> U64(20)) & U64(counts.inner_rows - 1))
-    rows[:, 0] = nodes
-    return rows.astype(np.int64)
-
-
-def _logits(table: np.ndarray, rows: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
-    """Sums of the rows' outputs, one row a token, within +-CLIP, so that no exponential overflows or
-    vanishes; outputs at `limit` and beyond don't exist."""
-    z = table[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z += np.take(table, rows[:, k], axis=0)
+def _exponentials(table: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """exp of each output's logit.  The features' part is clipped, so that none overflows."""
+    z = np.take(table, rows[0], axis=0)
+    for own in rows[1:]:
+        z += np.take(table, own, axis=0)
     np.clip(z, -CLIP, CLIP, out=z)
-    if limit is not None:
-        few = np.flatnonzero(limit < z.shape[1])
-        z[few] = np.where(np.arange(z.shape[1]) < limit[few, None], z[few], -np.inf)
-    return z
-
+    z += np.take(table, node, axis=0)
+    return np.exp(z, out=z)
 
-def _log_softmax(table: np.ndarray, rows: np.ndarray, target: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
-    """The log-probability of each token's own output."""
-    z = _logits(table, rows, limit)
-    own = z[np.arange(len(target)), target]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
 
-
-def _shape(counts: Counts) -> tuple[int, int]:
-    return counts.rows * FEATURES, counts.nodes + counts.inner_rows
-
-
-def _sizes(counts: Counts) -> np.ndarray:
-    """Words of each class that exist; class 0 is the tail."""
-    have = min(len(counts.words), CLASSED)
-    return np.clip(have - np.arange(-1, CLASSES - 1) * WIDTH, 0, WIDTH)
-
-
-def _offered(counts: Counts) -> int:
-    """Classes that exist."""
-    return 1 + int((_sizes(counts)[1:] > 0).sum())
+_ONES = np.ones(WIDTH, np.float32)
 
 
 class Trainer:
     """Weights of one task; AdaGrad steps over batches of tokens."""
 
-    def __init__(self, counts: Counts):
-        outer, inner = _shape(counts)
-        self.counts, self.offered = counts, _offered(counts)
-        self.weights = counts.weights()
-        self.squares = [np.full((n, 1), 1e-2, np.float32) for n in (outer, inner)]
-        self.uses = [np.zeros(n, np.int64) for n in (outer, inner)]
-
-    def _step(self, k: int, rows: np.ndarray, target: np.ndarray, limit: np.ndarray | None) -> None:
-        table, squares, uses = self.weights[k], self.squares[k], self.uses[k]
-        gradient = _logits(table, rows, limit)
-        np.exp(gradient, out=gradient)
-        gradient /= gradient.sum(axis=1, keepdims=True)
-        gradient[np.arange(len(target)), target] -= 1
-        if k == 0:  # the bias is one row for all tokens
-            self._move(table, squares, uses, np.zeros(1, np.int64), gradient.mean(axis=0)[None, :], np.array([len(target)]))
-            rows = rows[:, 1:]
-        flat = rows.T.ravel()
-        # one sort of row and place together, which is faster than a stable argsort
-        flat = np.sort((flat << 32) | np.arange(len(flat)))
-        order, flat = flat & 0xFFFFFFFF, flat >> 32
-        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        n = np.diff(np.concatenate([first, [len(flat)]]))
-        mean = np.add.reduceat(np.take(gradient, order % len(target), axis=0), first, axis=0)
-        mean /= n[:, None].astype(np.float32)
-        self._move(table, squares, uses, flat[first], mean, n)
-
-    @staticmethod
-    def _move(table: np.ndarray, squares: np.ndarray, uses: np.ndarray, row: np.ndarray, mean: np.ndarray, n: np.ndarray) -> None:
-        squares[row, 0] += np.einsum("ij,ij->i", mean, mean) / mean.shape[1]
-        table[row] -= mean * (np.float32(STEP / np.sqrt(FEATURES)) / np.sqrt(squares[row]))
-        uses[row] += n
+    def __init__(self, counts: Counts, weights: np.ndarray | None = None):
+        self.counts = counts
+        self.weights = counts.weights() if weights is None else weights.copy()
+        self.state = np.tile(np.array([SQUARES, 0], np.float32), (len(self.weights), 1))
+
+    @property
+    def uses(self) -> np.ndarray:
+        return self.state[:, 1].astype(np.int64)
 
     def learn(self, tokens: np.ndarray, off: np.ndarray) -> None:
-        _, rank = _looked_up(self.counts, tokens)
-        classes = np.where(rank < CLASSED, 1 + rank // WIDTH, 0)
+        counts = self.counts
+        leaf = counts.leaves(tokens, counts.place(tokens))
         features = _features(tokens, off)
         for s in range(0, len(tokens), BATCH):
-            own = slice(s, s + BATCH)
-            f, c = features[own], classes[own]
-            self._step(0, _outer_rows(f, self.counts.rows), c, None if self.offered == CLASSES else np.full(len(c), self.offered))
-            at, node, target, full = self.counts.path(tokens[own], rank[own])
+            at, node, pick = counts.tree.paths(leaf[s : s + BATCH])
             if at.size:
-                self._step(1, _inner_rows(f[at], node, self.counts), target, None if (full == WIDTH).all() else full)
-
-
-def _rows_out(tables: list[np.ndarray], uses: list[np.ndarray]) -> pa.RecordBatch:
-    """The rows that were used, numbered on through both tables."""
-    row = np.concatenate([np.flatnonzero(uses[0]), len(uses[0]) + np.flatnonzero(uses[1])])
-    body = np.concatenate([t[np.flatnonzero(u)] for t, u in zip(tables, uses)]).astype(np.float32)
-    off = np.arange(len(row) + 1, dtype=np.int32) * (body.shape[1] * 4)
-    values = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(body))])
-    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate([u[u > 0] for u in uses])), values], ["row", "uses", "weights"])
-
+                rows = _hash_rows(features[:, s : s + BATCH], at, node, counts)
+                gradient = _exponentials(self.weights, node, rows)
+                gradient /= (gradient @ _ONES)[:, None]
+                gradient[np.arange(len(pick)), pick] -= 1
+                self._move(np.concatenate([node[None, :], rows]), gradient)
+
+    def _move(self, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """A step of each row along the mean of its gradients; rows[k] has those of one feature."""
+        # one sort of row and place together, which is faster than a stable argsort
+        key = np.sort(((rows << 32) | np.arange(len(gradient))).ravel())
+        row, place = key >> 32, key & 0xFFFFFFFF
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        n = np.diff(np.concatenate([first, [len(row)]]))
+        row = row[first]
+        mean = np.take(gradient, place[first], axis=0)
+        # most rows have one gradient; a sum costs more than a copy
+        if (many := np.flatnonzero(n > 1)).size:
+            m = n[many]
+            start = np.cumsum(m) - m
+            at = np.arange(int(m.sum())) + np.repeat(first[many] - start, m)
+            sums = np.add.reduceat(np.take(gradient, place[at], axis=0), start, axis=0)
+            mean[many] = sums / m[:, None].astype(np.float32)
+        # squares and uses
+        state = np.take(self.state, row, axis=0)
+        state[:, 0] += (mean * mean) @ _ONES / WIDTH
+        state[:, 1] += n
+        self.state[row] = state
+        mean *= (np.float32(STEP / (FEATURES + 1) ** 0.5) / np.sqrt(state[:, 0]))[:, None]
+        self.weights[row] = np.take(self.weights, row, axis=0) - mean
+
+
+_KIND = "block long, rows binary, uses binary, weights binary"
+
+
+def _rows_out(weights: np.ndarray, uses: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows that were used, a record for each block of the table."""
+    for block in range(-(-len(weights) // BLOCK)):
+        own = uses[block * BLOCK : (block + 1) * BLOCK]
+        if (used := np.flatnonzero(own)).size:
+            body = weights[block * BLOCK : (block + 1) * BLOCK][used].astype("<f4")
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([x.tobytes()], pa.binary()) for x in (used.astype("<u2"), own[used].astype("<i8"), body))], ["block", "rows", "uses", "weights"])
+
+
+def _row_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records sorted by block -> one record for each, its rows the means by use."""
+    now, total, uses = None, np.zeros((BLOCK, WIDTH)), np.zeros(BLOCK, np.int64)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for batch in _rows_out(total / np.maximum(uses, 1)[:, None], uses):
+            yield batch.set_column(0, "block", pa.array([now]))
 
-def _row_means(batches: Iterator[pa.RecordBatch], outer: int, inner: int) -> Iterator[pa.RecordBatch]:
-    total, uses = np.zeros((outer + inner, CLASSES)), np.zeros(outer + inner, np.int64)
     for batch in batches:
-        if batch.num_rows:
-            row, n = batch.column("row").to_numpy(), batch.column("uses").to_numpy()
-            _, off, data = batch.column("weights").buffers()
-            at = np.frombuffer(off, np.int32)[batch.column("weights").offset :][: batch.num_rows]
-            body = np.frombuffer(data, np.uint8)[at[0] : at[0] + batch.num_rows * CLASSES * 4].view(np.float32).reshape(-1, CLASSES)
-            np.add.at(total, row, body * n[:, None])
-            np.add.at(uses, row, n)
-    mean = total / np.maximum(uses, 1)[:, None]
-    yield _rows_out([mean[:outer], mean[outer:]], [uses[:outer], uses[outer:]])
+        for i in range(batch.num_rows):
+            block, rows, n, body = (c[i].as_py() for c in batch.columns)
+            if block != now:
+                if now is not None:
+                    yield from out()
+                now, total, uses = block, np.zeros((BLOCK, WIDTH)), np.zeros(BLOCK, np.int64)
+            rows, n = np.frombuffer(rows, "<u2"), np.frombuffer(n, "<i8")
+            total[rows] += np.frombuffer(body, "<f4").reshape(-1, WIDTH) * n[:, None]
+            uses[rows] += n
+    if now is not None:
+        yield from out()
 
 
 @dataclass
 class Model:
     counts: Counts
-    outer: np.ndarray
-    inner: np.ndarray
-
-    def token_scores(self, tokens: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 probability of each token, without the count of a word that isn't at hand; the
-        token's count and rank."""
-        n, rank = _looked_up(self.counts, tokens)
-        classes = np.where(rank < CLASSED, 1 + rank // WIDTH, 0)
-        offered = _offered(self.counts)
+    weights: np.ndarray
+
+    def token_scores(self, tokens: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token, without the count of a word that isn't at hand; the number
+        of its word."""
+        counts = self.counts
+        place = counts.place(tokens)
+        leaf = counts.leaves(tokens, place)
         features = _features(tokens, off)
-        out = np.empty(len(tokens))
+        out = np.zeros(len(tokens))
         for s in range(0, len(tokens), BATCH):
-            own = slice(s, s + BATCH)
-            f, c = features[own], classes[own]
-            score = _log_softmax(self.outer, _outer_rows(f, self.counts.rows), c, None if offered == CLASSES else np.full(len(c), offered)).astype(np.float64)
-            at, node, target, full = self.counts.path(tokens[own], rank[own])
+            own = leaf[s : s + BATCH]
+            at, node, pick = counts.tree.paths(own)
             if at.size:
-                score += np.bincount(at, _log_softmax(self.inner, _inner_rows(f[at], node, self.counts), target, None if (full == WIDTH).all() else full), len(c))
-            out[own] = score
+                e = _exponentials(self.weights, node, _hash_rows(features[:, s : s + BATCH], at, node, counts))
+                logs = np.log(e[np.arange(len(pick)), pick] / (e @ _ONES))
+                out[s : s + BATCH] = np.bincount(at, logs, len(own))
         out /= np.log(10)
-        return out - np.where(rank < HEAD, 0.0, np.log10(self.counts.rest_of(tokens))), n, rank
+        return out - np.where(place < len(counts.words), 0.0, np.log10(counts.rest_of(tokens))), place
 
 
-def train(training: DataFrame, counts: Counts) -> Model:
-    """Gradient steps over all of training(text), in each task over its share; then the means."""
-    spark = training.sparkSession
-    sent = spark.sparkContext.broadcast(counts)
+def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
+    """Gradient steps over all of training(doc_id, text), in each round over one part of it."""
+    spark, table = training.sparkSession, counts.weights()
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+    for turn in range(rounds):
+        sent = spark.sparkContext.broadcast((counts, table))
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(sent.value)
-        for batch in batches:
-            for _, data, off in slices(batch):
-                trainer.learn(*_documents_tokens(data, off))
-        yield _rows_out(trainer.weights, trainer.uses)
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            trainer = Trainer(*sent.value)
+            for batch in batches:
+                for _, data, off in slices(batch):
+                    trainer.learn(*_documents_tokens(data, off))
+            yield from _rows_out(trainer.weights, trainer.uses)
 
-    kind = "row long, uses long, weights binary"
-    outer, inner = _shape(counts)
-    rows = training.select("text").mapInArrow(learn, kind).repartition(shuffle_partitions(spark), "row").mapInArrow(lambda x: _row_means(x, outer, inner), kind).toArrow()
-    table = np.concatenate(counts.weights())
-    if rows.num_rows:
-        table[rows.column("row").to_numpy()] = np.frombuffer(b"".join(rows.column("weights").to_pylist()), np.float32).reshape(-1, CLASSES)
-    return Model(counts, table[:outer], table[outer:])
+        rows = training.where(part == turn).select("text").mapInArrow(learn, _KIND)
+        means = rows.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").mapInArrow(_row_means, _KIND).toArrow()
+        for block, used, body in zip(*(means.column(c).to_pylist() for c in ("block", "rows", "weights"))):
+            table[block * BLOCK + np.frombuffer(used, "<u2").astype(np.int64)] = np.frombuffer(body, "<f4").reshape(-1, WIDTH)
+        sent.destroy()
+    return Model(counts, table)
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
@@ -391,8 +424,9 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part, data, off in slices(batch):
                 tokens, first = _documents_tokens(data, off)
-                scores, n, rank = model.token_scores(tokens, first)
-                at_hand = rank < HEAD
+                scores, place = model.token_scores(tokens, first)
+                at_hand = place < len(model.counts.words)
+                n = np.concatenate([model.counts.n, [0]])[place]
                 row = number + np.arange(part.num_rows)
                 number += part.num_rows
                 sums = lambda x: pa.array(np.add.reduceat(x, first[:-1]))  # noqa: E731  every row has its end token

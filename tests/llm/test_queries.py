@@ -211,39 +211,82 @@ def test_op6(spark, folder):
         assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
-def test_op6_rare_words_have_context(spark):
-    """Words beyond the classes are told apart by the words before them, at hand or not, and all
-    words' probabilities sum to one."""
+def lm_tokens(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return lm_scoring._documents_tokens(data, np.array([0, len(data)]))
+
+
+def fitted(spark, text, head, monkeypatch, times=8):
+    """Counts of a text with about `head` words at hand, and a model trained on it in one task."""
+    monkeypatch.setattr(lm_scoring, "HEAD", head)
+    counts = lm_scoring.head_counts(lm_scoring.count_words(spark.createDataFrame([(text,)], "text string")))
+    trainer = lm_scoring.Trainer(counts)
+    for _ in range(times):
+        trainer.learn(*lm_tokens(text))
+    return counts, lm_scoring.Model(counts, trainer.weights)
+
+
+@pytest.mark.parametrize("head", [1 << 18, 1200])
+def test_op6_probabilities(spark, monkeypatch, head):
+    """All words' probabilities after any words sum to one, whether they are at hand or in buckets, and
+    the words before tell even rare words apart."""
     n = 1500
-    text = " ".join(f"left{i} right{i}" for i in range(n))
-    tables = []
-    for head in (lm_scoring.HEAD, 1200):  # all words at hand; most of them in buckets
-        counts = lm_scoring.count_words(spark.createDataFrame([(text,)], "text string"))
-        with pytest.MonkeyPatch.context() as m:
-            m.setattr(lm_scoring, "HEAD", head)
-            own = lm_scoring.head_counts(counts)
-            trainer = lm_scoring.Trainer(own)
-            data = np.frombuffer(text.encode(), np.uint8)
-            tokens, off = lm_scoring._documents_tokens(data, np.array([0, len(data)]))
-            for _ in range(8):
-                trainer.learn(tokens, off)
-            model = lm_scoring.Model(own, *trainer.weights)
-            n_of = dict(zip(*np.unique(tokens, return_counts=True)))
-            words = np.array(list(n_of), lm_scoring.U64)
-            pairs = np.stack([np.full(len(words), tokens[2000]), words], axis=1).ravel()
-            got, at_hand, rank = model.token_scores(pairs, np.arange(0, len(pairs) + 1, 2))
-            p = 10 ** got[1::2] * np.where(rank[1::2] < head, 1, [n_of[w] + 1 for w in words])
-            unseen = 0.0
-            for b in range(len(own.rest)) if len(own.rest) > 1 or head > n else ():
-                w = lm_scoring.U64((b << 20) + 3)  # an unseen word of the bucket
-                unseen += 10 ** model.token_scores(np.array([tokens[2000], w]), np.array([0, 2]))[0][1]
-            assert abs(p.sum() + unseen - 1) < 1e-3
-            right = p[words == tokens[2001]][0]
-            assert right > 3 * np.median(p[rank[1::2] >= lm_scoring.CLASSED])
-            tables.append(own)
-    assert len(tables[1].rest) > len(tables[0].rest) == 1 and len(tables[0].levels) > 1
-    wide = lm_scoring.Counts(tables[0].words, tables[0].n, tables[0].ranks, 10**8, 10**7, np.ones(1 << 18, np.int64))
-    assert wide.rows > tables[0].rows and wide.inner_rows > tables[0].inner_rows and wide.nodes > tables[0].nodes
+    text = " ".join(f"left{i} right{i}" for i in range(n)) + " the end" * 200
+    counts, model = fitted(spark, text, head, monkeypatch)
+    tokens, _ = lm_tokens(text)
+    words, times = np.unique(tokens, return_counts=True)
+    assert len(counts.words) == len(words) if head > len(words) else 0.9 * head < len(counts.words) <= 1.05 * head
+    assert (head > len(words)) == (len(counts.rest) == 1)
+    for before in ([tokens[2000]], [], [tokens[5], tokens[2001]]):
+        def p(of):
+            rows = np.concatenate([np.append(np.array(before, lm_scoring.U64), w) for w in of])
+            got, place = model.token_scores(rows, np.arange(0, len(rows) + 1, len(before) + 1))
+            return 10 ** got[len(before) :: len(before) + 1], place[len(before) :: len(before) + 1] < len(counts.words)
+
+        each, at_hand = p(words)
+        unseen, _ = p([lm_scoring.U64((b << 20) + 3) for b in range(len(counts.rest))])
+        assert abs((each * np.where(at_hand, 1, times + 1)).sum() + unseen.sum() - 1) < 1e-3
+        if len(before) == 1:
+            full = each * np.where(at_hand, 1, times + 1)
+            assert full[words == tokens[2001]][0] > 3 * np.median(full)
+
+
+def test_op6_score_by_hand(spark, monkeypatch):
+    """The score of a text, softmax by softmax, in plain Python."""
+    import math
+
+    text = " ".join(random.Random(4).choices([f"w{i}" for i in range(60)], weights=range(1, 61), k=3000))
+    counts, model = fitted(spark, text, 1 << 18, monkeypatch, 1)
+    tokens, off = lm_tokens("w59 w3 w58 w41 never w7")
+    got, _ = model.token_scores(tokens, off)
+    features, tree = lm_scoring._features(tokens, off), counts.tree
+    leaves = counts.leaves(tokens, counts.place(tokens))
+    for t in range(len(tokens)):
+        total = 0.0
+        for step in range(tree.off[leaves[t]], tree.off[leaves[t] + 1]):
+            node, pick = int(tree.node[step]), int(tree.pick[step])
+            rows = lm_scoring._hash_rows(features[:, t : t + 1], np.array([0]), np.array([node]), counts)[:, 0]
+            z = [float(sum(model.weights[r][k] for r in rows)) + float(model.weights[node][k]) for k in range(lm_scoring.WIDTH)]
+            total += z[pick] - math.log(sum(map(math.exp, z)))
+        known = counts.place(tokens)[t] < len(counts.words)
+        assert abs(got[t] - (total / math.log(10) - (0 if known else math.log10(counts.rest_of(tokens)[t])))) < 1e-4
+    # a tree: each leaf has a path of its own, frequent words the shorter ones
+    paths = {tuple(zip(tree.node[a:b].tolist(), tree.pick[a:b].tolist())) for a, b in zip(tree.off[:-1], tree.off[1:])}
+    assert len(paths) == len(tree.off) - 1 and np.diff(tree.off)[0] <= np.diff(tree.off)[-1]
+
+
+def test_op6_grows_with_the_vocabulary():
+    sizes = [lm_scoring.Counts(np.zeros(0, lm_scoring.U64), np.zeros(0, np.int64), 1, v, np.ones(lm_scoring._bucket_count(v), np.int64)) for v in (10**4, 10**6, 10**8)]
+    assert sizes[0].rows < sizes[1].rows < sizes[2].rows and len(sizes[0].rest) < len(sizes[1].rest) < len(sizes[2].rest)
+
+
+def test_op6_rare_words_are_joined(spark, small, monkeypatch):
+    """With few words at hand the counts of all others come by the join, and base scores stay exact."""
+    monkeypatch.setattr(lm_scoring, "HEAD", 50)
+    want = brute.unigram(texts_of(small), lambda i: brute.fold(i, 7) == 2)
+    for r in rows(Q.op6_lm_scoring(spark, small)):
+        n, known, total, base = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and abs(r.base_score - base) < 1e-6 * max(1, abs(base))
 
 
 def test_op7(spark, folder):
