@@ -42,7 +42,9 @@ CLIP = 30.0
 #: The bias of an output that doesn't exist.
 _CLOSED = np.float32(-1e4)
 #: Weight rows of a record on the way between tasks.
-BLOCK = 1 << 12
+BLOCK = 1 << 9
+#: Tasks of a round at most, each of which hands its model on; more parts of the input are put together.
+TRAINERS = 1 << 15
 #: Words kept between counts that are handed on.
 COUNTED = 1 << 20
 
@@ -402,7 +404,7 @@ def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
                     trainer.learn(*_documents_tokens(data, off))
             yield from _rows_out(trainer.weights, trainer.uses)
 
-        rows = training.where(part == turn).select("text").mapInArrow(learn, _KIND)
+        rows = training.where(part == turn).select("text").coalesce(TRAINERS).mapInArrow(learn, _KIND)
         means = rows.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").mapInArrow(_row_means, _KIND).toArrow()
         for block, used, body in zip(*(means.column(c).to_pylist() for c in ("block", "rows", "weights"))):
             table[block * BLOCK + np.frombuffer(used, "<u2").astype(np.int64)] = np.frombuffer(body, "<f4").reshape(-1, WIDTH)
