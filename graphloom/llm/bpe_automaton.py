@@ -1,21 +1,25 @@
-"""BPE encoding and decoding with an automaton over tokens.
-
-Start with one state and an arc for each byte.  A merge gadget for the pair (a, b), in rank order,
-gives the state behind a a copy without its arc b, and every state from which a leads there an arc
-for the new token ab.  The result accepts each byte string once, along its BPE tokenization.
-
-States are not copied out: the state behind a token is fixed by the token, and what its arcs have
-lost is read off tables that the gadgets fill in one pass over the merges.  A gadget (a, b) acts on
-the state behind t as long as a is the end of t that later merges of t haven't swallowed yet, and
-on the arc u as long as b is the beginning of u likewise; at equal ranks the left pair goes first.
-So a token needs only the chain of its ends with the ranks at which they were swallowed, the chain
-of its beginnings, and the gadgets' table (a, b) -> rank.  Transitions met are kept in a table.
+"""BPE encoding and decoding with a compiled automaton over tokens.
+
+Start with one state and an arc for each byte.  A merge gadget for the pair (a, b), in rank order, acts
+where the state behind a still has its arc b: that state is copied without this arc, and every state
+from which a leads there gets an arc for the new token ab.  The result accepts each byte string once,
+along its BPE tokenization.
+
+A state is fixed by the arc that leads to it.  An arc is a token with one way of making it (a pair may
+give a token that another pair has given before, which is an arc of its own), so states and arcs are
+numbered alike.  What the arcs of a state have lost follows from two chains: the ends of its token
+with the ranks at which later merges swallowed them, and the beginnings of the arc's token likewise.
+Arcs are numbered so that those that begin with an arc z, swallowed at rank r or later, are
+neighbours; so each gadget takes one arc and one run of arcs from a state, and the compiled transition
+table keeps for each state the bounds of the runs that it has lost.  A transition is a search in them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +33,6 @@ from .tokenizer_files import SPACED, WHITE, PieceTable
 
 #: The splitting rule of byte-level BPE vocabularies (fixed pattern), white space spelled out.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Transitions kept by a worker; at the bound the table starts afresh.
-KEPT_ARCS = 400_000
-
 _NEVER = 1 << 40
 
 
@@ -43,28 +44,32 @@ def byte_letters() -> list[str]:
 
 
 class Automaton:
-    """compiled from a byte-level BPE vocabulary file."""
+    """Compiled from a byte-level BPE vocabulary file."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         raw = {t: bytes(byte_of[c] for c in t) for t in vocab}
-        size = max([*vocab.values(), *special.values()]) + 1
-        self.labels: list[bytes] = [b""] * size
+        self.labels: list[bytes] = [b""] * (max([*vocab.values(), *special.values()]) + 1)
         for t, i in vocab.items():
             self.labels[i] = raw[t]
         for t, i in special.items():
             self.labels[i] = t.encode()
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.by_label = {raw[t]: i for t, i in vocab.items() if len(raw[t]) == 1}
-        self.gadgets: dict[int, int] = {}
-        # ends[t], begins[t]: (token, rank at which it was swallowed), from the token itself inwards
-        self.ends: dict[int, tuple] = {i: ((i, _NEVER),) for i in self.by_label.values()}
-        self.begins = dict(self.ends)
+        self.gadgets: dict[tuple[int, int], int] = {}
+        # of each arc: its token, the arc that its token begins with and the rank of their merge; ends and
+        # begins: (token, rank at which it was swallowed), from the token itself inwards
+        self.token: list[int] = []
+        self.left: list[tuple[int, int] | None] = []
+        self.ends: list[tuple] = []
+        self.begins: list[tuple] = []
+        self.arcs_of: dict[int, list[int]] = {}
+        for t, i in vocab.items():
+            if len(raw[t]) == 1:
+                self._arc(i, None, ((i, _NEVER),), ((i, _NEVER),))
         for rank, (left, right) in enumerate(merges):
             self._gadget(vocab[left], vocab[right], vocab[left + right], rank)
-        self.longest = max(map(len, self.by_label))
-        self.arcs: dict[int, bool] = {}
+        self._compile()
 
     @classmethod
     def from_file(cls, path: str) -> "Automaton":
@@ -73,52 +78,115 @@ class Automaton:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         return cls(spec["model"]["vocab"], merges, {t["content"]: t["id"] for t in spec.get("added_tokens", [])})
 
+    def _arc(self, token: int, left: tuple[int, int] | None, ends: tuple, begins: tuple) -> None:
+        self.arcs_of.setdefault(token, []).append(len(self.token))
+        self.token.append(token)
+        self.left.append(left)
+        self.ends.append(ends)
+        self.begins.append(begins)
+
+    def _lost(self, state: int, arc: int) -> bool:
+        """Whether a gadget so far has taken this arc from this state."""
+        rank = self.gadgets.get
+        return any((r := rank((y, z))) is not None and r < gone and r <= taken for y, gone in self.ends[state] for z, taken in self.begins[arc])
+
     def _gadget(self, a: int, b: int, ab: int, rank: int) -> None:
-        self.gadgets.setdefault(a << 20 | b, rank)
-        if ab in self.ends:
+        if (a, b) in self.gadgets:
             return
-        self.ends[ab] = ((ab, _NEVER), (b, rank), *self.ends[b][1:])
-        self.begins[ab] = ((ab, _NEVER), (a, rank), *self.begins[a][1:])
-        self.by_label[self.labels[ab]] = ab
-
-    def has_arc(self, state: int, token: int) -> bool:
-        """Whether the state behind `state` kept its arc for `token`."""
-        key = state << 20 | token
-        known = self.arcs.get(key)
-        if known is None:
-            rank = self.gadgets.get
-            known = not any((r := rank(y << 20 | z)) is not None and r < gone and r <= taken for y, gone in self.ends[state] for z, taken in self.begins[token])
-            if len(self.arcs) > KEPT_ARCS:
-                self.arcs.clear()
-            self.arcs[key] = known
-        return known
+        for x in self.arcs_of.get(a, ()):
+            for y in self.arcs_of.get(b, ()):
+                if not self._lost(x, y):
+                    self._arc(ab, (x, rank), ((ab, _NEVER), (b, rank), *self.ends[y][1:]), ((ab, _NEVER), (a, rank), *self.begins[x][1:]))
+        self.gadgets[a, b] = rank
+
+    def _compile(self) -> None:
+        """Numbers the arcs by the trees of their beginnings, children by rank, and writes out the runs
+        of numbers that each state has lost."""
+        n = len(self.token)
+        children: list[list[int]] = [[] for _ in range(n)]
+        for arc, left in enumerate(self.left):  # made in the order of ranks
+            if left is not None:
+                children[left[0]].append(arc)
+        size = [1] * n
+        for arc in range(n - 1, -1, -1):
+            if self.left[arc] is not None:
+                size[self.left[arc][0]] += size[arc]
+        first, at = [0] * n, 0  # an arc's own number; its tree's numbers follow
+        for arc in range(n):
+            if self.left[arc] is None:
+                first[arc], at = at, at + size[arc]
+            own = first[arc] + 1
+            for child in children[arc]:
+                first[child], own = own, own + size[child]
+        # what each gadget takes from the states whose end is its left token: rank, and two runs
+        taken: dict[int, list[tuple]] = {}
+        for (a, b), rank in self.gadgets.items():
+            for z in self.arcs_of.get(b, ()):
+                later = next((first[c] for c in children[z] if self.left[c][1] >= rank), first[z] + size[z])
+                taken.setdefault(a, []).append((rank, first[z], first[z] + 1, later, first[z] + size[z]))
+        runs = {a: np.array(rows, np.int64) for a, rows in taken.items()}
+        bounds, off = [], [0]
+        for state in range(n):
+            own = [runs[y][runs[y][:, 0] < gone] for y, gone in self.ends[state] if y in runs]
+            own = np.concatenate([*(x[:, 1:3] for x in own), *(x[:, 3:5] for x in own), np.zeros((0, 2), np.int64)])
+            own = own[own[:, 1] > own[:, 0]]
+            own = own[np.argsort(own[:, 0])]
+            if len(own):
+                end = np.maximum.accumulate(own[:, 1])
+                new = np.concatenate([[True], own[1:, 0] > end[:-1]])
+                own = np.stack([own[new, 0], end[np.concatenate([new[1:], [True]])]], axis=1)
+            bounds.append(own.ravel())
+            off.append(off[-1] + own.size)
+        #: The transition table: of a state the bounds[off[state] : off[state + 1]], begins and ends in turn.
+        self.bounds, self.off = array("i", np.concatenate([*bounds, np.zeros(0, np.int64)]).astype(np.int32).tobytes()), off
+        self.number = first
+        self.by_label: dict[bytes, list[int]] = {}
+        for arc, token in enumerate(self.token):
+            self.by_label.setdefault(self.labels[token], []).append(arc)
+        self.longest = max(map(len, self.by_label), default=0)
+        del self.ends, self.begins, self.left, self.arcs_of, self.gadgets  # the table has it all
+
+    def has_arc(self, state: int, arc: int) -> bool:
+        """Whether the state behind arc `state` kept this arc: by the table."""
+        low = self.off[state]
+        return not (bisect_right(self.bounds, self.number[arc], low, self.off[state + 1]) - low) & 1
 
     def walk(self, word: bytes) -> list[int]:
-        """The arcs of the accepting walk: longest labels first, with a step back at dead ends."""
+        """The tokens of the accepting walk: longest labels first, with a step back at dead ends."""
         if (whole := self.by_label.get(word)) is not None:
-            return [whole]
+            return [self.token[whole[0]]]
         n, by_label, longest = len(word), self.by_label, self.longest
+        bounds, off, number = self.bounds, self.off, self.number
         path: list[int] = []
-        ends: list[int] = []
-        dead = bytearray(n + 1)  # a prefix has one walk, so a position without a way on never has one
+        begin: list[int] = []
+        dead: set[tuple[int, int]] = set()  # (arc, where it ended) from which no way leads on
         at, size = 0, min(longest, n)
         while at < n:
-            while size:
-                token = by_label.get(word[at : at + size])
-                if token is not None and not dead[at + size] and (not path or self.has_arc(path[-1], token)):
+            found = None
+            while size and found is None:
+                for arc in by_label.get(word[at : at + size], ()):
+                    if dead and (arc, at + size) in dead:
+                        continue
+                    if path:
+                        low = off[path[-1]]
+                        if (bisect_right(bounds, number[arc], low, off[path[-1] + 1]) - low) & 1:
+                            continue
+                    found = arc
                     break
-                size -= 1
-            if size:
-                path.append(token)
-                ends.append(at)
+                else:
+                    size -= 1
+            if found is not None:
+                path.append(found)
+                begin.append(at)
                 at += size
                 size = min(longest, n - at)
             else:
                 if not path:
                     raise ValueError("a byte without a token")
-                dead[at] = 1
-                at, size = ends.pop(), len(self.labels[path.pop()]) - 1
-        return path
+                dead.add((path.pop(), at))  # the arcs of this label that are left, then shorter ones
+                size = at - begin[-1]
+                at = begin.pop()
+        return [self.token[arc] for arc in path]
 
     def encode_piece(self, piece: str, known: dict[str, list[int]]) -> list[int]:
         """Ids of a text; `known` keeps the words met."""

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, shuffle_partitions, tuned
+from .common import buffers, shuffle_partitions, slices, tuned
 
 START, SPLIT, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 #: Control strings of this template and of common others; none is a prefix of another.
@@ -32,24 +33,30 @@ LOSS_ROLE = "assistant"
 #: Bytes of formatted text in a piece, beyond which a conversation goes on in another piece.
 PIECE_BYTES = 1 << 22
 
-_FOUND = re.compile(b"|".join([rb"\\", *(b"(?=" + re.escape(c) + b")." for c in CONTROL)]), re.S)
-_SIZES = {c[:2]: c for c in CONTROL}
 _ESCAPED = re.compile(rb"\\(.)", re.S)
 _TURN = re.compile(re.escape(START) + rb"((?:[^\\\n]|\\.)*)\n(.*?)" + re.escape(END), re.S)
 
 
+def _rows_of(places: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return np.searchsorted(off, places, "right") - 1
+
+
 def _escape_places(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Positions after whose byte a backslash goes; what crosses the end of a row doesn't count."""
-    raw = data.tobytes()
-    out = []
-    for m in _FOUND.finditer(raw):
-        at = m.start()
-        if raw[at] != 0x5C:
-            end = off[np.searchsorted(off, at, "right")] if len(off) else len(raw)
-            if not any(raw.startswith(c, at) and at + len(c) <= end for c in CONTROL):
-                continue
-        out.append(at)
-    return np.array(out, np.int64)
+    """Positions after whose byte a backslash goes: backslashes and the first bytes of control strings;
+    what crosses the end of a row doesn't count."""
+    out = [np.flatnonzero(data == 0x5C)]
+    for first in {c[0] for c in CONTROL}:
+        places = np.flatnonzero(data == first)
+        room = off[_rows_of(places, off) + 1] - places if places.size else places
+        for control in (c for c in CONTROL if c[0] == first):
+            at, left = places, room
+            for k, byte in enumerate(control):  # fewer places are left with each byte
+                here = left > k
+                at, left = at[here], left[here]
+                same = data[at + k] == byte
+                at, left = at[same], left[same]
+            out.append(at)
+    return np.sort(np.concatenate(out))  # no control string begins another, so no place comes twice
 
 
 def unescape(raw: bytes) -> bytes:
@@ -57,23 +64,18 @@ def unescape(raw: bytes) -> bytes:
 
 
 def _escaped(column: pa.Array, newline: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The escaped bytes of a column, end to end, and the rows' offsets; with `newline` a backslash goes
+    before each newline too."""
     data, off = buffers(column)
     at = _escape_places(data, off)
-    if newline:  # the backslash goes before a newline: after the byte before it, or first
-        parts = [_ESCAPE_ROLE(data[off[i] : off[i + 1]].tobytes()) for i in range(len(off) - 1)]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
-    shift = np.zeros(len(data) + 1, np.int64)
-    shift[at + 1] = 1
-    shift = np.cumsum(shift)
-    out = np.full(len(data) + len(at), 0x5C, np.uint8)
-    out[np.arange(len(data)) + shift[:-1]] = data
-    return out, off + shift[off]
-
-
-def _ESCAPE_ROLE(raw: bytes) -> bytes:
-    at = set(_escape_places(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).tolist())
-    return b"".join((b"\\" if b == 0x0A else b"") + bytes([b]) + (b"\\" if i in at else b"") for i, b in enumerate(raw))
+    before, rows = at + 1, _rows_of(at, off)  # what goes in before which byte, and whose it is
+    if newline:
+        lines = np.flatnonzero(data == 0x0A)
+        before, rows = np.concatenate([before, lines]), np.concatenate([rows, _rows_of(lines, off)])
+    shift = np.cumsum(np.bincount(before, minlength=len(data) + 1))
+    out = np.full(len(data) + len(before), 0x5C, np.uint8)
+    out[np.arange(len(data)) + shift[: len(data)]] = data
+    return out, off + np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(off) - 1))])
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -95,35 +97,36 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np
     return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(out)]), begins[:, 3] - off[:-1], ends[:, 3] - off[:-1]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted turns -> (conv_id, first row of the piece's turns, turns, formatted, loss spans)."""
-    names = ["conv_id", "turn", "role", "n_turns", "formatted", "loss"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    open_: dict = {}
+def _starts(part: pa.RecordBatch, off: np.ndarray) -> np.ndarray:
+    """The rows at which a piece begins: those of another conversation than the row before, and where
+    a conversation's bytes pass a multiple of PIECE_BYTES."""
+    conv = part.column("conv_id")
+    null = conv.is_null().to_numpy(zero_copy_only=False)
+    ids = conv.fill_null(0).to_numpy()
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])])
+    begin = off[np.flatnonzero(new)][np.cumsum(new) - 1]
+    share = (off[:-1] - begin) // PIECE_BYTES
+    return np.flatnonzero(new | np.concatenate([[True], share[1:] != share[:-1]]))
 
-    def close() -> pa.RecordBatch:
-        row = [open_["conv"], open_["turn"], open_["role"], open_["n"], b"".join(open_["body"]), open_["loss"]]
-        open_.clear()
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted turns -> (conv_id, first turn and role, turns, formatted, loss spans).  A piece is a run of
+    the assembled buffer, cut by offsets; none spans two batches."""
     for batch in batches:
-        for s in range(0, batch.num_rows, 1000):
-            part = batch.slice(s, 1000)
+        for part, _, _ in slices(batch):
             formatted, begin, end = assemble(part.column("role"), part.column("text"))
-            data, off = buffers(formatted)
-            convs, turns, roles = (part.column(c).to_pylist() for c in ("conv_id", "turn", "role"))
-            for i, conv in enumerate(convs):
-                if open_ and (open_["conv"] != conv or open_["size"] > PIECE_BYTES):
-                    yield close()
-                if not open_:
-                    open_.update(conv=conv, turn=turns[i], role=roles[i], n=0, body=[], loss=[], size=0)
-                if roles[i] == LOSS_ROLE:
-                    open_["loss"].append({"start": open_["size"] + int(begin[i]), "end": open_["size"] + int(end[i])})
-                open_["body"].append(data[off[i] : off[i + 1]].tobytes())
-                open_["size"] += int(off[i + 1] - off[i])
-                open_["n"] += 1
-    if open_:
-        yield close()
+            _, off, data = formatted.buffers()
+            off = np.frombuffer(off, np.int64)[: part.num_rows + 1]
+            starts = _starts(part, off)
+            stops = np.concatenate([starts[1:], [part.num_rows]])
+            piece = np.repeat(np.arange(len(starts)), stops - starts)
+            body = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(off[starts], off[-1])), data]).cast(pa.binary())
+            loss = np.flatnonzero(pc.equal(part.column("role"), LOSS_ROLE).fill_null(False).to_numpy(zero_copy_only=False))
+            base = off[loss] - off[starts[piece[loss]]]
+            spans = pa.StructArray.from_arrays([pa.array(base + begin[loss]), pa.array(base + end[loss])], ["start", "end"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(loss, np.append(starts, part.num_rows)).astype(np.int32)), spans)
+            rows = pa.array(starts)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("conv_id", "turn", "role")), pa.array(stops - starts), body, lists], ["conv_id", "turn", "role", "n_turns", "formatted", "loss"])
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:

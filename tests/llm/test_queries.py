@@ -1,6 +1,7 @@
 """The registered queries against plain Python, on small odd tables and on the generated ones."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from graphloom.llm import queries as Q
-from graphloom.llm import lm_scoring, near_dedup, packing, suffix_dedup
+from graphloom.llm import bpe_automaton, chat_format, lm_scoring, near_dedup, packing, suffix_dedup
 
 from . import brute
 from .conftest import SF, texts_of
@@ -38,7 +39,37 @@ def test_op1(spark, folder):
     want = brute.conversations([(r["conv_id"], -1 if r["turn"] is None else r["turn"], r["role"], r["text"]) for r in t] + [(-1, 0, "user", control), (-1, 1, "assistant", control)])
     got = rows(Q.op1_chat_format(spark, folder))
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want
-    assert len(got) == len(want) and all(r.formatted_chars > 0 for r in got)
+    escaped = lambda text: len(text) + len(ESCAPED.findall(text))
+    size = {}
+    for r in t + [{"conv_id": -1, "role": "user", "text": control}, {"conv_id": -1, "role": "assistant", "text": control}]:
+        role, text = r["role"] or "", r["text"] or ""
+        n = len("<|im_start|>") + escaped(role) + role.count("\n") + 1 + escaped(text) + len("<|im_end|>\n")
+        size[r["conv_id"]] = size.get(r["conv_id"], 0) + n
+    assert len(got) == len(want) and {r.conv_id: r.formatted_chars for r in got} == size
+
+
+ESCAPED = re.compile("|".join([r"\\", *(f"(?={re.escape(c.decode())})." for c in chat_format.CONTROL)]), re.S)
+
+
+def test_op1_no_control_string_is_left(spark, small):
+    """Formatted pieces hold the template's own control strings alone, and read back to what went in;
+    pieces are cut between turns, whatever their size."""
+    table = spark.read.parquet(f"{small}/conversations.parquet")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(chat_format, "PIECE_BYTES", 50)
+        pieces = chat_format.format_conversations(table).orderBy("piece").collect()
+    back = []
+    for r in pieces:
+        body = bytes(r.formatted)
+        turns = chat_format.read_turns(body)
+        back += [(r.conv_id, a.decode(), b.decode()) for a, b in turns]
+        assert len(turns) == r.n_turns and body.startswith(chat_format.START) and body.endswith(chat_format.END)
+        assert body.count(b"<|im_start|>") == body.count(b"<|im_end|>") == r.n_turns
+        assert not any(c in body for c in chat_format.CONTROL[2:])
+        own = [b for a, b in turns if a == b"assistant"]
+        assert [chat_format.unescape(body[x.start : x.end]) for x in r.loss] == own
+    want = sorted((r.conv_id, -1 if r.turn is None else r.turn, r.role or "", r.text or "") for r in table.collect())
+    assert sorted(back) == sorted((c, a, b) for c, _, a, b in want) and len(pieces) > len({c for c, *_ in want})
 
 
 def test_op2(spark, folder):
@@ -307,6 +338,51 @@ def test_op8(spark, folder):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows(Q.op8_bpe(spark, folder))} == want
 
 
+def random_merges(rand, letters, n):
+    """Merges of tokens made before; several pairs may give one token."""
+    vocab, merges = {c: i for i, c in enumerate(letters)}, []
+    while len(merges) < n:
+        a, b = rand.choice(list(vocab)), rand.choice(list(vocab))
+        if (a, b) not in merges and len(a + b) < 12:
+            merges.append((a, b))
+            vocab.setdefault(a + b, len(vocab))
+    return vocab, merges
+
+
+def test_op8_any_merges():
+    """The automaton of random merge lists walks as the library merges, word by word."""
+    from tokenizers import models
+
+    rand = random.Random(8)
+    words, several = 0, 0
+    for k in range(120):
+        vocab, merges = random_merges(rand, "ab" if k % 2 else "abc", rand.randint(1, 14))
+        automaton = bpe_automaton.Automaton(vocab, merges, {})
+        several += len({a + b for a, b in merges}) < len(merges)
+        library = Tokenizer(models.BPE(vocab, merges))
+        for _ in range(60):
+            word = "".join(rand.choices("ab" if k % 2 else "abc", k=rand.randint(1, 14)))
+            assert automaton.walk(word.encode()) == library.encode(word).ids, (merges, word)
+            words += 1
+    assert words == 7200 and several > 10
+
+
+def test_op8_table():
+    """Every transition of the compiled table is right: two tokens follow each other just if the library
+    leaves them so."""
+    from tokenizers import models
+
+    rand = random.Random(3)
+    for _ in range(20):
+        vocab, merges = random_merges(rand, "abc", 9)
+        automaton, library = bpe_automaton.Automaton(vocab, merges, {}), Tokenizer(models.BPE(vocab, merges))
+        follow = {(automaton.token[x], automaton.token[y]) for x in range(len(automaton.token)) for y in range(len(automaton.token)) if automaton.has_arc(x, y)}
+        text = {i: t for t, i in vocab.items()}
+        for x in {*automaton.token}:
+            for y in {*automaton.token}:
+                assert ((x, y) in follow) == (library.encode(text[x] + text[y]).ids == [x, y])
+
+
 def test_op9(spark, folder):
     docs = texts_of(folder)
     ids, _ = encoded(Q.WORD_BPE, [t for _, t in docs])
