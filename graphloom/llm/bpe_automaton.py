@@ -44,7 +44,9 @@ def byte_letters() -> list[str]:
 
 
 class Automaton:
-    """Compiled from a byte-level BPE vocabulary file."""
+    """Compiled from a byte-level BPE vocabulary file.  Gadgets act in rank order, which is what merging
+    the pair of least rank again and again comes to, unless a pair uses a token that a later one makes
+    again: words of such a list, which training never yields, are merged pair by pair."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
         byte_of = {c: b for b, c in enumerate(byte_letters())}
@@ -67,6 +69,11 @@ class Automaton:
         for t, i in vocab.items():
             if len(raw[t]) == 1:
                 self._arc(i, None, ((i, _NEVER),), ((i, _NEVER),))
+        made = {left + right: rank for rank, (left, right) in enumerate(merges)}
+        self.unordered: dict[tuple[int, int], tuple[int, int]] = {}
+        if any(made.get(t, -1) > rank for rank, pair in enumerate(merges) for t in pair):
+            for rank, (left, right) in enumerate(merges):
+                self.unordered.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
         for rank, (left, right) in enumerate(merges):
             self._gadget(vocab[left], vocab[right], vocab[left + right], rank)
         self._compile()
@@ -153,6 +160,8 @@ class Automaton:
 
     def walk(self, word: bytes) -> list[int]:
         """The tokens of the accepting walk: longest labels first, with a step back at dead ends."""
+        if self.unordered:
+            return self._merged(word)
         if (whole := self.by_label.get(word)) is not None:
             return [self.token[whole[0]]]
         n, by_label, longest = len(word), self.by_label, self.longest
@@ -188,6 +197,14 @@ class Automaton:
                 at = begin.pop()
         return [self.token[arc] for arc in path]
 
+    def _merged(self, word: bytes) -> list[int]:
+        """The tokens by merging, of all pairs the first of least rank at a time."""
+        path = [self.token[self.by_label[word[i : i + 1]][0]] for i in range(len(word))]
+        while found := [(self.unordered[p][0], i) for i, p in enumerate(zip(path, path[1:])) if p in self.unordered]:
+            _, i = min(found)
+            path[i : i + 2] = [self.unordered[path[i], path[i + 1]][1]]
+        return path
+
     def encode_piece(self, piece: str, known: dict[str, list[int]]) -> list[int]:
         """Ids of a text; `known` keeps the words met."""
         out: list[int] = []
