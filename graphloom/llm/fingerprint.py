@@ -58,29 +58,36 @@ def as_string(s: Column) -> Column:
 def with_next(docs: DataFrame, *columns: str, prefix: str = "next_") -> DataFrame:
     """Adds each column of the next document in descending doc_id; after the last comes the first.
 
-    Only whole ranges of doc_id meet in a window, bounded by quantiles of doc_id (a number of them
-    that the partitions fix, not the data); the last row of each range, one row a range, is joined to
-    the range above it.  Rows that repeat a doc_id follow each other by `columns`; a null doc_id is
-    the lowest.
+    Only ranges of rows meet in a window, bounded by quantiles of doc_id (a number of them that the
+    partitions fix, not the data); a doc_id that fills several ranges, and null, which is the lowest,
+    are cut further by a hash of `columns`.  The last row of each range, one row a range, is joined to
+    the range above it.  Rows that repeat a doc_id follow each other by that hash, then by `columns`.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark) * 8
-    seen = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("cuts"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    cuts, nulls = sorted(set(seen.cuts or [])), seen.nulls
+    seen = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("cuts"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n")).first()
+    cuts = sorted(set(seen.cuts or []))
+    often = {c: k for c in cuts if (k := seen.cuts.count(c)) > 1}
+    share = F.xxhash64(*columns) / F.lit(2.0**64) + 0.5  # ascending in the hash
+    part = lambda k: F.least(F.floor(share * k), F.lit(k - 1)).cast("int")
     bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
-    bucket = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0))
-    rows = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket))
-    order = Window.partitionBy("_range").orderBy("doc_id", *columns)
+    parts = F.lit(0)
+    for c, k in often.items():
+        parts = F.when(F.col("doc_id") == c, 1 + part(k)).otherwise(parts)
+    lowest = max(1, -(-seen.nulls * n // max(seen.n, 1)))
+    range_ = F.when(F.col("doc_id").isNull(), F.struct(F.lit(-1).alias("a"), part(lowest).alias("b"))).otherwise(F.struct(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))).alias("a"), parts.alias("b")))
+    rows = docs.withColumns({"_range": range_, "_hash": F.xxhash64(*columns)})
+    order = Window.partitionBy("_range").orderBy("doc_id", "_hash", *columns)
     rows = rows.withColumns({f"_{c}": F.lag(c).over(order) for c in columns} | {"_first": F.row_number().over(order) == 1})
-    # the greatest row of each range: its id first, so that only these rows are computed again
-    ids = rows.select("_range", "doc_id").groupBy("_range").agg(F.max("doc_id").alias("_id"))
-    ids = ids.select(F.col("_id").alias("doc_id")).where("doc_id is not null")
-    tops = docs.join(F.broadcast(ids), "doc_id", "left_semi").withColumn("_range", bucket)
-    lowest = docs.where("doc_id is null").withColumn("_range", F.lit(0)) if nulls else None
-    tops = tops.unionByName(lowest) if nulls else tops
-    top = tops.groupBy("_range").agg(F.max(F.struct(F.col("doc_id"), *columns)).alias("_top"))
+    # the greatest row of each range: its id and hash first, so that only these rows are computed again
+    narrow = docs.select("doc_id", range_.alias("_range"), F.xxhash64(*columns).alias("_hash"))
+    ids = narrow.groupBy("_range").agg(F.max(F.struct("doc_id", "_hash")).alias("_id")).select(F.col("_id.doc_id").alias("_top_id"), F.col("_id._hash").alias("_top_hash"))
+    tops = docs.withColumns({"_range": range_, "_hash": F.xxhash64(*columns)})
+    # a row for each range: as many as n and the parts of null, whatever the data
+    tops = tops.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_top_id")) & (F.col("_hash") == F.col("_top_hash")), "left_semi")
+    top = tops.groupBy("_range").agg(F.max(F.struct("doc_id", "_hash", *columns)).alias("_top"))
     above = Window.orderBy("_range")
-    last = top.withColumn("_n", F.lag("_top").over(above))  # a row for each range: as many as n, whatever the data
+    last = top.withColumn("_n", F.lag("_top").over(above))
     whole = top.agg(F.max_by("_top", "_range").alias("_whole"))
     last = last.crossJoin(F.broadcast(whole)).select("_range", F.coalesce("_n", "_whole").alias("_n"))
     out = rows.join(last, "_range")

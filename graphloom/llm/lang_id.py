@@ -20,7 +20,7 @@ from .common import U64, buffers, slices, tuned
 
 #: N-grams of a profile and of a document that are compared.
 PROFILE = 400
-#: Rows with a label that the profiles are fitted on, for each language: those of least hash.
+#: Rows with a label that the profiles are fitted on, for each language, about: by a threshold on a hash.
 FIT_ROWS = 2000
 UNKNOWN = "und"
 
@@ -103,18 +103,22 @@ def _slice_counts(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> It
 
 
 def _fit_texts(labelled: DataFrame, fit_rows: int) -> DataFrame:
-    """(doc_id, lang, text) of the fit_rows of least doc_id hash of each language."""
-    rows = tuned(labelled).where("text is not null and lang is not null").select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # ids first: texts of the chosen rows only are gathered
-    chosen = rows.withColumn("_r", rank).where(F.col("_r") <= fit_rows).select("doc_id").distinct()
-    return labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    """(doc_id, lang, text) of about fit_rows rows of each language, all where it has no more: those
+    whose hash is below a threshold that follows from the language's number of rows.  The driver gets a
+    number for each language; no language's rows meet in one task."""
+    rows = tuned(labelled).where("text is not null and lang is not null")
+    share = F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.col("_n"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).select(F.col("lang").alias("_lang"), share.alias("_share"))
+    hashed = F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5
+    # labels of languages are few; where they aren't, a merge join deals them out
+    return rows.select("doc_id", "lang", "text").join(sizes, F.col("lang") == F.col("_lang")).where(hashed < F.col("_share")).select("doc_id", "lang", "text")
 
 
 def fit_profiles(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
     """labelled(doc_id, text, lang) -> profiles.  Rows with null text or lang are left out; of each
-    language the fit_rows of least doc_id hash are used.  The driver gets PROFILE rows a language."""
+    language about fit_rows are used, by a hash of id and text.  The driver gets PROFILE rows a language."""
     counts = _fit_texts(labelled, fit_rows).select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # a bounded sample's n-grams: some ten thousand rows a language, of which a window keeps PROFILE
     top = counts.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_r") <= PROFILE)
     found = top.select("lang", "gram", "_r").collect()
     langs = sorted({r.lang for r in found})

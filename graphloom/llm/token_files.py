@@ -112,12 +112,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int = 0, bits: bool
     folder: (shard, seq, within, n_ids, start, doc_ids, lengths, planes), in ascending doc_id by (shard, seq).
 
     Null and empty texts have the end id alone.  A null doc_id comes first; rows that repeat a doc_id
-    stay, ordered by text.  Documents of any length lie in one segment each.  No rows, no segments.
+    stay, ordered by a hash of the text, then by it.  Documents of any length lie in one segment each.  No rows, no segments.
     """
     spark = docs.sparkSession
     rows = tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    made = rows.mapInArrow(_segments(tokenizer, end, bits), _KIND).withColumn("shard", F.spark_partition_id())
+    # an id that many rows have is spread by a hash of their texts
+    rows = rows.withColumn("_hash", F.xxhash64("text")).repartitionByRange(shuffle_partitions(spark), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
+    made = rows.select("doc_id", "text").mapInArrow(_segments(tokenizer, end, bits), _KIND).withColumn("shard", F.spark_partition_id())
     if path is None:
         table = written(made, "tokens")
     else:

@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from graphloom.llm import queries as Q
-from graphloom.llm import bpe_automaton, chat_format, lm_scoring, near_dedup, packing, suffix_dedup
+from graphloom.llm import bpe_automaton, chat_format, lang_id, lm_scoring, near_dedup, packing, quality_rules, suffix_dedup, token_files
 
 from . import brute
 from .conftest import SF, texts_of
@@ -114,6 +114,23 @@ def test_op3(spark, folder):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute.near_duplicates(texts_of(folder))
 
 
+def test_op2_odd_ids(spark, odd):
+    """Rows follow each other by id, hash and text, null ids last; a hot id is cut into ranges of its own."""
+    from pyspark.sql import functions as F
+
+    from graphloom.llm import fingerprint
+
+    hot = [(5, f"text {k} of the hot id") for k in range(300)] + [(None, f"no id {k}") for k in range(200)] + [(k, f"word {k}") for k in range(100)]
+    for docs in (texts_of(odd), hot):
+        df = spark.createDataFrame([(i, t or "") for i, t in docs], "doc_id long, text string")
+        got = [(r.doc_id, r.text, r.next_text) for r in fingerprint.with_next(df, "text").collect()]
+        hashed = [(r.doc_id, r.h, r.text) for r in df.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()]
+        chain = sorted(hashed, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]), reverse=True)
+        want = [(i, t, chain[(k + 1) % len(chain)][2]) for k, (i, _, t) in enumerate(chain)]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert len(rows(Q.op2_fingerprint(spark, odd))) == len(texts_of(odd))
+
+
 def linked_rows(docs):
     """(doc_id, n_shingles, component_id, kept) of rows, which their texts alone link."""
     numbered = [(k, t) for k, (i, t) in enumerate(docs) if i is not None]
@@ -228,6 +245,42 @@ def test_op5(spark, folder):
     assert folder != SF or np.mean(right) > 0.9
 
 
+def profile_of(text, n=lang_id.PROFILE):
+    """The most frequent one to three letters of the padded words, ties by value."""
+    grams = Counter()
+    for word in re.findall("[a-z]+", text.lower()):
+        padded = "\x01" + word + "\x01"
+        grams.update(word)
+        grams.update(padded[i : i + 2] for i in range(len(padded) - 1))
+        grams.update(padded[i : i + 3] for i in range(len(padded) - 2) if padded[i + 1] != "\x01")
+    value = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(g))
+    return sorted(grams, key=lambda g: (-grams[g], value(g)))[:n]
+
+
+def test_op5_distance(spark):
+    """lang_pred and score are those of the out-of-place distance, by plain Python."""
+    rand = random.Random(6)
+    alphabets = {"aa": "abcdefg", "bb": "efghijk", "cc": "hijklmab"}
+    text = lambda a, n: " ".join("".join(rand.choices(a, k=rand.randint(2, 6))) for _ in range(n))
+    labelled = [(k, text(alphabets[lang], 40), lang) for k, lang in enumerate(sorted(alphabets) * 8)]
+    profiles = lang_id.fit_profiles(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))
+    want = {lang: profile_of(" ".join(t for _, t, x in labelled if x == lang)) for lang in alphabets}
+    for a in [*alphabets.values(), "abcxyz", "eh"]:
+        own_text = text(a, rand.randint(1, 30))
+        own = profile_of(own_text)
+        far = {lang: sum(min(abs(p.index(g) - k), lang_id.PROFILE) if g in p else lang_id.PROFILE for k, g in enumerate(own)) for lang, p in want.items()}
+        best = min(sorted(far), key=far.get)
+        assert profiles.predict(own_text.encode()) == (best, pytest.approx(1 - far[best] / (lang_id.PROFILE * len(own))))
+    assert profiles.predict(b"12 34") == ("und", 0.0)
+
+
+def test_op5_fit_rows_are_a_share(spark):
+    """Each language gives about the asked number of rows, and a rare one all of its own."""
+    docs = [(k, f"text {k}", "big" if k % 10 else "rare") for k in range(5000)] + [(None, None, "big"), (None, "x", None)]
+    got = Counter(r.lang for r in lang_id._fit_texts(spark.createDataFrame(docs, "doc_id long, text string, lang string"), 600).collect())
+    assert got["rare"] == 500 and 520 < got["big"] < 680
+
+
 def test_op6(spark, folder):
     held = lambda i: brute.fold(i, 7) == 2
     want = brute.unigram(texts_of(folder), held)
@@ -458,6 +511,115 @@ def test_op10(spark, folder):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def binomial_bound(bad, n, level):
+    """The exact upper bound by summing the distribution itself."""
+    from math import comb
+
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        p = (low + high) / 2
+        tail = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(bad + 1))
+        low, high = (p, high) if tail > level else (low, p)
+    return high
+
+
+def test_op10_bound():
+    for bad, n, level in ((0, 10, 0.05), (0, 400, 0.003), (2, 50, 0.01), (7, 60, 0.05), (30, 200, 0.001)):
+        assert quality_rules.upper_bound(bad, n, level) == pytest.approx(binomial_bound(bad, n, level), abs=1e-6)
+    assert quality_rules.upper_bound(5, 5, 0.05) == quality_rules.upper_bound(0, 0, 0.05) == 1.0
+
+
+def test_op10_cutoffs():
+    """The cutoff is the certified one of the best balance, by trying all; none where nothing is certified."""
+    rand, grid = random.Random(9), quality_rules.GRID
+    for good_n in (100, 3000):
+        counts = {}
+        for stratum in ("a", "b"):
+            for rule in ("r", "s"):
+                good, bad = np.zeros(grid + 1, np.int64), np.zeros(grid + 1, np.int64)
+                for _ in range(good_n):
+                    good[min(grid, int(rand.expovariate(0.4)))] += 1
+                for _ in range(300):
+                    bad[rand.randint(0, grid)] += 1
+                counts[stratum, rule] = np.stack([good, bad])
+        want = {}
+        for key, (good, bad) in counts.items():
+            certified = []
+            for step in range(grid, 0, -1):
+                lost = int(good[step:].sum())
+                if binomial_bound(lost, int(good.sum()), 0.05 / 4) > 0.02 / 2:
+                    break
+                certified.append((int(bad[step:].sum()) - lost, step))
+            best = max((g for g, _ in certified), default=0)
+            if best > 0:
+                want[key] = max(step for g, step in certified if g == best)
+        assert quality_rules.choose_cutoffs(counts, 2, 0.02, 0.05) == want
+        assert len(want) == (4 if good_n == 3000 else 0)
+
+
+def test_op10_kept(spark):
+    """With enough labels a rule is certified, rejects what lies beyond its cutoff, and keeps its promise
+    on documents that were not labelled."""
+    rand = random.Random(12)
+    def text(junk):
+        words = ["".join(rand.choices("abcdefghijklmnop", k=6)) for _ in range(40)]
+        return " ".join(w + "#$%&*" if rand.random() < junk else w for w in words)
+    docs = [(k, text(0.9 if k % 5 == 0 else 0.0), "en") for k in range(6000)]
+    labels = [(k, 0 if k % 5 == 0 else 1) for k in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    from pyspark.sql import functions as F
+
+    judged = quality_rules.judge_quality(df, spark.createDataFrame(labels, "doc_id long, quality int"), F.col("lang")).collect()
+    metrics = quality_rules.quality_metrics(df, F.col("lang"))
+    cutoffs = quality_rules.fit_cutoffs(metrics, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert ("en", "symbols") in cutoffs
+    for r in judged:
+        step = min(int(np.ceil(r.n_symbols / max(r.word_chars, 1) / 0.5 * quality_rules.GRID)), quality_rules.GRID)
+        assert not r.base_failed and r.kept == (step < cutoffs["en", "symbols"])
+        assert r.doc_id < 4000 or r.kept == (r.doc_id % 5 != 0)
+
+
+def test_odd_ids(spark, odd):
+    """Rows with null and repeated ids: each has its result, by its own text."""
+    docs = texts_of(odd)
+    n = len(docs)
+    held = lambda i: i is not None and brute.fold(i, 7) == 2
+    tokens = brute.unigram(list(enumerate(t for _, t in docs)), lambda k: held(docs[k][0]))
+    got6 = sorted((repr(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows(Q.op6_lm_scoring(spark, odd)))
+    assert got6 == sorted((repr(i), tokens[k][0], tokens[k][1], round(float(tokens[k][3]), 6)) for k, (i, _) in enumerate(docs))
+    got10 = sorted((repr(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows(Q.op10_quality_rules(spark, odd)))
+    assert got10 == sorted((repr(i), *brute.quality(t)) for i, t in docs)
+    assert sorted(repr(r.doc_id) for r in rows(Q.op5_lang_id(spark, odd))) == sorted(repr(i) for i, _ in docs)
+    ids, _ = encoded(Q.BYTE_BPE, [t for _, t in docs])
+    sha = lambda x: brute.sha(np.array(x, "<u4").tobytes())
+    assert sorted((repr(r.doc_id), r.ids_sha256) for r in rows(Q.op8_bpe(spark, odd))) == sorted((repr(i), sha(x)) for (i, _), x in zip(docs, ids))
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    got7 = sorted(rows(Q.op7_token_files(spark, odd)), key=lambda r: r.start)
+    assert [r.start for r in got7] == np.cumsum([0, *(r.n_tokens for r in got7[:-1])]).tolist()
+    assert [r.doc_id for r in got7] == sorted((i for i, _ in docs), key=lambda i: (i is not None, i))
+    assert sorted((repr(r.doc_id), r.ids_crc32) for r in got7) == sorted((repr(i), crc([*x, 0])) for (i, _), x in zip(docs, ids))
+    words, _ = encoded(Q.WORD_BPE, [t for _, t in docs])
+    assert sorted((repr(r.doc_id), r.length, r.ids_crc32) for r in rows(Q.op9_packing(spark, odd))) == sorted((repr(i), len(x) + 1, crc([*x, 1])) for (i, _), x in zip(docs, words))
+    assert n == len(got10)
+
+
+def test_op7_planes_and_files(spark, small, tmp_path):
+    """Segments in bytes and bits read back whole and in part, and files read back from their folder."""
+    rand = np.random.default_rng(1)
+    for ids in (np.zeros(0, np.uint32), rand.integers(0, 50257, 70_001).astype(np.uint32), rand.integers(0, 1 << 32, 5000, dtype=np.uint64).astype(np.uint32)):
+        for bits in (False, True):
+            raw = token_files.write_planes(ids, block=1 << 12, bits=bits)
+            assert (token_files.read_planes(raw) == ids).all()
+            for a, b in ((0, 1), (4095, 4097), (len(ids) - 3, len(ids) + 9), (7, 7)):
+                assert (token_files.read_planes(raw, max(a, 0), b) == ids[max(a, 0) : b]).all()
+    from graphloom.llm.common import documents
+
+    path = f"file://{tmp_path}/tokens"
+    made = token_files.write_token_files(documents(spark, small), public_tokenizers.path(Q.BYTE_BPE), bits=True, path=path)
+    key = lambda df: sorted(map(tuple, token_files.token_digests(df).collect()))
+    assert key(made) == key(token_files.read_token_files(spark, path)) == sorted(map(tuple, rows(Q.op7_token_files(spark, small))))
+
+
 @pytest.mark.parametrize("name", Q.queries())
 def test_empty_tables(spark, empty, name):
     got = rows(Q.queries()[name](spark, empty))
