@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, shuffle_partitions, slices, tuned
+from .common import buffers, shuffle_partitions, slices, trimmed, tuned
 
 START, SPLIT, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 #: Control strings of this template and of common others; none is a prefix of another.
@@ -109,6 +109,7 @@ def _starts(part: pa.RecordBatch, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new | np.concatenate([[True], share[1:] != share[:-1]]))
 
 
+@trimmed
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted turns -> (conv_id, first turn and role, turns, formatted, loss spans).  A piece is a run of
     the assembled buffer, cut by offsets; none spans two batches."""
@@ -151,6 +152,7 @@ def read_turns(formatted: bytes) -> list[tuple[bytes, bytes]]:
     return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
+@trimmed
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces in order -> a row for each conversation, read back from the formatted bytes."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

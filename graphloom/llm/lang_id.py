@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, slices, tuned
+from .common import U64, buffers, slices, trimmed, tuned
 
 #: N-grams of a profile and of a document that are compared.
 PROFILE = 400
@@ -86,6 +86,7 @@ class Profiles:
         return self.langs[best], float(1 - far[best] / (PROFILE * len(own)))
 
 
+@trimmed
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> n-gram counts, summed over a batch."""
     for batch in batches:
@@ -104,14 +105,14 @@ def _slice_counts(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> It
 
 def _fit_texts(labelled: DataFrame, fit_rows: int) -> DataFrame:
     """(doc_id, lang, text) of about fit_rows rows of each language, all where it has no more: those
-    whose hash is below a threshold that follows from the language's number of rows.  The driver gets a
-    number for each language; no language's rows meet in one task."""
-    rows = tuned(labelled).where("text is not null and lang is not null")
-    share = F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.col("_n"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).select(F.col("lang").alias("_lang"), share.alias("_share"))
-    hashed = F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5
-    # labels of languages are few; where they aren't, a merge join deals them out
-    return rows.select("doc_id", "lang", "text").join(sizes, F.col("lang") == F.col("_lang")).where(hashed < F.col("_share")).select("doc_id", "lang", "text")
+    whose hash is below a threshold that follows from the language's number of rows.  The driver gets
+    this number for each language with more rows; no language's rows meet in one task."""
+    rows = tuned(labelled).where("text is not null and lang is not null").select("doc_id", "lang", "text")
+    many = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fit_rows).collect()
+    if not many:
+        return rows
+    share = F.create_map(*[F.lit(x) for r in many for x in (r.lang, fit_rows / r.n)])[F.col("lang")]
+    return rows.where(F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5 < F.coalesce(share, F.lit(1.0)))
 
 
 def fit_profiles(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
@@ -135,6 +136,7 @@ def predict_languages(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFr
     rows = tuned(docs).select("doc_id", *keep, F.col("text").alias("_text"))
     kind = rows.drop("_text").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
 
+    @trimmed
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column("_text"))

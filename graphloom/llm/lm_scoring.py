@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, slices, shuffle_partitions, tuned, word_hashes, word_spans, written
+from .common import U64, mix, shuffle_partitions, slices, trimmed, tuned, word_hashes, word_spans, written
 
 #: Words whose counts are sent to all tasks: about this number, 16 bytes each.
 HEAD = 1 << 18
@@ -187,6 +187,7 @@ def _documents_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np
     return np.insert(words, first[1:], END), first + np.arange(len(first))
 
 
+@trimmed
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, n = np.zeros(0, U64), np.zeros(0, np.int64)
     held, size = [], 0
@@ -344,6 +345,7 @@ def _rows_out(weights: np.ndarray, uses: np.ndarray) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([x.tobytes()], pa.binary()) for x in (used.astype("<u2"), own[used].astype("<i8"), body))], ["block", "rows", "uses", "weights"])
 
 
+@trimmed
 def _row_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records sorted by block -> one record for each, its rows the means by use."""
     now, total, uses = None, np.zeros((BLOCK, WIDTH)), np.zeros(BLOCK, np.int64)
@@ -397,6 +399,7 @@ def train(training: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((counts, table))
 
+        @trimmed
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(*sent.value)
             for batch in batches:
@@ -418,6 +421,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
+    @trimmed
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

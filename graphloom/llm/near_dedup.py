@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, dropped, mix, shuffle_partitions, slices, text_shingles, tuned, written
+from .common import U64, dropped, mix, shuffle_partitions, slices, text_shingles, trimmed, tuned, written
 from .components import connected_components
 
 SIGNATURE = 128
@@ -74,6 +74,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (mix(low) >> U64(32)).astype(np.uint32)
 
 
+@trimmed
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, off in slices(batch):
@@ -100,6 +101,7 @@ def _children(keys: np.ndarray, sig: np.ndarray, tree: bool) -> tuple[np.ndarray
 
 
 def _grow(tree: bool):
+    @trimmed
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -111,6 +113,7 @@ def _grow(tree: bool):
     return grow
 
 
+@trimmed
 def _bytes_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -178,6 +181,7 @@ def _spanned(rep: np.ndarray, sig: np.ndarray, a: list, b: list) -> tuple[np.nda
     return maybe, roots
 
 
+@trimmed
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each node: links (a, b), and (a, null) for each document that another one may be linked with."""
     a, b = [], []
@@ -193,6 +197,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(a, b)
 
 
+@trimmed
 def _block_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block of a large node: links (key, a, b), and (key, a, null) for each root."""
     for group in _groups(batches, ["key", "rep", "sig8"]):
@@ -224,6 +229,7 @@ def _compared(component: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, np
         yield int(i), np.flatnonzero(part != part[i])
 
 
+@trimmed
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each node: (rep, null) for documents that may be linked with one of another component, and
     pairs of components that span these possible links: no more rows than documents."""
@@ -251,6 +257,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(a, b)
 
 
+@trimmed
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each cluster, or pair of its blocks: links between different components, confirmed on the
     full sets, until none is left that would join two."""
@@ -320,6 +327,7 @@ def _together(rows: DataFrame, run, kind: str) -> DataFrame:
     return rows.repartition(n, "key", "block").sortWithinPartitions("key", "block", "rep").mapInArrow(run, kind)
 
 
+@trimmed
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose full sets have a Jaccard similarity of 0.75 or more."""
     from .common import buffers

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, tuned
+from .common import slices, trimmed, tuned
 from .tokenizer_files import piece_table
 
 CAPACITY = 2048
@@ -78,6 +78,7 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 def _packed(path: str, end: int, capacity: int, with_ids: bool, forget: bool = False):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
+    @trimmed
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(path, bare=True)
         sequence = TaskContext.get().partitionId() << 36

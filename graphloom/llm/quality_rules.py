@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, slices, tuned, word_hashes, word_spans, written
+from .common import shingle_hashes, slices, trimmed, tuned, word_hashes, word_spans, written
 
 RISK, LEVEL = 0.01, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT, RUN = 10, 20, 5
@@ -33,6 +33,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
 
+@trimmed
 def _metrics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "stratum", *METRICS]
     for batch in batches:
@@ -77,6 +78,7 @@ def with_metrics(docs: DataFrame, stratum: Column | None = None) -> DataFrame:
     rows = rows.select(*own, "stratum")
     kind = rows.withColumns({m: F.lit(0).cast("long") for m in METRICS}).schema
 
+    @trimmed
     def metrics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = list(_metrics(iter([batch])))

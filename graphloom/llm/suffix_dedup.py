@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, dropped, fold, mix, powers, shuffle_partitions, slices, tuned, written
+from .common import U64, buffers, dropped, fold, mix, powers, shuffle_partitions, slices, trimmed, tuned, written
 
 GRAM = 32
 WINDOW = 200
@@ -109,6 +109,7 @@ def _chunks(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray, window: int
 
 
 def _anchor_rows(window: int):
+    @trimmed
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, off in slices(batch, limit=_CHUNK - 1):
@@ -147,6 +148,7 @@ def _regions(window: int):
     """Rows (places of a document, its text) -> the bytes of each region; of a region around a gram
     with many windows, two hashes of each window instead, which are dealt out by content."""
 
+    @trimmed
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -157,7 +159,7 @@ def _regions(window: int):
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             ids, versions, owner_of = batch.column("doc_id"), batch.column("version"), owner
             wide = flat.field("many").to_numpy(zero_copy_only=False)
-            for many, step in ((False, 20_000), (True, 4_000)):
+            for many, step in ((False, 4_000), (True, 1_000)):
                 at = np.flatnonzero(wide == many)
                 for s in range(0, len(at), step):
                     part, owner = flat.take(pa.array(at[s : s + step])), owner_of[at[s : s + step]]
@@ -251,6 +253,7 @@ def _sorted_windows(window: int):
         ids = [rows.column(c).combine_chunks().take(pa.array(owner[lo])) for c in ("doc_id", "version")]
         return pa.RecordBatch.from_arrays([*ids, pa.array(base + far[lo]), pa.array(base + far[hi] + window)], ["doc_id", "version", "first", "end"])
 
+    @trimmed
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows_held, window_held = [], 0, None
         for batch in batches:
@@ -343,6 +346,7 @@ def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(whole_characters: bool, keep: tuple[str, ...] = ()):
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column("text"))
