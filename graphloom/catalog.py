@@ -70,6 +70,11 @@ _q("distinct", "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN DISTINCT n.na
 _q("topk", "MATCH (o:SalesOrder) RETURN o.orderkey AS orderkey, o.totalprice AS totalprice ORDER BY totalprice DESC, orderkey LIMIT 10", "SELECT o_orderkey AS orderkey, o_totalprice AS totalprice FROM orders ORDER BY totalprice DESC, orderkey LIMIT 10")
 _q("order_nulls", "MATCH (n:Nation) OPTIONAL MATCH (s:Supplier {suppkey: 1})-[:IN_NATION]->(n) RETURN n.name AS nation, s.suppkey AS suppkey ORDER BY suppkey, nation LIMIT 24", "SELECT n_name AS nation, s_suppkey AS suppkey FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey = 1) s ON s_nationkey = n_nationkey ORDER BY suppkey NULLS FIRST, nation LIMIT 24")
 _q("default_order", "MATCH (c:Customer) RETURN c.custkey AS custkey LIMIT 5", "SELECT c_custkey AS custkey FROM customer ORDER BY c_custkey LIMIT 5")
+_q("unknown_label", "MATCH (x:Shop) RETURN x.name AS name", "SELECT CAST(NULL AS VARCHAR) AS name WHERE 1 = 0")
+_q("unknown_edge_optional", "MATCH (r:Region) OPTIONAL MATCH (r)-[:SOLD_BY]->(s:Supplier) RETURN r.name AS name, count(s) AS n", "SELECT r_name AS name, 0 AS n FROM region")
+_q("source_rebound", "MATCH (n:Nation) OPTIONAL MATCH (s:Supplier {suppkey: 1})-[:IN_NATION]->(n) MATCH (s)-[:IN_NATION]->(m:Nation) RETURN n.name AS n, m.name AS m, count(*) AS k", "WITH e AS (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier), one AS (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey = 1) SELECT n.n_name AS n, m.n_name AS m, count(*) AS k FROM nation n CROSS JOIN e JOIN nation m ON m.n_nationkey = e.k WHERE n.n_nationkey NOT IN (SELECT k FROM one) GROUP BY 1, 2 UNION ALL SELECT n_name, n_name, 1 FROM nation WHERE n_nationkey IN (SELECT k FROM one)")
+_q("bound_source_label_unchecked", "MATCH (c:Customer {mktsegment: 'BUILDING'}), (c:Nation)-[:IN_NATION]->(n:Nation) RETURN n.name AS nation, count(*) AS n", "SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY n_name")
+_q("not_exists_nested", "MATCH (r:Region) WHERE NOT EXISTS { MATCH (s:Supplier) WHERE NOT EXISTS { MATCH (p:Part) WHERE p.size > 1000 } AND s.acctbal > 99999999 } RETURN r.name AS name", "SELECT r_name AS name FROM region")
 _CHAIN = "WITH ev AS (SELECT event_id AS id, LEAD(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events), e AS (SELECT id AS a, nxt AS b FROM ev WHERE nxt IS NOT NULL)"
 
 

@@ -29,26 +29,26 @@ def _lines(kind: str, first: str, second: str):
                 props = {k: _plain(v) for k, v in r["props"] or []}
                 doc = {"kind": kind, "label": r["label"]} | ({"id": r["id"]} if kind == "node" else {"src_qname": r["k1"], "dst_qname": r["k2"]}) | ({"props": props} if props else {})
                 out.append(json.dumps(doc, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
-            yield pa.RecordBatch.from_arrays([pa.array([0 if kind == "node" else 1] * len(out), pa.int32()), batch.column("label"), batch.column("k1"), batch.column("k2"), pa.array(out, pa.string())], ["part", "label", "k1", "k2", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array([0 if kind == "node" else 1] * len(out), pa.int32()), batch.column("label"), batch.column("k1"), batch.column("k2"), batch.column("ord"), pa.array(out, pa.string())], ["part", "label", "k1", "k2", "ord", "line"])
 
     return lines
 
 
-_KIND = "part int, label string, k1 string, k2 string, line string"
+_KIND = "part int, label string, k1 string, k2 string, ord long, line string"
 
 
 def dump_lines(graph: Graph) -> DataFrame:
-    """(part, label, k1, k2, line), ordered: nodes by label and qualified name or id, then edges by
-    label and those of their ends.  One JSON object a line, keys sorted, no empty props."""
+    """(part, label, k1, k2, ord, line), ordered: nodes by label and qualified name or id, then edges by
+    label and those of their ends, ties as they came.  One JSON object a line, keys sorted, no empty props."""
     nodes = graph.all_nodes()
     qname = F.when(F.col("props")["qname"]["t"] == 1, F.col("props")["qname"]["s"])
     nodes = nodes.withColumn("k1", F.coalesce(qname, F.col("id"))).withColumn("k2", F.lit(""))
     names = nodes.select("id", "k1")
     edges = graph.all_edges()
     edges = edges.join(names.withColumnsRenamed({"id": "src", "k1": "_s"}), "src", "left").join(names.withColumnsRenamed({"id": "dst", "k1": "_d"}), "dst", "left")
-    edges = edges.select("label", "props", F.coalesce("_s", "src").alias("k1"), F.coalesce("_d", "dst").alias("k2"))
-    lines = nodes.select("id", "label", "props", "k1", "k2").mapInArrow(_lines("node", "id", ""), _KIND).unionByName(edges.mapInArrow(_lines("edge", "src", "dst"), _KIND))
-    return lines.orderBy("part", "label", "k1", "k2", "line")
+    edges = edges.select("label", "props", "ord", F.coalesce("_s", "src").alias("k1"), F.coalesce("_d", "dst").alias("k2"))
+    lines = nodes.select("id", "label", "props", "ord", "k1", "k2").mapInArrow(_lines("node", "id", ""), _KIND).unionByName(edges.mapInArrow(_lines("edge", "src", "dst"), _KIND))
+    return lines.orderBy("part", "label", "k1", "k2", "ord", "line")
 
 
 def canonical_dump(graph: Graph) -> str:
@@ -67,12 +67,12 @@ class Diff:
 
 def diff(a: Graph, b: Graph, kinds: tuple[str, ...] = ("node", "edge")) -> Diff:
     """Facts by their key (nodes: label and name; edges: label and both ends' names); of facts with
-    one key the last line counts.  A full outer join of both sides."""
+    one key the one that came last counts.  A full outer join of both sides."""
 
     def keyed(g: Graph, side: str) -> DataFrame:
         rows = dump_lines(g).withColumn("kind", F.when(F.col("part") == 0, "node").otherwise("edge")).where(F.col("kind").isin(*kinds))
         key = F.concat_ws("\x1f", "label", "k1", "k2")
-        return rows.groupBy("kind", key.alias("key")).agg(F.max("line").alias(side))
+        return rows.groupBy("kind", key.alias("key")).agg(F.max_by("line", F.struct("ord", "line")).alias(side))
 
     both = keyed(a, "a").join(keyed(b, "b"), ["kind", "key"], "full_outer")
     return Diff(

@@ -76,6 +76,14 @@ def context_of(crate: Column) -> Column:
     return F.regexp_replace(crate, f"^({'|'.join(CONTEXT_PREFIXES)})-(?=.)", "")
 
 
+def context_name(crate: str) -> str:
+    """context_of for one name at hand."""
+    head, _, rest = crate.partition("-")
+    if crate.startswith("use-cases-"):
+        head, rest = "use-cases", crate[len("use-cases-") :]
+    return rest if rest and head in CONTEXT_PREFIXES else crate
+
+
 def bounded_context(graph: Graph, overrides: dict[str, str] | None = None) -> tuple[Graph, Report]:
     """Sets each item's bounded_context: the declared one of its crate, else by the crate's name."""
     spark = graph.spark

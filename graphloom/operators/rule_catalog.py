@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import program, run_query
-from ..sources.code_overlay import CODE_SQL, code_overlay
+from ..sources.code_overlay import CODE_SQL, CRATES, code_overlay
 from ..sources.graph import Graph
+from ..sources.overlay import overlay
 from . import dump, enrich, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +134,56 @@ def bounded_context_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.nodes["Item"].select("qname", "bounded_context")
 
 
+def _text(text: str, **params) -> Query:
+    return lambda spark, sf_dir: plain(run_query(code_overlay(spark, sf_dir), text, params).df)
+
+
+def deprecated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, report = enrich.enrich(code_overlay(spark, sf_dir), "deprecation")
+    assert report.ran
+    return run_query(g, "MATCH (i:Item {is_deprecated: true}) RETURN i.crate AS crate, count(*) AS n").df
+
+
+def rfc_doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items named in texts, each with its documents."""
+    docs = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 97 = 0").select(F.concat(F.lit("docs/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("# Part\n"), F.regexp_replace("p_name", " ", ""), F.lit(" is "), "p_type").alias("text"))
+    g, _ = enrich.rfc_docs(code_overlay(spark, sf_dir), docs)
+    return g.edges["REFERENCED_BY"]
+
+
+def git_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits of files; what the items of each file then have."""
+    k = F.col("o_orderkey")
+    commits = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("crates/"), F.element_at(F.array(*[F.lit(c) for c in CRATES]), (k % 8 + 1).cast("int")), F.lit("/src/m"), (F.floor(k / 8) % 7).cast("string"), F.lit(".rs")).alias("path"), k.cast("long").alias("commit_ts"), F.col("o_orderpriority").alias("author_email"))
+    g, _ = enrich.git_history(code_overlay(spark, sf_dir), commits)
+    return run_query(g, "MATCH (i:Item) RETURN i.qname AS qname, i.git_commit_count AS n, i.git_last_commit_unix_ts AS ts, i.git_last_author AS who").df.select("qname", F.col("n.i").alias("n"), F.col("ts.i").alias("ts"), F.col("who.s").alias("who"))
+
+
+def metric_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions with a coverage, signals and the cluster of their signature."""
+    g = code_overlay(spark, sf_dir)
+    items = g.nodes["Item"].drop("unwrap_count", "test_coverage", "dup_cluster_id").withColumn("signature_hash", F.col("signature"))
+    coverage = items.where("line % 2 = 0").select("qname", (F.col("line") % 10 / 10.0).alias("ratio"))
+    signals = items.select("qname", (F.col("line") % 4).alias("unwrap_count"), (F.col("line") % 6).alias("cyclomatic"))
+    out, _ = enrich.metrics(Graph(spark, {"Item": items}), coverage, signals)
+    return out.nodes["Item"].where("kind = 'fn'").select("qname", "test_coverage", "unwrap_count", "cyclomatic", "dup_cluster_id")
+
+
+def reached_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the entry points' items reach each item, over a chain of calls."""
+    g = code_overlay(spark, sf_dir)
+    calls = g.nodes["Item"].where("line % 3 <> 0").select(F.col("id").alias("src"), F.concat(F.lit("item:"), (F.col("line") * 2).cast("string")).alias("dst"))
+    items = g.nodes["Item"].drop("reachable_from_entry")
+    out, _ = enrich.reachability(Graph(spark, {"Item": items, "EntryPoint": g.nodes["EntryPoint"]}, {"CALLS": calls, "EXPOSES": g.edges["EXPOSES"]}))
+    return out.nodes["Item"].select("qname", "reachable_entry_count", "reachable_from_entry")
+
+
+def dump_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node and edge lines with and without properties."""
+    g = overlay(spark, sf_dir)
+    return dump.dump_lines(Graph(spark, {k: g.nodes[k] for k in ("Region", "Part", "SalesOrder")}, {"CONTAINS": g.edges["CONTAINS"]})).select("part", "line")
+
+
 _CLASSES = {
     "duplicated_feature": "classifier-duplicated-feature",
     "context_homonym": "classifier-context-homonym",
@@ -143,6 +194,7 @@ _CLASSES = {
 }
 _FOUND = "found AS (" + " UNION ".join(f"SELECT DISTINCT '{c}' AS class, t.* FROM ({_RULES[r][1].replace(chr(39) + 'market' + chr(39), chr(39) + 'ledger' + chr(39))}) t" for c, r in _CLASSES.items()) + ")"
 _CITED = "EXISTS (SELECT 1 FROM benchmark WHERE contains('docs/rfc-' || CAST(item_id AS VARCHAR) || '.md', owning_rfc) OR contains(substr(text, 1, 20), owning_rfc))"
+_LISTED = "([" + ", ".join(f"'{c}'" for c in CRATES) + "])[o_orderkey % 8 + 1]"
 _REPORTS: dict[str, tuple[Query, str]] = {
     "check_t1": (check_t1, f"{CODE_SQL} SELECT 'CONCEPT_UNWIRED' AS verdict, name AS context_name, canonical_crate, owning_rfc, name AS evidence FROM context WHERE name NOT IN (SELECT bounded_context FROM item) UNION ALL SELECT 'MISSING_CANONICAL_CRATE', name, canonical_crate, owning_rfc, canonical_crate FROM context WHERE canonical_crate <> '' AND canonical_crate NOT IN (SELECT crate FROM item) UNION ALL SELECT 'STALE_RFC_REFERENCE', name, canonical_crate, owning_rfc, owning_rfc FROM context WHERE owning_rfc <> '' AND NOT {_CITED}"),
     "check_t3": (check_t3, f"{CODE_SQL} SELECT t.*, n_contexts > 1 AS is_cross_context, (SELECT min(canonical_crate) FROM context WHERE list_contains(string_split(t.crates, ','), canonical_crate)) AS canonical_candidate FROM ({_RULES['t3-concept-multi-crate'][1]}) t"),
@@ -153,6 +205,19 @@ _REPORTS: dict[str, tuple[Query, str]] = {
     "list_items_flat": (list_items_flat, f"{CODE_SQL} SELECT {_FIND} FROM item a WHERE regexp_matches(name, '^(red|hot)') AND kind IN ('fn', 'struct')"),
     "list_items_grouped": (list_items_grouped, f"{CODE_SQL} SELECT bounded_context, string_agg('item:' || CAST(k AS VARCHAR), ',' ORDER BY 'item:' || CAST(k AS VARCHAR)) AS items FROM item WHERE regexp_matches(name, 'plate$') GROUP BY bounded_context"),
     "check_predicate": (check_predicate, f"{CODE_SQL} SELECT qname, line, file AS reason FROM item WHERE kind = 'fn' AND crate IN ('domain-market', 'ports-market') AND name LIKE 'small%'"),
+    "fn_last_segment_items": (_text("MATCH (i:Item) RETURN i.qname AS qname, last_segment(i.qname) AS last"), f"{CODE_SQL} SELECT qname, name AS last FROM item"),
+    "fn_regexp_extract_items": (_text("MATCH (i:Item) RETURN i.qname AS qname, regexp_extract(i.qname, 'm[0-9]+') AS found"), f"{CODE_SQL} SELECT qname, regexp_extract(qname, 'm[0-9]+') AS found FROM item"),
+    "fn_signature_divergent_items": (_text("MATCH (i:Item) WHERE signature_divergent(i.signature, 'fn ( t)') = false OR signature_divergent(i.signature, 'fn (t)') = false RETURN i.qname AS qname"), f"{CODE_SQL} SELECT qname FROM item WHERE replace(signature, '  ', ' ') = 'fn (t)'"),
+    "fn_entries_tables": (_text("MATCH (a:ConstTable), (b:ConstTable) WHERE a.element_type = b.element_type AND a.crate = b.crate RETURN a.qname AS a, b.qname AS b, entries_subset(a.entries_normalized, b.entries_normalized) AS inside, entries_jaccard(a.entries_normalized, b.entries_normalized) AS share, overlap_verdict(a.entries_normalized, b.entries_normalized, a.entries_hash, b.entries_hash) AS verdict"), f"{CODE_SQL} SELECT a.qname AS a, b.qname AS b, {_INTER} = a.entry_count AS inside, {_INTER} / (a.entry_count + b.entry_count - {_INTER})::DOUBLE AS share, {_OVERLAP} AS verdict FROM tab a JOIN tab b ON a.element_type = b.element_type AND a.crate = b.crate"),
+    "deprecated_items": (deprecated_items, f"{CODE_SQL} SELECT crate, count(*) AS n FROM item WHERE is_deprecated GROUP BY crate"),
+    "rfc_doc_edges": (rfc_doc_edges, f"{CODE_SQL} SELECT DISTINCT 'item:' || CAST(i.k AS VARCHAR) AS src, 'rfc:docs/' || CAST(p_partkey AS VARCHAR) || '.md' AS dst FROM part JOIN item i ON i.name = replace(p_name, ' ', '') WHERE p_partkey % 97 = 0"),
+    "git_items": (git_items, f"{CODE_SQL}, log AS (SELECT 'crates/' || {_LISTED} || '/src/m' || CAST((o_orderkey // 8) % 7 AS VARCHAR) || '.rs' AS file, max(o_orderkey) AS ts, arg_max(o_orderpriority, o_orderkey) AS who, count(*) AS n FROM orders GROUP BY 1) SELECT qname, n, ts, who FROM item LEFT JOIN log USING (file)"),
+    "metric_items": (metric_items, f"{CODE_SQL}, dup AS (SELECT signature, sha256(string_agg(qname, chr(10) ORDER BY qname)) AS c FROM item WHERE kind = 'fn' GROUP BY signature HAVING count(*) >= 2) SELECT qname, CASE WHEN line % 2 = 0 THEN line % 10 / 10.0::DOUBLE END AS test_coverage, line % 4 AS unwrap_count, line % 6 AS cyclomatic, c AS dup_cluster_id FROM item LEFT JOIN dup USING (signature) WHERE kind = 'fn'"),
+    "reached_items": (reached_items, f"{CODE_SQL.replace('WITH item', 'WITH RECURSIVE item', 1)}, walk(seed, k) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT seed, (i.line) * 2 FROM walk w JOIN item i ON i.k = w.k WHERE i.line % 3 <> 0) SELECT qname, count(seed) AS reachable_entry_count, count(seed) > 0 AS reachable_from_entry FROM item LEFT JOIN walk USING (k) GROUP BY qname"),
+    "dump_all": (dump_all, """SELECT 0 AS part, '{"id":"region:' || r_regionkey || '","kind":"node","label":"Region","props":{"name":' || to_json(r_name) || ',"regionkey":' || r_regionkey || '}}' AS line FROM region
+ UNION ALL SELECT 0, '{"id":"part:' || p_partkey || '","kind":"node","label":"Part","props":{"brand":' || to_json(p_brand) || ',"name":' || to_json(p_name) || ',"partkey":' || p_partkey || ',"retailprice":' || to_json(p_retailprice) || ',"size":' || p_size || ',"type":' || to_json(p_type) || '}}' FROM part
+ UNION ALL SELECT 0, '{"id":"salesorder:' || o_orderkey || '","kind":"node","label":"SalesOrder","props":{"custkey":' || o_custkey || ',"orderkey":' || o_orderkey || ',"orderpriority":' || to_json(o_orderpriority) || ',"orderstatus":' || to_json(o_orderstatus) || ',"totalprice":' || to_json(o_totalprice) || '}}' FROM orders
+ UNION ALL SELECT 1, '{"dst_qname":"part:' || l_partkey || '","kind":"edge","label":"CONTAINS","props":{"discount":' || to_json(l_discount) || ',"extendedprice":' || to_json(l_extendedprice) || ',"linenumber":' || l_linenumber || ',"linestatus":' || to_json(l_linestatus) || ',"quantity":' || to_json(l_quantity) || ',"returnflag":' || to_json(l_returnflag) || '},"src_qname":"salesorder:' || l_orderkey || '"}' FROM lineitem"""),
     "bounded_context_items": (bounded_context_items, f"{CODE_SQL} SELECT qname, CASE WHEN crate = 'infra-utils' THEN 'platform' ELSE bounded_context END AS bounded_context FROM item"),
 }
 
