@@ -63,11 +63,12 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return parts + [[] for _ in range(k - len(parts))]
 
 
-def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Windows of whole items, none larger than the capacity, as lists of item numbers."""
+def pack(sizes: list[int], capacity: int = CAPACITY, spare: float = 0.0) -> list[list[int]]:
+    """Windows of whole items, none larger than the capacity, as lists of item numbers.  `spare` is a
+    share of windows beyond what the tokens need at which a caller expects to end up: it saves trials."""
     if not sizes:
         return []
-    k = -(-sum(sizes) // capacity)
+    k = min(len(sizes), -(-sum(sizes) // capacity) + int(spare * sum(sizes) / capacity))
     while True:
         windows = differencing(sizes, k)
         if max(sum(sizes[i] for i in w) for w in windows) <= capacity:
@@ -84,7 +85,7 @@ def _packed(path: str, end: int, capacity: int, with_ids: bool, forget: bool = F
         sequence = TaskContext.get().partitionId() << 36
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())] * with_ids
         held: list[tuple] = []  # what is left of documents: doc_id, start, ids, length of the whole
-        rest = 0
+        rest, spare = 0, 0.0
 
         def out(windows: list[list[tuple]]) -> pa.RecordBatch:
             nonlocal sequence
@@ -99,7 +100,11 @@ def _packed(path: str, end: int, capacity: int, with_ids: bool, forget: bool = F
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
         def dealt() -> pa.RecordBatch:
-            return out([[held[i] for i in w] for w in pack([len(x[2]) for x in held], capacity)])
+            nonlocal spare
+            windows = pack([len(x[2]) for x in held], capacity, spare)
+            # the next group begins a step or two below the share that this one needed
+            spare = max(0.0, len(windows) * capacity / rest - 1 - 2 / 64)
+            return out([[held[i] for i in w] for w in windows])
 
         for batch in batches:
             for part, _, _ in slices(batch):

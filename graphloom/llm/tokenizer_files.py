@@ -34,8 +34,21 @@ JOINED = 1000
 _CACHES: dict[tuple[str, bool], "PieceTable"] = {}
 
 
+class _Numbers(dict):
+    """Piece -> number; a piece that is asked for first gets the next one and is noted as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+
 class PieceTable:
-    """Ids of pieces: a flat array, offsets into it and each piece's number."""
+    """Ids of pieces: each piece's number, where its ids begin in a flat array, and how many they are."""
 
     def __init__(self, path: str, bare: bool):
         from tokenizers import Tokenizer
@@ -53,9 +66,9 @@ class PieceTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.ids = np.zeros(0, np.uint32)
-        self.off = np.zeros(1, np.int64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def forget(self) -> None:
         """Gives the memory of the pieces back."""
@@ -91,17 +104,18 @@ class PieceTable:
             own = find(text)
             counts[k] = len(own)
             codes += own
-        new = [p for p in set(codes) if p not in index]
-        if new:
-            new, flat, sizes = self._ids(new)
-            first = len(index)
-            index.update(zip(new, range(first, first + len(new))))
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, flat])
         code = np.fromiter(map(index.__getitem__, codes), np.int64, len(codes))
-        size = np.diff(self.off)[code]
+        if index.new:
+            new, flat, sizes = self._ids(index.new)
+            number = np.fromiter(map(index.__getitem__, new), np.int64, len(new))
+            index.new = []
+            more = np.zeros((2, len(new)), np.int64)
+            more[:, number - len(self.start)] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+            self.start, self.size = np.concatenate([self.start, more[0]]), np.concatenate([self.size, more[1]])
+            self.ids = np.concatenate([self.ids, flat])
+        size = self.size[code]
         ends = np.cumsum(size)
-        flat = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.off[code] - (ends - size), size)]
+        flat = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[code] - (ends - size), size)]
         last = np.cumsum(counts)
         ends = np.concatenate([[0], ends])
         off = ends[np.concatenate([[0], last])]
