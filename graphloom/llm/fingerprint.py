@@ -81,14 +81,15 @@ def with_next(docs: DataFrame, *columns: str, prefix: str = "next_") -> DataFram
     rows = rows.withColumns({f"_{c}": F.lag(c).over(order) for c in columns} | {"_first": F.row_number().over(order) == 1})
     # the greatest row of each range: its id and hash first, so that only these rows are computed again
     narrow = docs.select("doc_id", range_.alias("_range"), F.xxhash64(*columns).alias("_hash"))
-    ids = narrow.groupBy("_range").agg(F.max(F.struct("doc_id", "_hash")).alias("_id")).select(F.col("_id.doc_id").alias("_top_id"), F.col("_id._hash").alias("_top_hash"))
+    ids = narrow.groupBy("_range").agg(F.max(F.struct("doc_id", "_hash")).alias("_id")).select("_range", F.col("_id.doc_id").alias("_top_id"), F.col("_id._hash").alias("_top_hash"))
     tops = docs.withColumns({"_range": range_, "_hash": F.xxhash64(*columns)})
     # a row for each range: as many as n and the parts of null, whatever the data
     tops = tops.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_top_id")) & (F.col("_hash") == F.col("_top_hash")), "left_semi")
     top = tops.groupBy("_range").agg(F.max(F.struct("doc_id", "_hash", *columns)).alias("_top"))
-    above = Window.orderBy("_range")
-    last = top.withColumn("_n", F.lag("_top").over(above))
-    whole = top.agg(F.max_by("_top", "_range").alias("_whole"))
-    last = last.crossJoin(F.broadcast(whole)).select("_range", F.coalesce("_n", "_whole").alias("_n"))
+    # only the ranges' names are put in order; the rows themselves are joined
+    names = ids.select("_range").withColumn("_lower", F.lag("_range").over(Window.orderBy("_range")))
+    names = names.crossJoin(F.broadcast(ids.agg(F.max("_range").alias("_highest"))))
+    names = names.select("_range", F.coalesce("_lower", "_highest").alias("_lower"))
+    last = names.join(top.select(F.col("_range").alias("_lower"), F.col("_top").alias("_n")), "_lower").select("_range", "_n")
     out = rows.join(last, "_range")
     return out.select(*docs.columns, *[F.when(F.col("_first"), F.col(f"_n.{c}")).otherwise(F.col(f"_{c}")).alias(prefix + c) for c in columns])
