@@ -20,8 +20,8 @@ from .common import U64, buffers, slices, trimmed, tuned
 
 #: N-grams of a profile and of a document that are compared.
 PROFILE = 400
-#: Rows with a label that the profiles are fitted on, for each language, about: by a threshold on a hash.
-FIT_ROWS = 2000
+#: Scores are counted in steps of one in so many where a cutoff is fitted.
+SCORE_STEPS = 10000
 UNKNOWN = "und"
 
 _LETTER: list[np.ndarray] = []
@@ -103,11 +103,14 @@ def _slice_counts(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> It
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(count)], ["lang", "gram", "n"])
 
 
-def _fit_texts(labelled: DataFrame, fit_rows: int) -> DataFrame:
-    """(doc_id, lang, text) of about fit_rows rows of each language, all where it has no more: those
-    whose hash is below a threshold that follows from the language's number of rows.  The driver gets
-    this number for each language with more rows; no language's rows meet in one task."""
+def _fit_texts(labelled: DataFrame, fit_rows: int | None) -> DataFrame:
+    """(doc_id, lang, text) of all rows with both.  Only where a caller asks for it, about fit_rows rows
+    of each language, all where it has no more: those whose hash is below a threshold that follows from
+    the language's number of rows.  The driver gets this number for each language with more rows; no
+    language's rows meet in one task."""
     rows = tuned(labelled).where("text is not null and lang is not null").select("doc_id", "lang", "text")
+    if fit_rows is None:
+        return rows
     many = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fit_rows).collect()
     if not many:
         return rows
@@ -115,11 +118,11 @@ def _fit_texts(labelled: DataFrame, fit_rows: int) -> DataFrame:
     return rows.where(F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5 < F.coalesce(share, F.lit(1.0)))
 
 
-def fit_profiles(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
-    """labelled(doc_id, text, lang) -> profiles.  Rows with null text or lang are left out; of each
-    language about fit_rows are used, by a hash of id and text.  The driver gets PROFILE rows a language."""
+def fit_profiles(labelled: DataFrame, fit_rows: int | None = None) -> Profiles:
+    """labelled(doc_id, text, lang) -> profiles of all rows, those with null text or lang left out; with
+    fit_rows, of about as many of each language.  The driver gets PROFILE rows a language."""
     counts = _fit_texts(labelled, fit_rows).select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # a bounded sample's n-grams: some ten thousand rows a language, of which a window keeps PROFILE
+    # of each language every task keeps PROFILE rows before they meet
     top = counts.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_r") <= PROFILE)
     found = top.select("lang", "gram", "_r").collect()
     langs = sorted({r.lang for r in found})
@@ -147,10 +150,14 @@ def predict_languages(docs: DataFrame, profiles: Profiles, *keep: str) -> DataFr
     return rows.mapInArrow(predict, kind)
 
 
-def fit_cutoffs(labelled: DataFrame, profiles: Profiles, quantile: float, margin: float, least_rows: int, fit_rows: int = FIT_ROWS) -> dict[str, float]:
+def fit_cutoffs(labelled: DataFrame, profiles: Profiles, quantile: float, margin: float, least_rows: int, fit_rows: int | None = None) -> dict[str, float]:
     """Language -> score below which a text isn't in it: a quantile of the scores of the rows that the
-    profiles are fitted on, less a margin.  Rows that are nearer to another language than their label's
-    are left out; a language with fewer than least_rows others has no cutoff."""
+    profiles are fitted on, to a step of SCORE_STEPS below, less a margin.  Scores are counted by steps,
+    so that all rows count and their order doesn't.  Rows that are nearer to another language than their
+    label's are left out; a language with fewer than least_rows others has no cutoff."""
     judged = predict_languages(_fit_texts(labelled, fit_rows), profiles, "lang").where("lang_pred = lang")
-    found = judged.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("score", quantile, 10000).alias("low")).collect()
-    return {r.lang: r.low - margin for r in found if r.n >= least_rows}
+    steps = judged.groupBy("lang", F.floor(F.col("score") * SCORE_STEPS).alias("step")).agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy("lang")
+    upto = steps.select("lang", "step", F.sum("_n").over(own.orderBy("step")).alias("upto"), F.sum("_n").over(own).alias("n"))
+    found = upto.where(F.col("upto") >= F.col("n") * quantile).groupBy("lang").agg(F.min("step").alias("step"), F.first("n").alias("n")).collect()
+    return {r.lang: r.step / SCORE_STEPS - margin for r in found if r.n >= least_rows}

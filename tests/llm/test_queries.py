@@ -1,5 +1,6 @@
 """The registered queries against plain Python, on small odd tables and on the generated ones."""
 
+import math
 import random
 import re
 import zlib
@@ -281,6 +282,29 @@ def test_op5_fit_rows_are_a_share(spark):
     assert got["rare"] == 500 and 520 < got["big"] < 680
 
 
+def test_op5_fits_on_all_rows(spark):
+    """Profiles and cutoffs count every labelled row, also where a language has several thousand."""
+    rand = random.Random(9)
+    alphabets = {"aa": "abcdefghijkl", "bb": "ghijklmnopqr"}
+    text = lambda a: " ".join("".join(rand.choices(a, k=rand.randint(2, 6))) for _ in range(rand.randint(2, 9)))
+    docs = [(k, text(alphabets[lang]), lang) for k, lang in enumerate(sorted(alphabets) * 4000)]
+    labelled = spark.createDataFrame([*docs, (-1, None, "aa"), (-2, "zz zz", None)], "doc_id long, text string, lang string")
+    profiles = lang_id.fit_profiles(labelled)
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(g))
+    scores = {lang: [] for lang in alphabets}
+    for i, lang in enumerate(profiles.langs):
+        ranked = sorted((r, int(g)) for r, g in zip(profiles.ranks[i], profiles.grams) if r < lang_id.PROFILE)
+        assert [g for _, g in ranked] == [code(g) for g in profile_of(" ".join(t for _, t, x in docs if x == lang))]
+    for _, t, lang in docs:
+        pred, score = profiles.predict(t.encode())
+        if pred == lang:
+            scores[lang].append(score)
+    got = lang_id.fit_cutoffs(labelled, profiles, 0.01, 0.2, 100)
+    for lang, own in scores.items():
+        low = sorted(own)[math.ceil(0.01 * len(own)) - 1]
+        assert got[lang] == math.floor(low * lang_id.SCORE_STEPS) / lang_id.SCORE_STEPS - 0.2
+
+
 def test_op6(spark, folder):
     held = lambda i: brute.fold(i, 7) == 2
     want = brute.unigram(texts_of(folder), held)
