@@ -45,6 +45,8 @@ _CLOSED = np.float32(-1e4)
 BLOCK = 1 << 9
 #: Tasks of a round at most, each of which hands its model on; more parts of the input are put together.
 TRAINERS = 1 << 15
+#: Rows whose weights are moved at once, so that they stay in the processor's cache.
+MOVED = 1 << 13
 #: Words kept between counts that are handed on.
 COUNTED = 1 << 20
 
@@ -109,9 +111,11 @@ class Tree:
 
     def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index into leaf, node and output of each step, leaf by leaf."""
-        n = self.off[leaf + 1] - self.off[leaf]
-        first = np.cumsum(n) - n
-        at = np.arange(int(n.sum())) + np.repeat(self.off[leaf] - first, n)
+        begin = self.off[leaf]
+        n = self.off[leaf + 1] - begin
+        begin -= np.cumsum(n) - n
+        at = np.repeat(begin, n)
+        at += np.arange(len(at))
         return np.repeat(np.arange(len(leaf)), n), self.node[at], self.pick[at]
 
 
@@ -194,11 +198,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merged() -> None:
         nonlocal words, n, held, size
-        value, at = np.unique(np.concatenate([words, *held]), return_inverse=True)
-        total = np.zeros(len(value), np.int64)
-        np.add.at(total, at[: len(words)], n)
-        total += np.bincount(at[len(words) :], minlength=len(value))
-        words, n, held, size = value, total, [], 0
+        # the new tokens are sorted alone, then looked up: cheaper than an argsort of all
+        value, times = np.unique(np.concatenate([words[:0], *held]), return_counts=True)
+        at = np.searchsorted(words, value)
+        known = at < len(words)
+        known[known] = words[at[known]] == value[known]
+        n[at[known]] += times[known]
+        words, n = np.insert(words, at[~known], value[~known]), np.insert(n, at[~known], times[~known])
+        held, size = [], 0
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
@@ -266,8 +273,13 @@ def _hash_rows(features: np.ndarray, at: np.ndarray, node: np.ndarray, counts: C
     """The weight rows of each step's features."""
     own = node.astype(U64) * U64(0x9E3779B97F4A7C15)
     shift = U64(64 - (counts.rows.bit_length() - 1))
-    rows = ((np.take(features, at, axis=1) + own) * U64(0xD6E8FEB86659FD93)) >> shift
-    return rows.astype(np.int64) + len(counts.tree.biases)
+    rows = np.take(features, at, axis=1)
+    rows += own
+    rows *= U64(0xD6E8FEB86659FD93)
+    rows >>= shift
+    rows = rows.view(np.int64)
+    rows += len(counts.tree.biases)
+    return rows
 
 
 def _exponentials(table: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -283,17 +295,63 @@ def _exponentials(table: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.n
 _ONES = np.ones(WIDTH, np.float32)
 
 
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """Weight rows as one value each: numpy puts those faster than rows of a matrix."""
+    return rows.view(f"V{rows.itemsize * WIDTH}").ravel()
+
+
+def _scaled(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """x, its rows multiplied in place; one long loop instead of one of WIDTH steps a row."""
+    x *= np.repeat(by, WIDTH).reshape(x.shape)
+    return x
+
+
+def _row_gradients(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of weights in rows, ascending, how often each occurs and the mean of its gradients;
+    gradient[i] is that of all rows[:, i]."""
+    # one sort of row and place together, which is faster than a stable argsort
+    key = rows << 32
+    key |= np.arange(len(gradient))
+    key = key.ravel()
+    key.sort()
+    place = key & 0xFFFFFFFF
+    key >>= 32
+    new = np.ones(len(key) + 1, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(first)
+    first = first[:-1]
+    # most rows have one gradient, most others two; a sum of runs costs more than a copy
+    mean = np.take(gradient, place[first], axis=0)
+    if (two := np.flatnonzero(n == 2)).size:
+        sums = np.take(mean, two, axis=0)
+        sums += np.take(gradient, place[first[two] + 1], axis=0)
+        sums *= np.float32(0.5)
+        np.put(_whole(mean), two, _whole(sums))
+    if (many := np.flatnonzero(n > 2)).size:
+        m = n[many]
+        start = np.cumsum(m) - m
+        at = np.repeat(first[many] - start, m)
+        at += np.arange(len(at))
+        # complex numbers, so as to add two columns at once
+        sums = np.add.reduceat(np.take(gradient, place[at], axis=0).view(np.complex64), start, axis=0).view(np.float32)
+        np.put(_whole(mean), many, _whole(_scaled(sums, 1 / m.astype(np.float32))))
+    return key[first], n, mean
+
+
 class Trainer:
-    """Weights of one task; AdaGrad steps over batches of tokens."""
+    """Weights of one task; AdaGrad steps over batches of tokens.  state: of each row the sum of squares,
+    as float32, and how often it was used, as uint32, in eight bytes that are read and put at once."""
 
     def __init__(self, counts: Counts, weights: np.ndarray | None = None):
         self.counts = counts
         self.weights = counts.weights() if weights is None else weights.copy()
-        self.state = np.tile(np.array([SQUARES, 0], np.float32), (len(self.weights), 1))
+        self.state = np.zeros(len(self.weights), np.int64)
+        self.state.view(np.float32)[::2] = SQUARES
 
     @property
     def uses(self) -> np.ndarray:
-        return self.state[:, 1].astype(np.int64)
+        return self.state.view(np.uint32)[1::2].astype(np.int64)
 
     def learn(self, tokens: np.ndarray, off: np.ndarray) -> None:
         counts = self.counts
@@ -304,33 +362,23 @@ class Trainer:
             if at.size:
                 rows = _hash_rows(features[:, s : s + BATCH], at, node, counts)
                 gradient = _exponentials(self.weights, node, rows)
-                gradient /= (gradient @ _ONES)[:, None]
-                gradient[np.arange(len(pick)), pick] -= 1
+                _scaled(gradient, 1 / (gradient @ _ONES))
+                gradient.ravel()[np.arange(0, gradient.size, WIDTH) + pick] -= 1
                 self._move(np.concatenate([node[None, :], rows]), gradient)
 
     def _move(self, rows: np.ndarray, gradient: np.ndarray) -> None:
         """A step of each row along the mean of its gradients; rows[k] has those of one feature."""
-        # one sort of row and place together, which is faster than a stable argsort
-        key = np.sort(((rows << 32) | np.arange(len(gradient))).ravel())
-        row, place = key >> 32, key & 0xFFFFFFFF
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        n = np.diff(np.concatenate([first, [len(row)]]))
-        row = row[first]
-        mean = np.take(gradient, place[first], axis=0)
-        # most rows have one gradient; a sum costs more than a copy
-        if (many := np.flatnonzero(n > 1)).size:
-            m = n[many]
-            start = np.cumsum(m) - m
-            at = np.arange(int(m.sum())) + np.repeat(first[many] - start, m)
-            sums = np.add.reduceat(np.take(gradient, place[at], axis=0), start, axis=0)
-            mean[many] = sums / m[:, None].astype(np.float32)
-        # squares and uses
-        state = np.take(self.state, row, axis=0)
-        state[:, 0] += (mean * mean) @ _ONES / WIDTH
-        state[:, 1] += n
-        self.state[row] = state
-        mean *= (np.float32(STEP / (FEATURES + 1) ** 0.5) / np.sqrt(state[:, 0]))[:, None]
-        self.weights[row] = np.take(self.weights, row, axis=0) - mean
+        row, n, mean = _row_gradients(rows, gradient)
+        for s in range(0, len(row), MOVED):
+            own, step = row[s : s + MOVED], mean[s : s + MOVED]
+            state = np.take(self.state, own)
+            squares, uses = state.view(np.float32)[::2], state.view(np.uint32)[1::2]
+            squares += (step * step) @ _ONES / WIDTH
+            uses += n[s : s + MOVED].astype(np.uint32)
+            np.put(self.state, own, state)
+            _scaled(step, np.float32(-STEP / (FEATURES + 1) ** 0.5) / np.sqrt(squares))
+            step += np.take(self.weights, own, axis=0)
+            np.put(_whole(self.weights), own, _whole(step))
 
 
 _KIND = "block long, rows binary, uses binary, weights binary"
@@ -386,7 +434,7 @@ class Model:
             at, node, pick = counts.tree.paths(own)
             if at.size:
                 e = _exponentials(self.weights, node, _hash_rows(features[:, s : s + BATCH], at, node, counts))
-                logs = np.log(e[np.arange(len(pick)), pick] / (e @ _ONES))
+                logs = np.log(np.take(e, np.arange(0, e.size, WIDTH) + pick) / (e @ _ONES))
                 out[s : s + BATCH] = np.bincount(at, logs, len(own))
         out /= np.log(10)
         return out - np.where(place < len(counts.words), 0.0, np.log10(counts.rest_of(tokens))), place

@@ -397,6 +397,67 @@ def test_op6_rare_words_are_joined(spark, small, monkeypatch):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and abs(r.base_score - base) < 1e-6 * max(1, abs(base))
 
 
+@pytest.mark.parametrize("counted", [1 << 20, 700, 50])
+def test_op6_counts_in_parts(monkeypatch, counted):
+    """However often counts are merged and handed on, their sums are those of all tokens."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_scoring, "COUNTED", counted)
+    rand = random.Random(6)
+    texts = [None, "", *(" ".join(f"w{int(rand.paretovariate(0.7))}" for _ in range(rand.randint(0, 400))) for _ in range(40)), ""]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 3], pa.string())], ["text"]) for k in range(0, len(texts), 3)]
+    want, got = Counter(), Counter()
+    for t in texts:
+        want.update(lm_tokens(t or "")[0].view(np.int64).tolist())
+    for out in lm_scoring._count(iter(batches)):
+        words = out.column(0).to_pylist()
+        assert len(set(words)) == len(words)
+        got.update(dict(zip(words, out.column(1).to_pylist())))
+    assert got == want
+    assert list(lm_scoring._count(iter([])))[0].num_rows == 0
+
+
+def test_op6_uses_are_exact():
+    """Means over tasks weigh rows by their uses: none is lost past 2 ** 24."""
+    trainer = lm_scoring.Trainer(lm_scoring.Counts(np.arange(9, dtype=lm_scoring.U64), np.ones(9, np.int64), 9, 9, np.ones(1, np.int64)))
+    for n in [1 << 20] * 16 + [1]:
+        trainer._move(np.full((1, n), 3), np.zeros((n, lm_scoring.WIDTH), np.float32))
+    assert trainer.uses[3] == (1 << 24) + 1 and trainer.uses.sum() == trainer.uses[3]
+
+
+def test_op6_moves():
+    """A step moves each row along the mean of its gradients, however many it has."""
+
+    def plain(weights, state, rows, gradient):
+        key = np.sort(((rows << 32) | np.arange(len(gradient))).ravel())
+        row, place = key >> 32, key & 0xFFFFFFFF
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        n = np.diff(np.concatenate([first, [len(row)]]))
+        row, mean = row[first], np.take(gradient, place[first], axis=0)
+        many = np.flatnonzero(n > 1)
+        m = n[many]
+        at = np.arange(int(m.sum())) + np.repeat(first[many] - (np.cumsum(m) - m), m)
+        mean[many] = np.add.reduceat(np.take(gradient, place[at], axis=0), np.cumsum(m) - m, axis=0) / m[:, None].astype(np.float32)
+        own = np.take(state, row, axis=0)
+        own[:, 0] += (mean * mean) @ np.ones(lm_scoring.WIDTH, np.float32) / lm_scoring.WIDTH
+        own[:, 1] += n
+        state[row] = own
+        mean *= (np.float32(lm_scoring.STEP / (lm_scoring.FEATURES + 1) ** 0.5) / np.sqrt(own[:, 0]))[:, None]
+        weights[row] = np.take(weights, row, axis=0) - mean
+
+    rand = np.random.default_rng(8)
+    trainer = lm_scoring.Trainer(lm_scoring.Counts(np.arange(9, dtype=lm_scoring.U64), np.ones(9, np.int64), 9, 4 * 10**6, np.ones(1, np.int64)))
+    weights, state = trainer.weights.copy(), np.tile(np.array([lm_scoring.SQUARES, 0], np.float32), (len(trainer.weights), 1))
+    for _ in range(3):
+        # rows as often used as in training: few very often, most once or twice
+        often = (rand.pareto(0.5, (4, 20000)) * 8).astype(np.int64) % len(weights)
+        rows = np.where(rand.random((4, 20000)) < 0.5, often, rand.integers(len(weights), size=(4, 20000)))
+        gradient = rand.normal(0, 0.1, (20000, lm_scoring.WIDTH)).astype(np.float32)
+        trainer._move(rows, gradient)
+        plain(weights, state, rows, gradient)
+    assert np.abs(trainer.weights - weights).max() < 1e-5 and (trainer.uses == state[:, 1]).all()
+
+
 def test_op7(spark, folder):
     docs = sorted(texts_of(folder))
     ids, _ = encoded(Q.BYTE_BPE, [t for _, t in docs])
